@@ -5,7 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import rotate_perspectives
+from .minhash_dedup import near_duplicates
+from .mixing import mix_sources
+from .oracles import ORACLE_SQL  # noqa: F401
+from .quality import judge_documents
+from .sharding import byte_shards
 from .substring_dedup import dedup_substrings
 
 
@@ -19,9 +26,40 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("host_rate", 9).alias("host_rate"),
+    )
+
+
+def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_shards(_table(spark, sf_dir, "documents"))
+
+
+def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.transform("mask", lambda m: F.concat(m["start"], F.lit("+"), m["length"]))
+    return rotate_perspectives(_table(spark, sf_dir, "conversations")).withColumn(
+        "mask", F.array_join(spans, ",")
+    )
+
+
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("text_md5"))
+    return mix_sources(docs).select(
+        "doc_id", "source", "text_md5", "mix_copy", "mix_copies", "mix_place"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_minhash_dedup": op2_minhash_dedup,
+    "op4_host_quality": op4_host_quality,
+    "op6_byte_shards": op6_byte_shards,
+    "op7_perspectives": op7_perspectives,
+    "op9_poisson_mix": op9_poisson_mix,
 }
-
-#: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
