@@ -8,7 +8,8 @@ order of a hash of (seed, doc_id, copy), which is the global shuffle.
 
 A count depends only on the document, the seed and the source's rate, never on
 partitions or the order of rows.  Sources are counted with pre-aggregation and
-joined back on narrow rows; the join splits skewed sources at run time.
+joined back: broadcast up to ``BROADCAST_SOURCES`` sources, else by a join that
+splits skewed sources at run time.
 
 *Edge cases.*  A null source is a source like any other (its weight is given
 under None).  A source without a weight in a given table gets none of its
@@ -20,14 +21,16 @@ kept.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SEED = "mix-1"
 #: Mean repetition rates above this are refused: counts are exploded in one row's task.
 MAX_RATE = 600.0
+#: Sources up to which their rates are broadcast (some 100 bytes each).
+BROADCAST_SOURCES = 10_000
 
 
 def uniform(key: Column, *salt: str) -> Column:
@@ -81,13 +84,16 @@ def mix_sources(
     docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED
 ) -> DataFrame:
     """The copies of ``docs`` in global shuffle order, with copy (from 0), copies and rate."""
-    rates = repetition_rates(docs, weights).select(
+    rates = materialize(repetition_rates(docs, weights), "rates").select(
         F.col("source").alias("r_source"),
         F.when(F.col("rate") <= MAX_RATE, F.col("rate"))
         .otherwise(F.raise_error(F.lit("a source's repetition rate is too high")).cast("double"))
         .alias("mix_rate"),
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # documents stay where they are as long as the sources are few; else sources are dealt out
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     counted = docs.join(rates, F.col("source").eqNullSafe(F.col("r_source")))
     counted = counted.withColumn(
         "mix_copies", poisson_inverse(uniform(key, seed, "count"), F.col("mix_rate"))
