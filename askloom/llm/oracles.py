@@ -24,6 +24,28 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP3 = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS line
+  FROM documents),
+w AS (SELECT doc_id, line, s, {_WORDS.format('s')} AS ws, doc_id * 1000000 + line AS place FROM l),
+f AS (SELECT ws, min(place) AS place FROM w WHERE len(ws) > 0 GROUP BY ws),
+long AS (SELECT ws, place, len(ws) AS n FROM f WHERE len(ws) >= 8),
+cut AS (
+  SELECT place, n, i, md5(array_to_string(ws[1:i - 1] || [chr(10)] || ws[i + 1:], ' ')) AS swap,
+         md5(array_to_string(ws[1:i - 1] || ws[i + 1:], ' ')) AS less
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM long)),
+whole AS (SELECT place, md5(array_to_string(ws, ' ')) AS h FROM long),
+near AS (
+  SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY swap) AS lead FROM cut) WHERE lead < place
+  UNION SELECT cut.place FROM cut JOIN whole ON less = h WHERE whole.place < cut.place
+  UNION SELECT whole.place FROM cut JOIN whole ON less = h WHERE cut.place < whole.place),
+kept AS (SELECT place FROM f ANTI JOIN near USING (place))
+SELECT w.doc_id, count_if(len(ws) > 0) AS n_lines, count_if(len(ws) > 0 AND kept.place IS NULL) AS n_removed,
+       md5(coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (len(ws) = 0 OR kept.place IS NOT NULL), '')) AS kept_md5
+FROM w LEFT JOIN kept USING (place) GROUP BY w.doc_id
+"""
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2 = f"""
@@ -127,6 +149,7 @@ FROM x
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op2_minhash_dedup": OP2,
+    "op3_line_dedup": OP3,
     "op4_host_quality": OP4,
     "op7_perspectives": OP7,
     "op9_poisson_mix": OP9,

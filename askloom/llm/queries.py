@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .chat import rotate_perspectives
+from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .oracles import ORACLE_SQL  # noqa: F401
+from .packing import pack_documents
 from .quality import judge_documents
 from .sharding import byte_shards
 from .substring_dedup import dedup_substrings
+from .toxicity import score_documents, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +34,12 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5")
+    )
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -37,6 +47,10 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +62,17 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the queries; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("text_md5"))
     return mix_sources(docs).select(
@@ -55,11 +80,23 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sentence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select(
+        "doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_host_quality": op4_host_quality,
+    "op5_posting_lists": op5_posting_lists,
     "op6_byte_shards": op6_byte_shards,
     "op7_perspectives": op7_perspectives,
+    "op8_nnls_packing": op8_nnls_packing,
     "op9_poisson_mix": op9_poisson_mix,
+    "op10_sentence_toxicity": op10_sentence_toxicity,
 }
