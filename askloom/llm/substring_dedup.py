@@ -16,7 +16,7 @@ The method, all in one plan:
     windows of one anchor) and dealt by their anchor.  Within a shard of
     anchors, the word sequences that occur twice or more are confirmed.
 3.  *Automata.*  Each shard compiles its confirmed sequences into an
-    Aho-Corasick automaton (a letter for each distinct word of the shard) and
+    Aho-Corasick automaton (over the distinct runs of ten words, spelled in digits) and
     streams its segments through it, which locates every occurrence.  All but
     the first occurrence of a sequence are flagged.
 4.  The flags go back to the documents, which drop the covered words.
@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -55,7 +56,7 @@ WIDTH = 20
 SEED = 6
 HOT_ANCHOR = 2000
 #: Segments that share one automaton.  A shard's memory follows from it.
-SHARD_SEGMENTS = 40_000
+SHARD_SEGMENTS = 12_000
 #: Bytes of text among which a task looks for repeats before it sends segments.
 COMBINE_BYTES = 4 << 20
 
@@ -218,8 +219,11 @@ def _locate(width: int):
     """Segments sorted by shard -> flagged runs of window starts.
 
     Consecutive shards share one automaton up to ``SHARD_SEGMENTS`` segments; a
-    shard is never split.
+    shard is never split.  A letter of the automaton is a run of ``step`` words,
+    so that a window takes few nodes; a segment is streamed once for each phase
+    (its words 0, step, 2 step, ..; 1, step + 1, ..; and so on).
     """
+    step = next(k for k in (10, 9, 8, 7, 6, 5, 4, 3, 2, 1) if width % k == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -257,67 +261,70 @@ def _locate(width: int):
         start, n = t.column("start").to_numpy(), t.column("n").to_numpy()
         by = np.lexsort((start, tkey, did))
         did, tkey, start, n = did[by], tkey[by], start[by], n[by]
-        raw = t.column("words").to_pylist()
-        raw = [raw[i] for i in by.tolist()]
-        # a letter for each distinct word; letter 0 separates segments
-        letters: dict[bytes, int] = {}
-        codes: list[int] = []
-        for r in raw:
-            for x in r.split():
-                codes.append(letters.setdefault(x, len(letters) + 1))
-            codes.append(0)
-        letter = np.array(codes, dtype=np.uint32)
-        del codes, raw
-        big = len(letters) >= 0xD800
-        if big:  # surrogates are no letters
-            letter[letter >= 0xD800] += 0x800
-        if len(letters) + 0x801 > 0x10FFFF:
-            raise ValueError("a shard holds more distinct words than there are letters")
-        stream = letter.tobytes().decode("utf-32-le")
-        seg_at = np.concatenate(([0], np.cumsum(n + width)))[:-1]  # n + width - 1 words and a 0
-        # all windows, in the order of documents
-        which = np.repeat(np.arange(len(n)), n)
-        off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        places = seg_at[which] + off
-        seen: dict[str, int] = {}
-        confirmed: list[str] = []
-        for p in places.tolist():
-            s = stream[p : p + width]
-            c = seen.get(s, 0)
-            if c == 1:
-                confirmed.append(s)
-            seen[s] = c + 1
-        del seen
-        if not confirmed:
+        words = Words(t.column("words").take(pa.array(by)).to_pylist()).hashes()
+        size = n + width - 1  # words of a segment
+        word_at = np.cumsum(size) - size
+
+        # letters: one for each distinct run of ``step`` words; 0 stands between segments
+        per = size - step + 1
+        seg = np.repeat(np.arange(len(n)), per)
+        off = np.arange(len(seg)) - np.repeat(np.cumsum(per) - per, per)
+        runs = gram_hashes(words, step)[word_at[seg] + off]
+        distinct, letter = np.unique(runs, return_inverse=True)
+        # spelled in digits of 5 bits, the first of which has symbols of its own, so that
+        # nodes have few children and a match starts at a letter
+        digits = max(1, -(-(len(distinct) - 1).bit_length() // 5))
+        spelt = (letter[:, None] >> (5 * np.arange(digits))) & 31
+        spelt = (spelt + 0x60 - 0x20 * (np.arange(digits) == 0)).astype(np.uint8)
+
+        # windows, in the order of documents; those that occur twice are confirmed
+        is_window = off < np.repeat(n, per)
+        place = np.flatnonzero(is_window)  # of a window's first letter
+        own = gram_hashes(words, width)[word_at[seg[place]] + off[place]]
+        _, first, times = np.unique(own, return_index=True, return_counts=True)
+        confirmed = place[first[times > 1]]
+        if not len(confirmed):
             return
+        phrases = spelt[confirmed[:, None] + np.arange(0, width, step)].tobytes().decode("ascii")
+        length = width // step * digits
         automaton = ahocorasick.Automaton()
-        for k, s in enumerate(confirmed):
-            automaton.add_word(s, k)
+        for k in range(len(confirmed)):
+            automaton.add_word(phrases[k * length : (k + 1) * length], k)
         automaton.make_automaton()
-        hits = np.array(list(automaton.iter(stream)), dtype=np.int64).reshape(-1, 2)
-        del automaton
-        at = np.searchsorted(places, hits[:, 0] - width + 1)
-        phrase = hits[:, 1]
-        seg, pos = which[at], start[which[at]] + off[at]
-        # hits come in the order of documents, so the first hit of a phrase is the earliest
-        order = np.argsort(phrase, kind="stable")
-        lead = np.concatenate(([True], phrase[order][1:] != phrase[order][:-1]))
-        first_of = np.empty(len(order), dtype=np.int64)
-        first_of[order] = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-        f = first_of
-        own = (did[seg] == did[seg[f]]) & (tkey[seg] == tkey[seg[f]]) & (pos == pos[f])
-        seg, pos = seg[~own], pos[~own]
-        if not len(seg):
+
+        # the stream: for each phase, every segment's letters ``step`` words apart
+        phase = (off % step).astype(np.int8)
+        walk = np.argsort(phase, kind="stable")
+        breaks = np.concatenate(([0], (np.diff(seg[walk]) != 0) | (np.diff(phase[walk]) != 0)))
+        spot = np.arange(len(walk)) * digits + np.cumsum(breaks)
+        stream = np.full(spot[-1] + digits, 0x20, dtype=np.uint8)
+        stream[spot[:, None] + np.arange(digits)] = spelt[walk]
+        source = np.zeros(len(stream), dtype=np.int64)
+        source[spot] = walk
+        found = automaton.iter(stream.tobytes().decode("ascii"))
+        hits = np.fromiter(chain.from_iterable(found), dtype=np.int64).reshape(-1, 2)
+        del automaton, phrases
+        at, phrase = source[hits[:, 0] - (length - 1)], hits[:, 1]
+
+        # in the order of documents, the first occurrence of a phrase is the earliest
+        order = np.lexsort((at, phrase))
+        at, phrase = at[order], phrase[order]
+        lead = np.flatnonzero(np.concatenate(([True], np.diff(phrase) != 0)))
+        earliest = at[np.repeat(lead, np.diff(np.append(lead, len(at))))]
+        a, b = seg[at], seg[earliest]
+        pos = start[a] + off[at]
+        itself = (did[a] == did[b]) & (tkey[a] == tkey[b]) & (pos == start[b] + off[earliest])
+        at = np.sort(at[~itself])
+        if not len(at):
             return
-        cut = np.concatenate(([True], (np.diff(seg) != 0) | (np.diff(pos) != 1)))
-        first = np.flatnonzero(cut)
-        length = np.diff(np.append(first, len(seg)))
+        a, pos = seg[at], start[seg[at]] + off[at]
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(pos) != 1))))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(did[seg[first]], pa.int64()),
-                pa.array(tkey[seg[first]], pa.int64()),
+                pa.array(did[a[first]], pa.int64()),
+                pa.array(tkey[a[first]], pa.int64()),
                 pa.array(pos[first], pa.int32()),
-                pa.array(length, pa.int32()),
+                pa.array(np.diff(np.append(first, len(at))), pa.int32()),
             ],
             ["did", "tkey", "start", "length"],
         )
@@ -372,8 +379,8 @@ def _apply(width: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """The texts under a key without nulls; both joins with it share one exchange."""
     return docs.select(
-        "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("did"),
         F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tkey"),
         "text",
@@ -386,7 +393,7 @@ def removed_windows(
     """Runs of recurring windows: did and tkey (the document), start and length (in window starts)."""
     if not 0 < seed <= width:
         raise ValueError("seed must be between 1 and width")
-    texts = _keyed(docs).select("did", "tkey", "text")
+    texts = _keyed(docs)
     facts = texts.mapInArrow(
         _emit_anchors(width, seed), "did long, tkey long, anchors array<long>"
     ).select("did", "tkey", F.explode("anchors").alias("anchor"))
@@ -419,7 +426,7 @@ def dedup_substrings(
     return (
         _keyed(docs)
         .join(flags, ["did", "tkey"], "left")
-        .select("doc_id", "text", "flags")
+        .select(F.when(F.col("did") != NULL_KEY, F.col("did")).alias("doc_id"), "text", "flags")
         .mapInArrow(
             _apply(width),
             "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string,"

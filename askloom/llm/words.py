@@ -73,9 +73,10 @@ class Words:
     starts.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        self.raw = raw
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False):
+        raw = [
+            t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts
+        ]
         self.data = b" ".join(raw) + b" "
         buf = np.frombuffer(self.data, dtype=np.uint8)
         sizes = np.fromiter((len(r) + 1 for r in raw), dtype=np.int64, count=len(raw))
