@@ -182,7 +182,7 @@ def near_duplicates(
     member = classes.select("rep", "n", F.explode("bands").alias("band"))
     size = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = materialize(member.join(size, "band"), "members")
-    links = _links(keyed, member, k, percent)
+    links = _links(keyed, signed.select(F.col("doc_id").alias("rep"), "bands"), member, k, percent)
     label = connected_components(links)
 
     names = classes.select("n", "s1", "s2", "rep").join(
@@ -204,10 +204,14 @@ def near_duplicates(
     )
 
 
-def _links(keyed: DataFrame, member: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(keyed: DataFrame, bands: DataFrame, member: DataFrame, k: int, percent: int) -> DataFrame:
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(
-        keyed.join(reps, "doc_id", "left_semi").mapInArrow(_sets(k), "rep long, s array<long>"), "sets"
+        # a merge join at every size, so that small and large inputs take the same way
+        keyed.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(
+            _sets(k), "rep long, s array<long>"
+        ),
+        "sets",
     )
     # pivots
     weight = member.groupBy("rep").agg(F.sum("size").alias("weight"))
@@ -252,19 +256,24 @@ def _links(keyed: DataFrame, member: DataFrame, k: int, percent: int) -> DataFra
         "bound", F.when(F.col("size") > LARGE_BUCKET, F.col("bound")).otherwise(F.col("n"))
     )
     # a set that shares too little with all others has no link
-    state = materialize(state.where(_fits(F.col("bound"), F.col("n"), F.col("bound"), percent)), "alive")
+    state = state.where(_fits(F.col("bound"), F.col("n"), F.col("bound"), percent))
+    asked = bands.where("bands is not null").join(state.select("rep").distinct(), "rep", "left_semi")
+    state = materialize(state.join(asked.distinct(), "rep"), "alive")
 
     left = state.where("component <> home").select(
-        "band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bound").alias("ba")
+        "band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bound").alias("ba"), F.col("bands").alias("xa")
     )
     right = state.where("rep <> pivot").select(
-        "band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bound").alias("bb")
+        "band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bound").alias("bb"), F.col("bands").alias("xb")
     )
     most = F.least("ba", "bb", "na", "nb")
+    both = F.filter(F.zip_with("xa", "xb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     rest = (
         left.join(right, "band")
         .where(F.col("ca") != F.col("cb"))
         .where(_fits(most, F.col("na"), F.col("nb"), percent))
+        # a pair of several common bands is formed in the first of them only
+        .where(F.get(both, F.lit(0)) == F.col("band"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
