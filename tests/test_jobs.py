@@ -1,0 +1,164 @@
+"""Sources, models, whole jobs, streaming and the driver's contract."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from askloom import __main__ as cli
+from askloom import models, queries
+from askloom.operators import chunking, index
+from askloom.operators.ids import settle
+from askloom.plans import retrieval
+from askloom.sources import tables
+from askloom.streaming.ingest import ingest_pages
+
+TEXTS = [
+    "Вклад открывают в отделении банка за один день. Для этого нужен паспорт и заявление клиента. Деньги зачисляются сразу. Проценты выплачивают каждый месяц на счёт клиента в этом же банке.",
+    "Карту блокируют в приложении или по телефону горячей линии. Зайдите в раздел карт, чтобы увидеть кнопку блокировки. Новую карту выпускают за пять дней и привозят домой курьером.",
+    "Кредит гасят досрочно без комиссии. Заявление подают за день до платежа через личный кабинет банка. Проценты пересчитывают на дату платежа, а график приходит клиенту.",
+]
+QUESTIONS = [("q1", "Как открыть вклад?"), ("q2", "Как заблокировать карту?"), ("q3", "Как погасить кредит досрочно?")]
+
+
+@pytest.fixture
+def websites(spark):
+    return spark.createDataFrame(list(enumerate(TEXTS)), "web_id long, text string")
+
+
+@pytest.fixture
+def questions(spark):
+    return spark.createDataFrame(QUESTIONS, "q_id string, query string")
+
+
+def test_pipeline_with_cache_and_resume(spark, websites, questions, tmp_path):
+    cache, made = f"file://{tmp_path}/cache", f"file://{tmp_path}/index"
+    run = lambda **kw: retrieval.run_pipeline(spark, websites, questions, cache_path=cache, index_path=made, **kw)
+    answers, counters = run()
+    first = {r.q_id: (r.answer, r.status) for r in answers.collect()}
+    assert set(first) == {"q1", "q2", "q3"} and all(a for a, _ in first.values())
+    assert "паспорт" in first["q1"][0] or "Вклад" in first["q1"][0]
+    assert counters.first().total == 3
+    answers, counters = run(done=spark.createDataFrame([("q1",)], "q_id string"))
+    again = {r.q_id: (r.answer, r.status) for r in answers.collect()}
+    assert set(again) == {"q2", "q3"}
+    assert all(again[q][0] == first[q][0] for q in again) and {s for _, s in again.values()} == {"cached"}
+    facts = tables.index_facts(tables.load_index(spark, made))
+    assert facts["ready"] and facts["dimension"] == 64
+
+
+def test_references_rescue(spark, websites, questions):
+    class Broken(models.Generator):
+        def opened(self):
+            return lambda prompts: ["Broken wonderland token"] * len(prompts)
+
+    refs = spark.createDataFrame([("q1", "Согласно Фрагменту 1, вклад открывают в банке.")], "q_id string, reference string")
+    answers, _ = retrieval.run_pipeline(spark, websites, questions, references=refs, generate=Broken(), parent_child=False)
+    got = {r.q_id: r.answer for r in answers.collect()}
+    assert got["q1"] == "вклад открывают в банке." and "wonderland" not in "".join(got.values())
+
+
+def test_unbuilt_index_is_an_error(spark, questions):
+    empty = spark.createDataFrame([], "chunk_id long, vec_id long, text string, parent_id string, parent_text string, embedding array<float>")
+    with pytest.raises(RuntimeError):
+        retrieval.retrieve(questions, empty, models.HashingEmbedder(), models.OverlapReranker())
+    with pytest.raises(ValueError):
+        index.build_index(empty.drop("embedding"), models.HashingEmbedder())
+    with pytest.raises(FileNotFoundError):
+        tables.load_index(spark, "file:///nowhere/at/all")
+
+
+def test_csv_round_trip(spark, tmp_path):
+    (tmp_path / "w.csv").write_text('web_id,text\n1,"Строка ""раз""\nи два"\n2,\n', encoding="utf-8")
+    (tmp_path / "r.csv").write_text("id,answer\n1,а\n2,б\n1,в\n3,\n", encoding="utf-8")
+    rows = tables.read_websites(spark, f"file://{tmp_path}/w.csv").collect()
+    assert [(r.web_id, r.text) for r in rows] == [(1, 'Строка "раз"\nи два'), (2, "")]
+    refs = tables.read_references(spark, f"file://{tmp_path}/r.csv").collect()
+    assert sorted(map(tuple, refs)) == [("1", "в"), ("2", "б")]
+    assert tables.read_references(spark, f"file://{tmp_path}/none.csv").collect() == []
+    answers = spark.createDataFrame([("1", 'да, "так"\nи так')], "q_id string, answer string")
+    tables.write_submission(answers, f"file://{tmp_path}/out")
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"file://{tmp_path}/out")
+    assert [tuple(r) for r in back.select("q_id", "answer_new").collect()] == [("1", 'да, "так"\nи так')]
+
+
+def test_upsert(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    got = tables.upsert(table, spark.createDataFrame([(2, "c"), (3, "d")], "id long, x string"), "id")
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_loader(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Первый  абзац.\n\nВторой.", encoding="utf-8")
+    (tmp_path / "b.html").write_text("<h1>Глава</h1><script>x()</script><p>Текст&nbsp;тут</p>", encoding="utf-8")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    (tmp_path / "d.xyz").write_bytes(b"?")
+    rows = {r.metadata["filename"]: r for r in tables.load_documents(spark, f"file://{tmp_path}").collect()}
+    assert set(rows) == {"a.txt", "b.html"}
+    assert rows["a.txt"].content == "Первый абзац.\n\nВторой." and rows["b.html"].content.startswith("Глава\n\nТекст")
+    assert len(rows["a.txt"].doc_id) == 16 and rows["a.txt"].metadata["extension"] == ".txt"
+    assert tables.load_document(spark, f"file://{tmp_path}/a.txt").count() == 1
+    for bad in ("c.pdf", "d.xyz", "none.txt"):
+        with pytest.raises(tables.DocumentLoadError):
+            tables.load_document(spark, f"file://{tmp_path}/{bad}")
+
+
+def test_remote_models(spark):
+    def post(url, headers, body):
+        if url.endswith("embed"):
+            return {"data": [{"embedding": [float(len(t)), 1.0]} for t in body["input"]]}
+        if url.endswith("rerank"):
+            return {"results": [{"index": i, "relevance_score": len(d) / 10} for i, d in enumerate(body["documents"])]}
+        if "плохо" in body["messages"][1]["content"]:
+            raise OSError("refused")
+        return {"choices": [{"message": {"content": " ответ " + body["messages"][1]["content"][-3:]}}]}
+
+    at = lambda p: models.Remote(f"http://x/{p}", "m", needs_key=False, transport=post)
+    df = spark.createDataFrame([("1", "вопрос", "abc", "ctx"), ("2", "вопрос", "abcde", "")], "q_id string, query string, text string, context string")
+    assert [r.embedding for r in models.RemoteEmbedder(at("embed")).__call__(df).collect()] == [[3.0, 1.0], [5.0, 1.0]]
+    assert [r.score for r in models.RemoteReranker(at("rerank")).__call__(df).collect()] == [0.3, 0.5]
+    made = models.create(models.GENERATORS, "remote", remote=at("chat"))(df).collect()
+    assert [r.answer for r in made] == ["ответ рос", "ответ рос"]
+    with pytest.raises(models.ModelError):
+        models.Remote("http://x", "m").call({})
+    with pytest.raises(models.ModelError):
+        models.create(models.RERANKERS, "no such model")
+    with pytest.raises(models.ModelError):
+        models.with_retries(lambda: 1 / 0, attempts=2, first_wait=0)
+
+
+def test_observed(spark):
+    df, seen = models.observed(spark.range(7), "rows-seen", F.sum("id").alias("total"))
+    df.collect()
+    assert seen.get == {"total": 21}
+
+
+def test_parent_tables(spark, websites):
+    made = settle(index.build_index(chunking.build_chunks(websites), models.HashingEmbedder()), "index")
+    assert index.parent_texts(made).count() <= made.count()
+    assert index.chunk_rows(made, spark.createDataFrame([(0,), (-1,)], "vec_id long")).count() == 1
+    single = index.build_index(chunking.build_chunks(websites, False), models.HashingEmbedder())
+    assert all(r.parent_id == str(r.chunk_id) for r in index.parent_rows(single).collect())
+
+
+def test_streaming_ingest(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "Счёт открыт"), (2, "счет ОТКРЫТ"), (3, "другое")], "page_id long, text string")
+    pages.write.parquet(f"file://{tmp_path}/in/a")
+    run = lambda: ingest_pages(spark, f"file://{tmp_path}/in/*", "page_id long, text string", f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    run()
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+    pages.union(spark.createDataFrame([(4, "новое")], pages.schema)).write.parquet(f"file://{tmp_path}/in/b")
+    run()
+    assert sorted(r.text for r in spark.read.parquet(f"file://{tmp_path}/out").where("page_id > 2").collect()) == ["другое", "новое"]
+
+
+def test_command_line(spark, tmp_path, websites, questions):
+    websites.write.parquet(f"file://{tmp_path}/w.parquet")
+    questions.write.parquet(f"file://{tmp_path}/q.parquet")
+    cli.main([f"file://{tmp_path}/w.parquet", f"file://{tmp_path}/q.parquet", f"file://{tmp_path}/out", "--limit", "2", "--fast-quality", "--legacy-chunking"])
+    assert spark.read.option("header", True).option("multiLine", True).csv(f"file://{tmp_path}/out").count() == 2
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.columns == ["q_id", "context"] and df.count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
