@@ -37,25 +37,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, materialize, words_of
+from .common import NULL_KEY, SPACE_RUN, global_positions, materialize
 
 MIN_WORDS = 8
+_SPACES = " \t\n\x0b\f\r"
 
 
 def _halves(words: Column, n: Column, min_words: int) -> Column:
-    """Hashes of the halves that one edit can leave as they were, for either length of a pair's shorter line."""
-
-    def half(short: Column, second: bool) -> Column:
-        size = (short / 2).cast("int") if not second else short - (short / 2).cast("int")
-        part = F.slice(words, F.lit(1), size) if not second else F.slice(words, n - size + 1, size)
-        return F.xxhash64(short, F.lit(second), part)
-
-    own = F.when(n >= min_words, F.array(half(n, False), half(n, True))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    less = F.when(n > min_words, F.array(half(n - 1, False), half(n - 1, True))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    """Hashes of the halves that one edit can leave as they were, for either length of a pair's shorter line.
+
+    A half of h words is shortened to h's three leading bits, so that lines of n
+    and of n + 1 words mostly emit the same two.
+    """
+
+    def part(short: Column, last: bool) -> Column:
+        half = F.shiftright(short, 1)
+        bits = F.greatest(F.floor(F.log2(half)).cast("int") - 2, F.lit(0))
+        size = F.call_function("shiftleft", F.call_function("shiftright", half, bits), bits)
+        start = n - size + 1 if last else F.lit(1)
+        return F.xxhash64(size, F.lit(last), F.slice(words, start, size))
+
+    none = F.array().cast("array<bigint>")
+    both = lambda short: F.array(part(short, False), part(short, True))
+    own = F.when(n >= min_words, both(n)).otherwise(none)
+    less = F.when(n > min_words, both(n - 1)).otherwise(none)
     return F.array_distinct(F.concat(own, less))
 
 
@@ -88,120 +93,113 @@ def _neighbourhood(words: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` reduced to the lines that stay, and n_lines and n_removed (lines with a word)."""
+    """``docs`` with ``text`` reduced to the lines that stay, and n_lines and n_removed (lines with a word).
+
+    ``docs`` must not have columns of these two names.
+    """
+    if {"n_lines", "n_removed"} & set(docs.columns):
+        raise ValueError("n_lines and n_removed are columns of the result")
     if min_words < 2:
         raise ValueError("an edit makes sense from two words on")
-    keyed = docs.withColumns(
-        {
-            "__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)),
-            "__tkey": F.coalesce(F.xxhash64("text"), F.lit(0)),
-        }
-    )
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("__did")
+    tkey = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__tkey")
+    doc = ["__did", "__tkey"]
+    # every join with the texts is with this table, so that they share one exchange of it
+    texts = docs.select(did, tkey, "text")
     line = (
-        keyed.select("__did", "__tkey", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-        .select("__did", "__tkey", "line", words_of(F.col("s")).alias("w"))
-        .select("__did", "__tkey", "line", "w", F.size("w").alias("n"))
-        .where("n > 0")
+        texts.select(*doc, F.posexplode(F.split("text", "\n")).alias("line", "s"))
+        .withColumn("s", F.btrim("s", F.lit(_SPACES)))
+        .where("s <> ''")
+        .select(*doc, "line", F.split("s", SPACE_RUN).alias("w"))
     )
-    place = lambda *more: F.struct("__did", "__tkey", "line", *more)
-    first = materialize(
+    halves = _halves(F.col("w"), F.size("w"), min_words).alias("halves")
+    first = (
         line.select(
             F.xxhash64("w").alias("k1"),
             F.xxhash64(F.lit(1), "w").alias("k2"),
-            place("n", _halves(F.col("w"), F.col("n"), min_words).alias("halves")).alias("at"),
+            F.struct(*doc, "line", halves).alias("at"),
         )
         .groupBy("k1", "k2")
         .agg(F.min("at").alias("at"))
-        .select("k1", "k2", "at.*"),
-        "lines",
-    )
-    gone = _near_lines(keyed, first)
-    kept = (
-        first.join(gone, ["k1", "k2"], "left_anti")
-        .groupBy("__did", "__tkey")
-        .agg(F.collect_list("line").alias("__kept"))
-    )
-    lines = F.split("text", "\n")
-    joined = keyed.join(kept, ["__did", "__tkey"], "left").withColumn("__lines", lines)
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    full = F.filter(every, lambda i: F.get("__lines", i).rlike(r"[^\x20\x09-\x0D]"))
-    joined = joined.withColumn("__full", F.when(F.col("text").isNotNull(), full)).withColumn(
-        "__removed", F.array_except("__full", F.coalesce("__kept", F.array().cast("array<int>")))
+        .select("at.*")
     )
-    stay = F.transform(F.array_except(every, F.col("__removed")), lambda i: F.get("__lines", i))
-    # array_except drops what repeats, but line numbers don't
-    text = F.when(F.col("text").isNotNull(), F.array_join(stay, "\n"))
-    return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNotNull(), F.size("__full")).otherwise(0).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNotNull(), F.size("__removed")).otherwise(0).cast("long").alias("n_removed"),
-    )
-
-
-def _near_lines(keyed: DataFrame, first: DataFrame) -> DataFrame:
-    """(k1, k2) of the distinct lines that are one edit away from an earlier one."""
-    half = first.select("k1", "k2", "__did", "__tkey", "line", F.explode("halves").alias("half"))
+    first = materialize(first, "lines")
+    gone = _near_lines(texts, first).groupBy(*doc).agg(F.collect_list("line").alias("gone"))
+    kept = first.groupBy(*doc).agg(F.collect_list("line").alias("kept"))
+    joined = texts.join(kept, doc, "left").join(gone, doc, "left").select(
+        *doc, "text", F.split("text", "\n").alias("lines"), "kept", "gone"
+    )
+    none = F.array().cast("array<int>")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    full = F.filter(every, lambda i: F.get("lines", i).rlike(r"[^\x20\x09-\x0D]"))
+    joined = joined.withColumn("full", F.when(F.col("text").isNotNull(), full))
+    stays = F.array_except(F.coalesce("kept", none), F.coalesce("gone", none))
+    joined = joined.withColumn("removed", F.array_except("full", stays))
+    left = F.transform(F.array_except(every, F.col("removed")), lambda i: F.get("lines", i))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    reduced = joined.select(
+        *doc,
+        F.when(F.col("text").isNotNull(), F.array_join(left, "\n")).alias("text"),
+        count("full").alias("n_lines"),
+        count("removed").alias("n_removed"),
+    )
+    rest = [c for c in docs.columns if c != "text"]
+    if rest == ["doc_id"] and dict(docs.dtypes)["doc_id"] == "bigint":
+        made = reduced.withColumn("doc_id", F.when(F.col("__did") != NULL_KEY, F.col("__did")))
+    else:  # narrow columns join at the end
+        other = docs.select(did, tkey, *[F.col(c).alias(f"__{c}") for c in rest])
+        made = reduced.dropDuplicates(doc).join(other, doc).withColumnsRenamed({f"__{c}": c for c in rest})
+    return made.select(*docs.columns, "n_lines", "n_removed")
+
+
+def _near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:
+    """(__did, __tkey, line) of the first occurrences of lines that are one edit away from an earlier one."""
+    half = first.select("__did", "__tkey", "line", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    asked = half.join(shared, "half", "left_semi").select("k1", "k2", "__did", "__tkey", "line").distinct()
-    of_doc = asked.groupBy("__did", "__tkey").agg(
-        F.collect_list(F.struct("line", "k1", "k2")).alias("asked")
+    asked = half.join(shared, "half", "left_semi").select("__did", "__tkey", "line").distinct()
+    # ids in the order of lines, so that the least id is the earliest line
+    asked = global_positions(asked, ["__did", "__tkey", "line"], {"id": F.lit(1).cast("long")}).drop("id_all")
+    asked = materialize(asked, "asked")
+    of_doc = asked.groupBy("__did", "__tkey").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
+    # a document that comes twice gives its lines twice, which changes nothing below
+    found = texts.join(of_doc, ["__did", "__tkey"]).select(
+        F.split("text", "\n").alias("lines"), F.explode("asked").alias("a")
+    )
+    trimmed = F.btrim(F.get("lines", F.col("a.line")), F.lit(_SPACES))
+    found = found.select(F.coalesce("a.id", F.lit(0)).alias("id"), F.split(trimmed, SPACE_RUN).alias("w"))
+    # an exchange that all that follows reads, and with it that of the texts
+    found = found.repartition("id")
+    variant = found.select("id", F.size("w").alias("n"), F.explode(_neighbourhood(F.col("w"))).alias("x")).select(
+        "id", "n", "x.pos", "x.v"
     )
-    found = (
-        keyed.select("__did", "__tkey", "text")
-        .join(of_doc, ["__did", "__tkey"])
-        .dropDuplicates(["__did", "__tkey"])
-        .select("__did", "__tkey", F.split("text", "\n").alias("lines"), F.explode("asked").alias("a"))
-        .select(
-            "a.k1", "a.k2",
-            F.struct("__did", "__tkey", F.col("a.line").alias("line")).alias("at"),
-            words_of(F.get("lines", F.col("a.line"))).alias("w"),
-        )
-    )
-    found = materialize(found, "asked-lines")
-    variant = found.select(
-        "k1", "k2", "at", F.size("w").alias("n"), F.explode(_neighbourhood(F.col("w"))).alias("x")
-    ).select(
-        "k1", "k2", "at", "x.pos", "x.v",
-        F.when(F.col("x.pos") < 0, F.col("n")).otherwise(F.col("n") - 1).alias("size"),
-    )
-    me = lambda: F.struct("at", "k1", "k2")
     # replacements: the same place left out
-    swap = (
-        variant.where("pos >= 0")
-        .groupBy("v", "size", "pos")
-        .agg(F.min(me()).alias("lead"), F.count(F.lit(1)).alias("times"))
-        .where("times > 1")
-    )
-    swaps = (
-        variant.where("pos >= 0")
-        .join(swap, ["v", "size", "pos"])
-        .where(F.col("lead.at") < F.col("at"))
-        .select("k1", "k2", F.col("lead.k1").alias("e1"), F.col("lead.k2").alias("e2"))
-    )
+    swap = variant.where("pos >= 0").select("id", F.xxhash64("v", "n", "pos").alias("key"))
+    lead = swap.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
+    swaps = swap.join(lead.select("key", "lead"), "key").where("lead < id").select("id", "lead")
     # a word more or less: whole lines meet variants
     whole = F.col("pos") < 0
-    drop = (
-        variant.groupBy("v", "size")
-        .agg(F.min(F.when(whole, me())).alias("whole"), F.min(F.when(~whole, me())).alias("cut"))
-        .where("whole is not null and cut is not null")
+    drop = variant.select(
+        "id", whole.alias("whole"), F.xxhash64("v", F.when(whole, F.col("n")).otherwise(F.col("n") - 1)).alias("key")
+    )
+    both = (
+        drop.groupBy("key")
+        .agg(F.min(F.when(F.col("whole"), F.col("id"))).alias("line"), F.min(F.when(~F.col("whole"), F.col("id"))).alias("cut"))
+        .where("line is not null and cut is not null")
     )
-    lead = F.when(whole, F.col("cut")).otherwise(F.col("whole"))
     drops = (
-        variant.join(drop, ["v", "size"])
-        .withColumn("lead", lead)
-        .where(F.col("lead.at") < F.col("at"))
-        .select("k1", "k2", F.col("lead.k1").alias("e1"), F.col("lead.k2").alias("e2"))
+        drop.join(both, "key")
+        .select("id", F.when(F.col("whole"), F.col("cut")).otherwise(F.col("line")).alias("lead"))
+        .where("lead < id")
     )
     pairs = swaps.union(drops).distinct()
-    later = found.select("k1", "k2", F.col("w").alias("a"))
-    earlier = found.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("w").alias("b"))
-    return (
-        pairs.join(later, ["k1", "k2"])
-        .join(earlier, ["e1", "e2"])
+    near = (
+        pairs.join(found.select("id", F.col("w").alias("a")), "id")
+        .join(found.select(F.col("id").alias("lead"), F.col("w").alias("b")), "lead")
         .where(one_edit(F.col("a"), F.col("b")))
-        .select("k1", "k2")
+        .select("id")
         .distinct()
     )
+    return asked.join(near, "id", "left_semi").select("__did", "__tkey", "line")
 
 
 def one_edit(a: Column, b: Column) -> Column:
