@@ -2,7 +2,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pytest
 from tokenizers import Tokenizer
 
 from askloom.llm.packing import Encoder, fill_combinations, pack_documents, pack_histogram, solve_counts
@@ -58,12 +57,21 @@ def test_edge_cases(spark):
     assert all(zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 for r in with_ids)
 
 
-@pytest.mark.parametrize("cache", [5, 40, 10**6])
-def test_encoder_forgets_and_agrees(cache, spark, sf_dir):
-    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
-    tokenizer = Tokenizer.from_file(PATH)
-    got = Encoder(PATH, cache).encode(texts)
-    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+def test_encoder_agrees_with_the_tokenizers_library(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    texts = [r.text for r in docs.collect()]
+    texts += [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    texts += ["a\u00a0 b\u2003\u2003c", "it's we'LL they've I'd 's", "x" * 5000, "  \n\n \t x ", "१२ ³ ½", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16")]
+    encoder, tokenizer = Encoder(PATH), Tokenizer.from_file(PATH)
+    assert encoder.fast is not None
+    for t in texts:
+        assert encoder.encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_take_their_own_way():
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.fast is None
+    assert encoder.encode("Hello there").tolist() == encoder.tokenizer.encode("Hello there", add_special_tokens=False).ids
 
 
 def test_patterns_use_up_the_histogram():
