@@ -425,6 +425,26 @@ def hybrid_retrieve(spark, sf):
     return retrieval.retrieve(_questions(spark, sf), made, embed, OverlapReranker())
 
 
+@query(f"WITH {_RRF} SELECT q_id, id, rrf FROM rrf WHERE rank < 50")
+def store_query(spark, sf):
+    return _fused(spark, sf).where("rank < 50").select("q_id", "id", "rrf")
+
+
+@query("""SELECT count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS dimension FROM embeddings""")
+def index_size(spark, sf):
+    return _table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dimension"))
+
+
+@query("""SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS INTEGER) AS label FROM embeddings WHERE vec_id % 5 <> 0
+UNION ALL SELECT vec_id, -1 FROM embeddings WHERE vec_id % 15 = 0""")
+def index_upsert_delete(spark, sf):
+    """Every fifth row is deleted, and then every third comes (again) with another label."""
+    table = _table(spark, sf, "embeddings").select("vec_id", "label")
+    left = tables.delete_rows(table, table.where("vec_id % 5 = 0"), "vec_id")
+    new = table.where("vec_id % 3 = 0").withColumn("label", F.lit(-1))
+    return tables.upsert(left, new, "vec_id")
+
+
 # --- answers ---
 
 

@@ -8,7 +8,7 @@ from askloom import __main__ as cli
 from askloom import models, queries
 from askloom.operators import chunking, index
 from askloom.operators.ids import settle
-from askloom.plans import retrieval
+from askloom.plans import evaluation, retrieval
 from askloom.sources import tables
 from askloom.streaming.ingest import ingest_pages
 
@@ -126,6 +126,29 @@ def test_remote_models(spark):
         models.with_retries(lambda: 1 / 0, attempts=2, first_wait=0)
 
 
+def test_hybrid_search_and_evaluation(spark, websites, questions, tmp_path):
+    embed = models.HashingEmbedder()
+    made = settle(index.build_index(chunking.build_chunks(websites, False), embed), "index")
+    hits = retrieval.hybrid_search(questions, made, embed, top_k=2).collect()
+    assert {r.q_id for r in hits} == {"q1", "q2", "q3"} and all(r.rank < 2 and r.score > 0 for r in hits)
+    answers = spark.createDataFrame([("q1", "Вклад можно открыть за день"), ("q2", ""), ("q9", "x")], "q_id string, answer_new string")
+    report = evaluation.evaluate_answers(answers, questions)
+    assert report["stats"]["total"] == 2 and report["stats"]["empty_count"] == 1 and report["stats"]["actionable_count"] == 1
+    assert report["longest"].first().q_id == "q1"
+    path = f"file://{tmp_path}/analysis"
+    seen = evaluation.analyze_answers(answers.withColumnRenamed("answer_new", "answer"), questions, path=path)
+    assert seen["counts"]["short"] == 2 and seen["extremes"]["max_chars"] == 27
+    assert spark.read.option("header", True).csv(path).columns == ["q_id", "query", "answer", "answer_chars", "answer_words"]
+
+
+def test_parsing_service(spark, tmp_path):
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    found = [{"type": "Title", "text": "A"}, {"type": "Footer", "text": "x"}, {"type": "ListItem", "text": "b"}]
+    text = tables.joined_elements(found)
+    rows = tables.load_documents(spark, f"file://{tmp_path}/c.pdf", parse=lambda name, data: text).collect()
+    assert [r.content for r in rows] == ["A\n\nb"]
+
+
 def test_observed(spark):
     df, seen = models.observed(spark.range(7), "rows-seen", F.sum("id").alias("total"))
     df.collect()
