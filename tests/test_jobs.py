@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from askloom import __main__ as cli
-from askloom import models, queries
+from askloom import api, models, queries
 from askloom.operators import chunking, index
 from askloom.operators.ids import settle
 from askloom.plans import evaluation, retrieval
@@ -46,6 +46,24 @@ def test_pipeline_with_cache_and_resume(spark, websites, questions, tmp_path):
     assert facts["ready"] and facts["dimension"] == 64
 
 
+def test_batches_are_taken_up(spark, questions, tmp_path):
+    asked = []
+
+    def answer(rows):
+        asked.append(sorted(r.q_id for r in rows.collect()))
+        if len(asked) == 2:
+            raise RuntimeError("lost")
+        return rows.withColumn("answer", F.upper("query"))
+
+    run = lambda: api.answer_in_batches(spark, questions, answer, f"file://{tmp_path}/answers", batch_rows=2)
+    with pytest.raises(RuntimeError):
+        run()
+    assert sorted(r.q_id for r in run().collect()) == ["q1", "q2", "q3"]
+    assert asked == [["q1", "q2"], ["q3"], ["q3"]]
+    assert api.answer_in_batches(spark, questions.limit(0), lambda d: d, f"file://{tmp_path}/none").count() == 0
+    assert all(hasattr(api, name) for name in api.__all__)
+
+
 def test_references_rescue(spark, websites, questions):
     class Broken(models.Generator):
         def opened(self):
