@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, materialize
+from .common import NULL_KEY, materialize, text_batches
 from .components import connected_components
 from .words import Words, chunks, gram_hashes, mix64
 
@@ -167,6 +167,7 @@ def near_duplicates(
     docs: DataFrame, k: int = K, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class_id for every document."""
+    text_batches(docs.sparkSession)
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_id"), "text"
     )
@@ -247,11 +248,29 @@ def _links(keyed: DataFrame, bands: DataFrame, member: DataFrame, k: int, percen
     open_bands = state.where("component <> home").select("band").distinct()
     state = materialize(state.join(open_bands, "band", "left_semi"), "open")
 
-    big = state.where(F.col("size") > LARGE_BUCKET).select("rep").distinct()
-    shingle = sets.join(big, "rep", "left_semi").select("rep", F.explode("s").alias("x"))
-    common = shingle.groupBy("x").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    shared = shingle.join(common, "x", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
-    bound = big.join(shared, "rep", "left").select("rep", F.coalesce("shared", F.lit(0)).alias("bound"))
+    # a member's shingles that its pivot has are shared for sure; of the others, those that a
+    # second member has outside of its own pivot, or any pivot has
+    big = state.where(F.col("size") > LARGE_BUCKET).groupBy("rep").agg(F.min("pivot").alias("pivot"))
+    ends = sets.select(F.col("rep").alias("pivot"), F.col("s").alias("p"))
+    apart = big.join(sets, "rep").join(ends, "pivot").select(
+        "rep",
+        F.size(F.array_intersect("s", "p")).alias("inside"),
+        F.array_except("s", "p").alias("outside"),
+    )
+    apart = materialize(apart, "apart")
+    outside = apart.select("rep", F.explode("outside").alias("x"))
+    pivots = ends.join(big.select("pivot").distinct(), "pivot", "left_semi").select(F.explode("p").alias("x"))
+    common = (
+        outside.select("x", F.lit(1).alias("n"))
+        .union(pivots.distinct().select("x", F.lit(1)))
+        .groupBy("x")
+        .agg(F.count("n").alias("times"))
+        .where("times > 1")
+    )
+    shared = outside.join(common, "x", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    bound = apart.join(shared, "rep", "left").select(
+        "rep", (F.col("inside") + F.coalesce("shared", F.lit(0))).alias("bound")
+    )
     state = state.join(bound, "rep", "left").withColumn(
         "bound", F.when(F.col("size") > LARGE_BUCKET, F.col("bound")).otherwise(F.col("n"))
     )
