@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_positions, materialize
+from .common import global_positions, materialize, text_batches
 
 WINDOW = 1024
 END_ID = 0
@@ -236,6 +236,7 @@ def pack_documents(
     if window < 1:
         raise ValueError("a sequence holds at least one token")
     spark = docs.sparkSession
+    text_batches(spark)
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _cut(tokenizer_path, window, end_id, with_ids),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>",

@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY
+from .common import NULL_KEY, text_batches
 from .words import Words, chunks, gram_hashes, mix64, sliding_argmin
 
 WIDTH = 20
@@ -393,6 +393,7 @@ def removed_windows(
     """Runs of recurring windows: did and tkey (the document), start and length (in window starts)."""
     if not 0 < seed <= width:
         raise ValueError("seed must be between 1 and width")
+    text_batches(docs.sparkSession)
     texts = _keyed(docs)
     facts = texts.mapInArrow(
         _emit_anchors(width, seed), "did long, tkey long, anchors array<long>"

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .words import U64, _power_tables, chunks, mix64
 
 BITS = 20
@@ -47,6 +48,9 @@ MIN_DOCS = 3
 L1_DOCS = 0.5
 STEP = 0.15
 
+#: Bytes of text that are taken apart together.
+CHUNK_BYTES = 1 << 18
+
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = _LETTER[128:] = True
@@ -132,28 +136,30 @@ class Model:
 
 
 def fit(
-    features: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS
+    features: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS
 ) -> Model:
     """Proximal Adam on the mean log-loss of the noisy-or, with an L1 penalty for few features.
 
-    ``features[i]`` lists document i's features and ``sentences[i]`` their sentences from 0.
+    ``features[i]`` lists document i's features sentence by sentence, and
+    ``sizes[i]`` how many of them each of its sentences has.
     """
     y = labels.astype(bool)
     share = (y.sum() + 1) / (len(y) + 2)
     weights = np.zeros(1 << BITS, dtype=np.float64)
     if y.all() or not y.any():
         return Model(weights, float(np.log(share / (1 - share))))
-    n = np.array([int(s[-1]) + 1 if len(s) else 1 for s in sentences])
+    n = np.array([len(s) for s in sizes])
     at = np.cumsum(n) - n
-    feature = np.concatenate(features).astype(np.int64)
-    sentence = np.concatenate([s + a for s, a in zip(sentences, at)])
     # a feature of fewer than MIN_DOCS documents can't be told from chance
-    doc = np.searchsorted(at, sentence, side="right") - 1
-    seen = np.unique(feature * len(y) + doc) // len(y)
-    often = np.bincount(seen, minlength=1 << BITS) >= MIN_DOCS
-    keep = often[feature]
+    seen = np.zeros(1 << BITS, dtype=np.int32)
+    for f in features:
+        seen[np.unique(f)] += 1
+    feature = np.concatenate(features)
+    sentence = np.repeat(np.arange(n.sum(), dtype=np.int32), np.concatenate(sizes))
+    keep = seen[feature] >= MIN_DOCS
     feature, sentence = feature[keep], sentence[keep]
     used, feature = np.unique(feature, return_inverse=True)
+    feature = feature.astype(np.int32)
     doc_of = np.repeat(np.arange(len(y)), n)
     total = int(n.sum())
 
@@ -179,17 +185,18 @@ def fit(
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, CHUNK_BYTES):
             bags = Bags(texts[a:b])
             doc_at = np.searchsorted(bags.sentence, bags.first)
             f, s = [], []
             for i in range(b - a):
                 part = slice(doc_at[i], doc_at[i + 1])
+                n = int(bags.first[i + 1] - bags.first[i])
                 f.append(bags.feature[part].astype(np.int32).tobytes())
-                s.append((bags.sentence[part] - bags.first[i]).astype(np.int32).tobytes())
+                s.append(np.bincount(bags.sentence[part] - bags.first[i], minlength=n).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(f, pa.binary()), pa.array(s, pa.binary())],
-                ["toxic", "features", "sentences"],
+                ["toxic", "features", "sizes"],
             )
 
 
@@ -207,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, rounds
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_docs)
     )
+    text_batches(docs.sparkSession)
     # the sample's ids are bounded by max_docs
     words = F.length("text") - F.length(F.translate("text", " \n", ""))
     texts = (
@@ -215,9 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, rounds
         .where(words <= TRAIN_WORDS)
         .select("toxic", "text")
     )
-    rows = texts.mapInArrow(_featurize, "toxic int, features binary, sentences binary").toArrow()
+    rows = texts.mapInArrow(_featurize, "toxic int, features binary, sizes binary").toArrow()
     as_ints = lambda c: [np.frombuffer(x, dtype=np.int32) for x in rows.column(c).to_pylist()]
-    return fit(as_ints("features"), as_ints("sentences"), rows.column("toxic").to_numpy(), rounds)
+    features, sizes, toxic = as_ints("features"), as_ints("sizes"), rows.column("toxic").to_numpy()
+    del rows
+    return fit(features, sizes, toxic, rounds)
 
 
 def _score(weights: bytes, bias: float):
@@ -226,7 +236,7 @@ def _score(weights: bytes, bias: float):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             score, found = [], []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_BYTES):
                 bags = Bags(texts[a:b])
                 z = bags.logits(w, bias)
                 clean = np.add.reduceat(softplus(z), bags.first[:-1])
@@ -265,6 +275,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     The weights, 4 MB whatever the corpus, travel with the function.
     """
+    text_batches(docs.sparkSession)
     run = _score(model.weights.astype(np.float32).tobytes(), model.bias)
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -283,6 +294,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without those whose score is 0.5 or more, all columns as they were."""
+    text_batches(docs.sparkSession)
     weights, at = model.weights.astype(np.float32).tobytes(), docs.columns.index("text")
     bias = model.bias
 
@@ -291,7 +303,7 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             keep = []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_BYTES):
                 bags = Bags(texts[a:b])
                 clean = np.add.reduceat(softplus(bags.logits(w, bias)), bags.first[:-1])
                 keep.append(-np.expm1(-clean) < 0.5)

@@ -21,7 +21,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM_BASES = (0xD1342543DE82EF95 | 1, 0xA0761D6478BD642F | 1)
 
 #: Bytes of text that are hashed together; temporaries take some 60 times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
