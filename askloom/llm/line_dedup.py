@@ -64,8 +64,13 @@ def _halves(words: Column, n: Column, min_words: int) -> Column:
     return F.array_distinct(F.concat(own, less))
 
 
+#: What a key of the neighbourhood stands for: the line without the word at a place, to
+#: meet lines of the same length; the same, to meet whole lines; the whole line.
+_SWAP, _CUT, _WHOLE = 0, 1, 2
+
+
 def _neighbourhood(words: Column) -> Column:
-    """[(pos, hash)]: the line itself at pos -1, and it without the word at pos."""
+    """[(kind, key)] of a line and of all its variants with one word left out."""
     a = F.transform(words, lambda w, i: F.xxhash64(w, i))
     b = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))
     xor = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s.bitwiseXOR(y))
@@ -80,16 +85,16 @@ def _neighbourhood(words: Column) -> Column:
         ),
         lambda s: s["out"],
     )
-    bound = F.get(
-        F.transform(
-            F.array(F.struct(fold.alias("v"), xor(b).alias("all"))),
-            lambda s: F.transform(
-                s["v"], lambda v, i: F.struct(i.alias("pos"), v.bitwiseXOR(s["all"]).alias("v"))
-            ),
-        ),
-        F.lit(0),
-    )
-    return F.concat(F.array(F.struct(F.lit(-1).alias("pos"), xor(a).alias("v"))), bound)
+    entry = lambda kind, *key: F.struct(F.lit(kind).alias("kind"), F.xxhash64(*key).alias("key"))
+    n = F.size(words)
+
+    def entries(s: Column) -> Column:
+        swaps = F.transform(s["v"], lambda v, i: entry(_SWAP, v.bitwiseXOR(s["all"]), n, i))
+        cuts = F.transform(s["v"], lambda v: entry(_CUT, v.bitwiseXOR(s["all"]), n - 1))
+        return F.concat(swaps, cuts, F.array(entry(_WHOLE, s["whole"], n)))
+
+    parts = F.struct(fold.alias("v"), xor(b).alias("all"), xor(a).alias("whole"))
+    return F.get(F.transform(F.array(parts), entries), F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -169,29 +174,17 @@ def _near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:
     found = found.select(F.coalesce("a.id", F.lit(0)).alias("id"), F.split(trimmed, SPACE_RUN).alias("w"))
     # an exchange that all that follows reads, and with it that of the texts
     found = found.repartition("id")
-    variant = found.select("id", F.size("w").alias("n"), F.explode(_neighbourhood(F.col("w"))).alias("x")).select(
-        "id", "n", "x.pos", "x.v"
-    )
-    # replacements: the same place left out
-    swap = variant.where("pos >= 0").select("id", F.xxhash64("v", "n", "pos").alias("key"))
-    lead = swap.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    swaps = swap.join(lead.select("key", "lead"), "key").where("lead < id").select("id", "lead")
-    # a word more or less: whole lines meet variants
-    whole = F.col("pos") < 0
-    drop = variant.select(
-        "id", whole.alias("whole"), F.xxhash64("v", F.when(whole, F.col("n")).otherwise(F.col("n") - 1)).alias("key")
-    )
-    both = (
-        drop.groupBy("key")
-        .agg(F.min(F.when(F.col("whole"), F.col("id"))).alias("line"), F.min(F.when(~F.col("whole"), F.col("id"))).alias("cut"))
-        .where("line is not null and cut is not null")
+    variant = found.select("id", F.explode(_neighbourhood(F.col("w"))).alias("x")).select("id", "x.kind", "x.key")
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("id")))
+    lead = (
+        variant.groupBy("key")
+        .agg(least(_SWAP).alias("swap"), F.max(F.when(F.col("kind") == _SWAP, F.col("id"))).alias("last"), least(_CUT).alias("cut"), least(_WHOLE).alias("whole"))
+        .where("swap < last or (cut is not null and whole is not null)")
     )
-    drops = (
-        drop.join(both, "key")
-        .select("id", F.when(F.col("whole"), F.col("cut")).otherwise(F.col("line")).alias("lead"))
-        .where("lead < id")
+    earliest = F.when(F.col("kind") == _SWAP, F.col("swap")).when(F.col("kind") == _CUT, F.col("whole")).otherwise(F.col("cut"))
+    pairs = (
+        variant.join(lead.drop("last"), "key").select("id", earliest.alias("lead")).where("lead < id").distinct()
     )
-    pairs = swaps.union(drops).distinct()
     near = (
         pairs.join(found.select("id", F.col("w").alias("a")), "id")
         .join(found.select(F.col("id").alias("lead"), F.col("w").alias("b")), "lead")
