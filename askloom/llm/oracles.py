@@ -104,6 +104,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
 
+# the checksum is folded over the bytes with a table made by its polynomial
+OP6 = """
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(n))),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (
+  SELECT doc_id, CAST(n + 1 AS BIGINT) AS size,
+         list_transform(range(0, n), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS b FROM h),
+c AS (
+  SELECT doc_id, size,
+         CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS BIGINT) AS text_crc32
+  FROM b, tab),
+p AS (
+  SELECT *, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS bytes_before,
+         CAST(sum(size) OVER () AS BIGINT) AS whole FROM c),
+s AS (SELECT *, CAST(least(7, ((2 * bytes_before + size) * 8) // (2 * whole)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY bytes_before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, bytes_before
+FROM s
+"""
+
 OP7 = """
 WITH said AS (
   SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content,
@@ -151,6 +174,7 @@ ORACLE_SQL = {
     "op2_minhash_dedup": OP2,
     "op3_line_dedup": OP3,
     "op4_host_quality": OP4,
+    "op6_byte_shards": OP6,
     "op7_perspectives": OP7,
     "op9_poisson_mix": OP9,
 }
