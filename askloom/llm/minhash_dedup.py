@@ -181,7 +181,10 @@ def near_duplicates(
         F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")
     )
     member = classes.select("rep", "n", F.explode("bands").alias("band"))
+    # tables that join on a hot key are settled first: a join whose sides are both plain
+    # exchanges can be split at run time, one above an aggregate of that key can't
     size = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    size = materialize(size, "buckets")
     member = materialize(member.join(size, "band"), "members")
     links = _links(keyed, signed.select(F.col("doc_id").alias("rep"), "bands"), member, k, percent)
     label = connected_components(links)
@@ -189,6 +192,7 @@ def near_duplicates(
     names = classes.select("n", "s1", "s2", "rep").join(
         label.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
+    names = materialize(names, "classes")
     found = signed.select("doc_id", "n", "s1", "s2").join(names, ["n", "s1", "s2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -245,7 +249,8 @@ def _links(keyed: DataFrame, bands: DataFrame, member: DataFrame, k: int, percen
         .drop("rep_component")
         .join(known, "band")
     )
-    open_bands = state.where("component <> home").select("band").distinct()
+    state = materialize(state, "labelled")
+    open_bands = materialize(state.where("component <> home").select("band").distinct(), "open-bands")
     state = materialize(state.join(open_bands, "band", "left_semi"), "open")
 
     # a member's shingles that its pivot has are shared for sure; of the others, those that a
