@@ -6,6 +6,11 @@ of the Poisson distribution function with that mean at a uniform number hashed
 from (seed, doc_id); it is exploded by its count, and the copies are put in the
 order of a hash of (seed, doc_id, copy), which is the global shuffle.
 
+A mean above ``MAX_RATE`` is drawn as the sum of independent Poisson numbers
+with equal means of ``MAX_RATE`` at most, hashed from (seed, part, doc_id),
+which is exact.  Its documents are dealt out in chunks of ``MAX_RATE`` copies
+before they are exploded, so that no task makes all copies of a document.
+
 A count depends only on the document, the seed and the source's rate, never on
 partitions or the order of rows.  Sources are counted with pre-aggregation and
 joined back: broadcast up to ``BROADCAST_SOURCES`` sources, else by a join that
@@ -16,7 +21,7 @@ under None).  A source without a weight in a given table gets none of its
 documents; without a table, all sources weigh the same.  Rows that repeat a
 doc_id share its count, and each is repeated so.  A null doc_id hashes as "".
 Null texts are kept.  An empty table gives an empty one.  Other columns are
-kept.
+kept.  More than 2^31 - 1 copies of one row are an error.
 """
 
 from __future__ import annotations
@@ -24,18 +29,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
 SEED = "mix-1"
-#: Mean repetition rates above this are refused: counts are exploded in one row's task.
-MAX_RATE = 600.0
+#: Mean repetition rates above this are drawn in parts, and so many copies are exploded in one row's task.
+MAX_RATE = 600
 #: Sources up to which their rates are broadcast (some 100 bytes each).
 BROADCAST_SOURCES = 10_000
 
 
-def uniform(key: Column, *salt: str) -> Column:
+def uniform(key: Column, *salt: str | Column) -> Column:
     """A number in [0, 1) from the first 13 hexadecimal digits of an MD5: 52 bits."""
-    hex13 = F.substring(F.md5(F.concat_ws(":", *[F.lit(s) for s in salt], key)), 1, 13)
+    parts = [s if isinstance(s, Column) else F.lit(s) for s in salt]
+    hex13 = F.substring(F.md5(F.concat_ws(":", *parts, key)), 1, 13)
     return F.conv(hex13, 16, 10).cast("long") / F.lit(float(2**52))
 
 
@@ -61,6 +67,13 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda s: s["count"])
 
 
+def poisson_sum(key: Column, seed: str, rate: Column) -> Column:
+    """A Poisson number for a mean of any size: the sum of one for each equal part of the mean."""
+    parts = F.ceil(rate / MAX_RATE).cast("int")
+    part = lambda p: poisson_inverse(uniform(key, seed, "part", p.cast("string")), rate / parts)
+    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda s, p: s + part(p))
+
+
 def repetition_rates(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """source, n, rate: the mean number of copies that each source's documents get."""
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -84,23 +97,30 @@ def mix_sources(
     docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED
 ) -> DataFrame:
     """The copies of ``docs`` in global shuffle order, with copy (from 0), copies and rate."""
+    spark = docs.sparkSession
     rates = materialize(repetition_rates(docs, weights), "rates").select(
-        F.col("source").alias("r_source"),
-        F.when(F.col("rate") <= MAX_RATE, F.col("rate"))
-        .otherwise(F.raise_error(F.lit("a source's repetition rate is too high")).cast("double"))
-        .alias("mix_rate"),
+        F.col("source").alias("r_source"), F.col("rate").alias("mix_rate")
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     # documents stay where they are as long as the sources are few; else sources are dealt out
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    counted = docs.join(rates, F.col("source").eqNullSafe(F.col("r_source")))
-    counted = counted.withColumn(
-        "mix_copies", poisson_inverse(uniform(key, seed, "count"), F.col("mix_rate"))
-    ).drop("r_source")
-    copies = counted.where("mix_copies > 0").withColumn(
-        "mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1))
-    )
+    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+
+    def counted(rates: DataFrame, count: Column) -> DataFrame:
+        joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("r_source")))
+        return joined.withColumn("mix_copies", count).drop("r_source").where("mix_copies > 0")
+
+    usual, high = F.col("mix_rate") <= MAX_RATE, F.col("mix_rate") > MAX_RATE
+    copies = counted(
+        rates.where(usual), poisson_inverse(uniform(key, seed, "count"), F.col("mix_rate"))
+    ).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+    if not rates.where(high).isEmpty():
+        last = F.col("mix_copies") - 1
+        chunks = counted(rates.where(high), poisson_sum(key, seed, F.col("mix_rate"))).withColumn(
+            "mix_copy", F.explode(F.sequence(F.lit(0), last, F.lit(MAX_RATE)))
+        )
+        chunk = F.sequence(F.col("mix_copy"), F.least(F.col("mix_copy") + (MAX_RATE - 1), last))
+        dealt = chunks.repartition(shuffle_partitions(spark)).withColumn("mix_copy", F.explode(chunk))
+        copies = copies.unionByName(dealt)
     place = F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), key, F.col("mix_copy").cast("string")))
     return (
         copies.withColumn("mix_place", place)

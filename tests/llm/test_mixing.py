@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from askloom.llm.mixing import SEED, mix_sources, repetition_rates
+from askloom.llm.mixing import SEED, mix_sources, poisson_sum, repetition_rates
 
 
 def brute_force(rows, weights=None):
@@ -60,3 +60,43 @@ def test_edge_cases(spark):
     assert repetition_rates(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         mix_sources(df, {"a": -1.0})
+
+
+def test_tiny_sources_among_many_documents(spark):
+    """A one-row and a null source, whose rates are far above what one draw can take."""
+    docs = spark.range(40_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") == 7, "one").when(F.col("id") == 8, None).when(F.col("id") < 4, "few").otherwise("many").alias("source"),
+    )
+    mixed = mix_sources(docs)
+    rows = mixed.collect()
+    copies = Counter((r.doc_id, r.source) for r in rows)
+    by_source = Counter(r.source for r in rows)
+    assert set(by_source) == {"one", None, "few", "many"}
+    assert all(abs(n - 10_000) < 5 * math.sqrt(10_000) for n in by_source.values())
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.doc_id, []).append(r.mix_copy)
+        assert r.mix_copies == copies[(r.doc_id, r.source)]
+    assert all(sorted(c) == list(range(len(c))) for c in seen.values())
+    places = [r.mix_place for r in rows]
+    assert places == sorted(places)
+    assert sorted(places) == sorted(r.mix_place for r in mix_sources(docs.repartition(5)).collect())
+    # the other documents are drawn as ever: the least k with P(X <= k) > u
+    usual = [(r.doc_id, r.source, r.mix_copy) for r in rows if r.source == "many"]
+    rate = 10_000 / 39_994
+    for d in range(9, 40_000, 997):
+        u = int(hashlib.md5(f"{SEED}:count:{d}".encode()).hexdigest()[:13], 16) / 2**52
+        k, total = 0, math.exp(-rate)
+        while total <= u:
+            k += 1
+            total += math.exp(-rate) * rate**k / math.factorial(k)
+        assert sum(x[0] == d for x in usual) == k
+
+
+def test_parts_of_a_large_mean_are_poisson(spark):
+    rate = 2000.0
+    n = spark.range(2000).select(poisson_sum(F.col("id").cast("string"), SEED, F.lit(rate)).alias("n"))
+    mean, var = n.agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(mean - rate) < 5 * math.sqrt(rate / 2000)
+    assert abs(var / rate - 1) < 5 * math.sqrt(2 / 2000)
