@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .chat import rotate_perspectives
+from .common import materialize
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
@@ -74,9 +75,10 @@ def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("text_md5"))
-    return mix_sources(docs).select(
-        "doc_id", "source", "text_md5", "mix_copy", "mix_copies", "mix_place"
+    # written whole, so that the digests' few columns don't thin out what is copied and shuffled
+    mixed = materialize(mix_sources(_table(spark, sf_dir, "documents")), "mixed")
+    return mixed.select(
+        "doc_id", "source", F.md5("text").alias("text_md5"), "mix_copy", "mix_copies", "mix_place"
     )
 
 

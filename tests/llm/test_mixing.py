@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from askloom.llm import queries
+from askloom.llm.common import materialize
 from askloom.llm.mixing import SEED, mix_sources, poisson_sum, repetition_rates
 
 
@@ -100,3 +102,17 @@ def test_parts_of_a_large_mean_are_poisson(spark):
     mean, var = n.agg(F.avg("n"), F.var_samp("n")).first()
     assert abs(mean - rate) < 5 * math.sqrt(rate / 2000)
     assert abs(var / rate - 1) < 5 * math.sqrt(2 / 2000)
+
+
+def test_query_mixes_whole_documents(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    written = []
+    keep = lambda df, name: written.append(materialize(df, name)) or written[-1]
+    monkeypatch.setattr(queries, "materialize", keep)
+    rows = queries.op9_poisson_mix(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.text_md5 == hashlib.md5(texts[r.doc_id].encode()).hexdigest() for r in rows)
+    # what was shuffled and written are the documents, with all their columns
+    (mixed,) = written
+    assert set(docs.columns) <= set(mixed.columns)
+    assert Counter((r.doc_id, r.text) for r in mixed.collect()) == Counter((r.doc_id, texts[r.doc_id]) for r in rows)
