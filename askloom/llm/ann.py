@@ -12,11 +12,17 @@ lists of up to ``REPLICAS`` - 1 other centroids, if they are at most ``CLOSURE``
 times as far and not closer to a chosen centroid than to the vector.
 
 *Search.*  The graph gives a query's nearest centroids; lists are read whose
-centroid is at most ``PROBE_RATIO`` times as far as the nearest one, at least
-``MIN_PROBES`` and up to ``MAX_PROBES``.  A list and its queries meet in a
+centroid is at most so many times as far as the nearest one, at least
+``MIN_PROBES`` and up to a bound.  A list and its queries meet in a
 group; a list of more than ``LIST_CAP`` vectors is dealt in parts.  A group
 hands on each query's best ids only.
 
+*Recall.*  How many lists hold a query's neighbours depends on the vectors and
+on how many there are.  For up to ``CALIBRATION`` of the queries the true
+neighbours are found by a scan of all vectors, and the ratio and the bound are
+raised from ``PROBE_RATIO`` and ``PROBES`` until the lists read hold ``TARGET``
+of them.
+
 *Hot groups.*  Equal vectors are indexed once, with the k + 1 smallest of their
 ids: no query needs more of them.  Their ids are limited before the shuffle.
 Equal queries are searched once.
@@ -48,7 +54,9 @@ REPLICAS = 4
 CLOSURE = 1.15
 PROBE_RATIO = 1.35
 MIN_PROBES = 4
-MAX_PROBES = 48
+PROBES = 48
+CALIBRATION = 256
+TARGET = 0.98
 NEIGHBOURS = 24
 BEAM = 64
 
@@ -102,8 +110,12 @@ class CentroidGraph:
     def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids found for each unit vector, and their distances, nearest first."""
         n = len(self.c)
-        k, beam = min(k, n), min(max(beam, k), n)
+        k, beam = min(k, n), min(max(beam, k + k // 2), n)
         q = q.astype(np.float32)
+        if 8 * beam >= n:  # a walk would come to more than all distances
+            score = q @ self.c.T
+            ids = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            return ids, self._distance(np.take_along_axis(score, ids, axis=1))
         rows = np.arange(len(q))[:, None]
         seen = np.zeros((len(q), n), dtype=bool)
         seen[:, self.entries] = True
@@ -138,7 +150,11 @@ class CentroidGraph:
         order = np.argsort(-score, axis=1, kind="stable")[:, :k]
         score = np.take_along_axis(score, order, axis=1)
         ids = np.where(np.isfinite(score), np.take_along_axis(ids, order, axis=1), -1)
-        return ids, np.sqrt(np.maximum(2 - 2 * score, 0)).astype(np.float64)
+        return ids, self._distance(score)
+
+    @staticmethod
+    def _distance(score: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * score, 0)).astype(np.float64)
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +191,74 @@ def _assign(graph: CentroidGraph, dim: int):
     return run
 
 
-def _probe(graph: CentroidGraph, dim: int):
+def _truth(q: np.ndarray, own: set[tuple[int, int, int]], dim: int, k: int):
+    """The k nearest other vectors of each of the unit vectors ``q`` among a task's rows; own: (query, k1, k2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, k1, k2 = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.int64)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
+                ok, x = _vectors(batch.column(2), dim)
+                if not len(ok):
+                    continue
+                deal = lambda c: np.broadcast_to(batch.column(c).to_numpy()[ok], (len(q), len(ok)))  # noqa: B023, E731
+                s, key1, key2 = q @ _unit(x).T, deal(0), deal(1)
+                # one more than asked for, as a query may meet itself
+                if s.shape[1] > k + 1:
+                    top = np.argpartition(-s, k, axis=1)[:, : k + 1]
+                    s, key1, key2 = (np.take_along_axis(z, top, axis=1) for z in (s, key1, key2))
+                score, k1, k2 = (np.concatenate(z, axis=1) for z in ((score, s), (k1, key1), (k2, key2)))
+                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                score, k1, k2 = (np.take_along_axis(z, top, axis=1) for z in (score, k1, k2))
+        rows = [
+            (i, *z) for i in range(len(q)) for z in zip(k1[i].tolist(), k2[i].tolist(), score[i].tolist())
+            if (i, z[0], z[1]) not in own
+        ]
+        cols = list(zip(*rows)) or [[]] * 4
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["q", "k1", "k2", "score"])
+
+    return run
+
+
+def calibrate(
+    graph: CentroidGraph, distinct: DataFrame, posting: DataFrame, query: DataFrame, dim: int, k: int
+) -> tuple[int, float]:
+    """The bound of the lists read and the distance ratio by which a sample of the queries finds its neighbours."""
+    asked = query.select("k1", "k2", "embedding").where(F.size("embedding") == dim)
+    asked = asked.orderBy("k2", "k1").limit(CALIBRATION).collect()
+    if not asked or len(graph.c) <= MIN_PROBES:
+        return PROBES, PROBE_RATIO
+    q = _unit(np.array([r["embedding"] for r in asked], dtype=np.float64))
+    own = {(i, r["k1"], r["k2"]) for i, r in enumerate(asked)}
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "k1", "k2")
+    # up to k rows for each query of the sample, then up to REPLICAS lists for each of them
+    true = (
+        distinct.select("k1", "k2", "embedding")
+        .mapInArrow(_truth(q, own, dim, k), "q int, k1 long, k2 long, score double")
+        .withColumn("r", F.row_number().over(best))
+        .where(F.col("r") <= k)
+        .select("q", "k1", "k2")
+    )
+    held = posting.select("list", "k1", "k2").join(F.broadcast(true), ["k1", "k2"]).collect()
+    ids, d = graph.search(q, len(graph.c))
+    place = np.empty(ids.shape, dtype=np.int64)
+    np.put_along_axis(place, ids.astype(np.int64), np.arange(ids.shape[1])[None, :], axis=1)
+    found: dict[tuple[int, int, int], int] = {}
+    for r in held:
+        key, at = (r["q"], r["k1"], r["k2"]), int(place[r["q"], r["list"]])
+        found[key] = min(at, found.get(key, at))
+    if not found:
+        return PROBES, PROBE_RATIO
+    at = np.array(list(found.values()))
+    far = d[[key[0] for key in found], at] / np.maximum(d[[key[0] for key in found], 0], 1e-6)
+    # each of the two bounds may lose half of what may be lost
+    reach = lambda z: np.quantile(z, (1 + TARGET) / 2, method="higher")
+    return max(PROBES, int(reach(at)) + 1), max(PROBE_RATIO, float(reach(far)) * (1 + 1e-6))
+
+
+def _probe(graph: CentroidGraph, dim: int, probes: int, ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
@@ -183,8 +266,8 @@ def _probe(graph: CentroidGraph, dim: int):
                 ok, x = _vectors(batch.column(2), dim)
                 if not len(ok):
                     continue
-                ids, d = graph.search(_unit(x), MAX_PROBES)
-                read = (ids >= 0) & ((d <= PROBE_RATIO * d[:, :1]) | (np.arange(ids.shape[1]) < MIN_PROBES))
+                ids, d = graph.search(_unit(x), probes)
+                read = (ids >= 0) & ((d <= ratio * np.maximum(d[:, :1], 1e-6)) | (np.arange(ids.shape[1]) < MIN_PROBES))
                 row, col = np.nonzero(read)
                 take = batch.take(pa.array(ok[row]))
                 yield pa.RecordBatch.from_arrays(
@@ -272,10 +355,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     parts = posting.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_CAP).cast("int").alias("parts"))
     asked = valid.where("is_query").select("k1", "k2", "vec_id").distinct()
     query = distinct.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    probes, ratio = calibrate(graph, distinct, posting, query, dim, k)
     # one row for each list: bounded by MAX_LISTS
     probe = (
         query.select("k1", "k2", "embedding")
-        .mapInArrow(_probe(graph, dim), f"list int, k1 long, k2 long, embedding {element}")
+        .mapInArrow(_probe(graph, dim, probes, ratio), f"list int, k1 long, k2 long, embedding {element}")
         .join(F.broadcast(parts), "list")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .drop("parts")

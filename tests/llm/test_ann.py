@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,19 @@ def test_few_rows(spark):
     got = run(spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 1.0]), (2, [0.0, 1.0])], schema))
     assert [j for j, _ in got[0]] == [3, 2]
     assert nearest(spark.createDataFrame([], schema), F.expr(ASK)).collect() == []
+
+
+def test_recall_at_many_isotropic_vectors(spark, tmp_path):
+    """So many lists that the least bound of the lists read is a small part of them."""
+    n, dim = 200_000, 64
+    x = np.random.default_rng(5).normal(size=(n, dim)).astype(np.float32)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": flat}), f"{tmp_path}/x.parquet", row_group_size=25_000)
+    rows = nearest(spark.read.parquet(f"{tmp_path}/x.parquet"), F.expr("vec_id % 1000 = 0"), 5).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    asked = np.arange(0, n, 1000)
+    s = unit[asked] @ unit.T
+    s[np.arange(len(asked)), asked] = -2
+    want = {(int(q), int(j)) for q, top in zip(asked, np.argsort(-s, axis=1)[:, :5]) for j in top}
+    assert len(rows) == len(want)
+    assert len({(r.query_id, r.vec_id) for r in rows} & want) / len(want) >= 0.95
