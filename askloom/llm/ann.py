@@ -57,6 +57,8 @@ MIN_PROBES = 4
 PROBES = 48
 CALIBRATION = 256
 TARGET = 0.98
+#: More than the rough product of a list and its queries is off by.
+ROUGH = 1e-9
 NEIGHBOURS = 24
 BEAM = 64
 
@@ -290,16 +292,19 @@ def _meet(dim: int, k: int):
         nq, nx = norm(q), norm(x)
         ids = right.column("ids").to_pylist()
         key1, key2 = left.column("k1").to_numpy(), left.column("k2").to_numpy()
-        # each vector has an id at least, so k + 1 vectors are enough, and some more for ties in the last digits
-        want = min(len(x), k + 5)
+        first = np.array([v[0] for v in ids], dtype=np.int64)
+        # each vector has an id at least, so the k + 1 best vectors are enough, and all that may tie with the last of them
+        want = min(len(x), k + 1)
         out = []
         for a in range(0, len(q), 512):
-            rough = (q[a : a + 512] @ x.T) / nx
-            top = np.argpartition(-rough, want - 1, axis=1)[:, :want] if want < len(x) else np.tile(np.arange(len(x)), (len(rough), 1))
             part, npart = q[a : a + 512], nq[a : a + 512]
-            exact = (part[:, None, :] * x[top]).sum(axis=2) / (npart[:, None] * nx[top])
+            rough = (part / npart[:, None]) @ x.T / nx
+            least = -np.partition(-rough, want - 1, axis=1)[:, want - 1] - ROUGH
             for i in range(len(part)):
-                best = sorted((-s, v) for s, j in zip(exact[i].tolist(), top[i].tolist()) for v in ids[j])
+                top = np.flatnonzero(rough[i] >= least[i])
+                exact = (part[i] * x[top]).sum(axis=1) / (npart[i] * nx[top])
+                order = np.lexsort((first[top], -exact))[:want]
+                best = sorted((-s, v) for s, j in zip(exact[order].tolist(), top[order].tolist()) for v in ids[j])
                 out += [(key1[a + i], key2[a + i], v, -s) for s, v in best[: k + 1]]
         cols = list(zip(*out))
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)

@@ -83,3 +83,14 @@ def test_recall_at_many_isotropic_vectors(spark, tmp_path):
     want = {(int(q), int(j)) for q, top in zip(asked, np.argsort(-s, axis=1)[:, :5]) for j in top}
     assert len(rows) == len(want)
     assert len({(r.query_id, r.vec_id) for r in rows} & want) / len(want) >= 0.95
+
+
+def test_more_ties_than_neighbours(spark):
+    """Scaled copies, which tie exactly and aren't equal: the smaller ids are wanted."""
+    rnd = np.random.default_rng(4)
+    rows = [(i, [2.0 ** ((i * 37) % 60 - 30) * c for c in (1.0, 2.0, 2.0, -4.0)]) for i in range(60)]
+    rows += [(i, rnd.normal(size=4).tolist()) for i in range(60, 200)]
+    df = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")
+    got = run(df)
+    assert [j for j, _ in got[0]] == [1, 2, 3, 4, 5] and [j for j, _ in got[50]] == [0, 1, 2, 3, 4]
+    assert recall(got, brute_force(rows)) >= 0.95
