@@ -43,7 +43,10 @@ from .common import global_positions, materialize, text_batches
 
 WINDOW = 1024
 END_ID = 0
-UPDATES = 150
+#: Rounds of the least squares, and the part of the pieces that may be left over to end them sooner.
+ROUNDS = 60
+CLOSE = 0.01
+PATIENCE = 4
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -158,18 +161,53 @@ def fill_combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def solve_counts(combos: np.ndarray, histogram: np.ndarray, updates: int = UPDATES) -> np.ndarray:
-    """x >= 0 that brings the lengths used by the combinations close to the histogram."""
+def solve_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """x >= 0 that brings the lengths used by the combinations close to the histogram.
+
+    An active set: in each round the combinations that the residual asks for
+    most, no two with a common length, join those in use; least squares over
+    these is solved, and what is not positive leaves, until all that stay are.
+    The best round counts; ``PATIENCE`` rounds without a gain end the search.
+    """
+    x = np.zeros(len(combos))
     if not len(combos):
-        return np.zeros(0)
-    n = len(histogram)
+        return x
+    n, h = len(histogram), histogram.astype(float)
+    h[0] = 0
     real = combos > 0
-    use = lambda x: np.bincount(combos.ravel(), (x[:, None] * real).ravel(), minlength=n)
-    back = lambda h: (h[combos] * real).sum(axis=1)
-    target = back(histogram.astype(float))
-    x = np.full(len(combos), histogram.sum() / (3.0 * len(combos)))
-    for _ in range(updates):
-        x *= target / np.maximum(back(use(x)), 1e-12)
+    norm = np.sqrt(((combos[:, :, None] == combos[:, None, :]) & real[:, :, None]).sum(axis=(1, 2)))
+    grid, use, at, rest = np.zeros((n, 0)), np.zeros(0, dtype=np.int64), np.zeros(0), h
+    least, idle = np.inf, 0
+    for _ in range(rounds):
+        wish = (rest[combos] * real).sum(axis=1) / norm
+        wish[use] = 0
+        best = np.argsort(-wish, kind="stable")[: 8 * n]
+        taken, new = np.zeros(n, dtype=bool), []
+        for j in best[wish[best] > 1e-9 * h.max()].tolist():
+            row = [v for v in combos[j].tolist() if v]
+            if not taken[row].any():
+                taken[row] = True
+                new.append(j)
+        if not new:
+            break
+        more = np.zeros((n, len(new)))
+        np.add.at(more, (combos[new], np.arange(len(new))[:, None]), real[new])
+        grid, use = np.concatenate((grid, more), axis=1), np.concatenate((use, new))
+        gram, seen = grid.T @ grid, grid.T @ h
+        while len(use):
+            at = np.linalg.solve(gram + 1e-9 * np.eye(len(use)), seen)
+            stay = at > 0
+            if stay.all():
+                break
+            grid, use, seen, gram = grid[:, stay], use[stay], seen[stay], gram[np.ix_(stay, stay)]
+        rest = h - grid @ at
+        off = float(rest @ rest)
+        idle = 0 if off < 0.99 * least else idle + 1
+        if off < least:
+            least, x = off, np.zeros(len(combos))
+            x[use] = at
+        if idle >= PATIENCE or np.abs(rest).sum() <= CLOSE * h.sum():
+            break
     return x
 
 

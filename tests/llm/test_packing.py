@@ -91,3 +91,14 @@ def test_patterns_use_up_the_histogram():
     assert (combos.sum(axis=1) == 64).all() and len(np.unique(combos, axis=0)) == len(combos)
     x = solve_counts(np.array([[60, 4, 0], [32, 32, 0]]), np.bincount([60] * 8 + [4] * 8 + [32] * 6, minlength=65))
     assert np.allclose(x, [8, 3], atol=0.1)
+
+
+def test_most_pieces_come_from_the_solved_combinations():
+    rnd = np.random.default_rng(2)
+    for n, least in ((2000, 0.5), (10_000, 0.8), (50_000, 0.8)):
+        h = np.bincount(np.clip(rnd.lognormal(5.5, 0.9, n).astype(int) % 1024, 1, 1023), minlength=1025)
+        combos = fill_combinations(np.flatnonzero(h), 1024)
+        x = solve_counts(combos, h)
+        assert (x >= 0).all() and np.count_nonzero(x) <= 1023
+        used = np.bincount(combos.ravel(), (np.floor(x)[:, None] * (combos > 0)).ravel(), minlength=1025)
+        assert np.minimum(used, h)[1:].sum() >= least * n
