@@ -279,9 +279,12 @@ def pack_documents(
         _cut(tokenizer_path, window, end_id, with_ids),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>",
     )
-    if not with_ids:
-        made = made.drop("ids")
-    made = materialize(made, "pieces")
+    if with_ids:
+        # ids stay with their pieces until these are placed, and are then shuffled once
+        whole = materialize(made.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+        made = whole.drop("ids")
+    else:
+        made = materialize(made.drop("ids"), "pieces")
     # at most ``window`` rows
     counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
     histogram = np.zeros(window + 1, dtype=np.int64)
@@ -309,4 +312,9 @@ def pack_documents(
         made, ["doc_id", "start", "ids_crc32"], {"rank": F.lit(1).cast("long")}, within=["length"]
     ).select(*made.columns, "rank")
     schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").drop("rank")
+    out = ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").drop("rank")
+    if not with_ids:
+        return out
+    held = whole.select("__piece", "ids")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
+    return held.join(out.hint("shuffle_hash"), "__piece").select(columns)

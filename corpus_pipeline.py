@@ -4,7 +4,7 @@
 2.  line_dedup: lines that repeat an earlier one, up to an edit, go; n_chars follows.
 3.  near_dedup: of each group of near-duplicates the smallest doc_id stays.
 4.  mixing: documents are repeated so that all sources weigh the same, and shuffled.
-5.  packing: what is left is packed into sequences.
+5.  packing: what is left is packed into sequences, token ids and all.
 
 All but the last return the columns of ``documents``.
 """
@@ -44,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_path())
+    return pack_documents(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from askloom.llm import queries
 from askloom.llm.packing import Encoder, fill_combinations, pack_documents, pack_histogram, solve_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,3 +103,19 @@ def test_most_pieces_come_from_the_solved_combinations():
         assert (x >= 0).all() and np.count_nonzero(x) <= 1023
         used = np.bincount(combos.ravel(), (np.floor(x)[:, None] * (combos > 0)).ravel(), minlength=1025)
         assert np.minimum(used, h)[1:].sum() >= least * n
+
+
+def test_query_digests_the_packed_ids(spark, sf_dir, monkeypatch):
+    made = []
+
+    def keep(*args, **kwargs):
+        made.append(pack_documents(*args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(queries, "pack_documents", keep)
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.sequence_id, r.offset)
+    got = queries.op8_nnls_packing(spark, sf_dir)
+    assert got.columns == [c for c in made[0].columns if c != "ids"]
+    packed = made[0].collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 for r in packed)
+    assert sorted(map(key, got.collect())) == sorted(map(key, packed))

@@ -60,3 +60,14 @@ def test_odd_rows_pass_through(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, sf_dir)
         assert df.where(F.col("doc_id") >= 10**9).count() >= 0, name
+
+
+def test_result_gives_the_packed_tokens_back(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    rows = corpus_pipeline.packing(spark, docs, sf_dir).collect()
+    ids = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        ids[r.doc_id] = ids.get(r.doc_id, []) + list(r.ids)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 0] for r in docs.collect()}
+    assert ids == want
