@@ -2,7 +2,7 @@
 
 1.  toxicity: documents that the sentence model predicts toxic go.
 2.  line_dedup: lines that repeat an earlier one, up to an edit, go; n_chars follows.
-3.  near_dedup: of each group of near-duplicates the smallest doc_id stays.
+3.  near_dedup: of each group of near-duplicates (five words, similarity 0.8 or more) the smallest doc_id stays.
 4.  mixing: documents are repeated so that all sources weigh the same, and shuffled.
 5.  packing: what is left is packed into sequences, token ids and all.
 
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    kept = near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

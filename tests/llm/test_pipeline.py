@@ -71,3 +71,12 @@ def test_result_gives_the_packed_tokens_back(spark, sf_dir):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 0] for r in docs.collect()}
     assert ids == want
+
+
+def test_near_dedup_takes_pairs_from_080_on(spark, sf_dir):
+    """45 shingles each, 41 of them common: a similarity of 41 / 49."""
+    words = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join([*words[:45], "x", "y", "z", "u"]), "en", "a", 0)]
+    rows += [(3, "an unlike text of some eight other words", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).orderBy("doc_id").collect()] == [1, 3]
