@@ -15,7 +15,7 @@ has to fit into one row; parts are numbered from 0 and their texts join
 seamlessly.  ``mask`` lists the spans of the text, (start, length) in code
 points, whose mask is 1.
 
-Turns are ranked by running totals over range partitions, so that a hot
+Turns are ranked by the counts of range partitions, so that a hot
 conversation is spread over tasks.
 
 *Edge cases.*  A null text is rendered as an empty one; a null role is the
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_positions
+from .common import global_ranks
 
 PART_TURNS = 64
 UNKNOWN = "unknown"
@@ -46,9 +46,9 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataF
         F.coalesce("role", F.lit(UNKNOWN)).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("content"),
     )
-    ranked = global_positions(
-        said, ["turn", "speaker", "content"], {"rank": F.lit(1).cast("long")}, within=["conv_id"]
-    ).select("conv_id", "speaker", "content", "rank", F.floor(F.col("rank") / part_turns).alias("part"))
+    ranked = global_ranks(said, ["turn", "speaker", "content"], "rank", within=["conv_id"]).select(
+        "conv_id", "speaker", "content", "rank", F.floor(F.col("rank") / part_turns).alias("part")
+    )
     people = said.select(F.col("conv_id").alias("p_conv"), F.col("speaker").alias("perspective")).distinct()
     seen = ranked.join(people, F.col("conv_id").eqNullSafe(F.col("p_conv"))).drop("p_conv")
     own = F.col("speaker") == F.col("perspective")

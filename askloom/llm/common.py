@@ -15,31 +15,62 @@ NULL_KEY = -(2**63)
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset (a local session, as in tests)
-    a temporary folder is made and set.
+    Only a local session, as in tests, may leave it unset: a temporary folder
+    serves then.  Elsewhere executors would write to disks of their own.
     """
     have = spark.conf.get("spark.checkpoint.dir", None)
-    if not have:
-        have = "file://" + tempfile.mkdtemp(prefix="askloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", have)
-    return have.rstrip("/")
+    if have:
+        return have.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="askloom-shared-")
+    return _local[context.applicationId]
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back.
 
-    The files outlive lost executors and go when the driver's JVM ends.
+    The files outlive lost executors and go when the driver's JVM ends, or
+    before, with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/askloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._askloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    files, at = _file_system(df.sparkSession, df._askloom_path)
+    files.delete(at, True)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted`` as column names beside ``taken``: a name that is taken gets underscores at its end."""
+    have, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: Rows of an Arrow batch for functions on whole texts.
@@ -67,57 +98,53 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
 
 
-def global_positions(
-    df: DataFrame, order: list[str], sums: dict[str, Column], within: list[str] | None = None
+def global_ranks(
+    df: DataFrame, order: list[str], name: str, within: list[str] | None = None, few: bool = False
 ) -> DataFrame:
-    """Running totals over a total order, without one task that sees all rows.
+    """``df`` with each row's place, from 0, in a total order (of its ``within`` group), in the column ``name``.
 
-    Rows are range-partitioned and sorted by ``within + order``; each partition
-    adds up its own part, and the totals of the partitions, one row each (for
-    each value of ``within`` it holds), give every partition its offset.  ``sums`` maps a new column to what it adds up: the
-    column holds the total over all earlier rows (of the same ``within``), and
-    ``<column>_all`` the total over all rows.
+    No task sees all rows, and after the range partitioning no row moves again
+    unless groups are many.  Rows are range-partitioned and sorted by ``within +
+    order``, and numbered where they lie; the partitions' counts, a row for each
+    partition and group in it, tell how many rows come before.  These are broadcast
+    without ``within``, or if the caller knows the groups to be ``few``.
 
-    The range-partitioned rows are materialised once, so that the totals and
-    the rows come from one and the same partitioning even if executors are lost.
+    The sorted rows are materialised, so that counts and numbers come from the
+    same partitioning even if executors are lost.  Give a table or a cheap
+    projection of one: range partitioning reads it once more for its sample.
     """
     within = within or []
-    spark = df.sparkSession
     keys = [*within, *order]
-    dealt = (
-        df.withColumns({f"__v_{n}": c for n, c in sums.items()})
-        .repartitionByRange(shuffle_partitions(spark), *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("__pid", F.spark_partition_id())
+    dealt = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    row = F.monotonically_increasing_id()  # the partition's number, and below 33 bits the row's
+    dealt = materialize(
+        dealt.withColumns({"__pid": F.shiftright(row, 33).cast("int"), "__at": row.bitwiseAND(F.lit(2**33 - 1))}), "ranked"
     )
-    dealt = materialize(dealt, "positions")
     parts = dealt.groupBy("__pid", *within).agg(
-        *[F.sum(f"__v_{n}").alias(f"__p_{n}") for n in sums]
-    )
-    before = Window.partitionBy(*within or [F.lit(0)]).orderBy("__pid").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    everything = Window.partitionBy(*within or [F.lit(0)])
-    parts = parts.select(
-        "__pid",
-        *within,
-        *[F.coalesce(F.sum(f"__p_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums],
-        *[F.sum(f"__p_{n}").over(everything).alias(f"{n}_all") for n in sums],
+        F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first")
     )
-    local = Window.partitionBy("__pid", *within).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    dealt = dealt.withColumns(
-        {n: F.coalesce(F.sum(f"__v_{n}").over(local), F.lit(0)) for n in sums}
-    )
-    on = dealt["__pid"] == parts["__pid"]
+    before = Window.partitionBy(*within or [F.lit(0)]).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
+    parts = parts.select(F.col("__pid").alias("__part"), *[F.col(c).alias(f"__in_{c}") for c in within], shift)
+    on = F.col("__pid") == F.col("__part")
     for c in within:
-        on = on & dealt[c].eqNullSafe(parts[c])
-    # without ``within`` there is one row for each partition, so that side is small for sure
-    right = F.broadcast(parts) if not within else parts
-    joined = dealt.join(right, on, "left")
-    return joined.select(
-        *[dealt[c] for c in df.columns],
-        *[(dealt[n] + parts[f"__b_{n}"]).alias(n) for n in sums],
-        *[parts[f"{n}_all"] for n in sums],
-    )
+        on = on & F.col(c).eqNullSafe(F.col(f"__in_{c}"))
+    joined = dealt.join(F.broadcast(parts) if few or not within else parts, on)
+    return joined.select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name))
+
+
+def salted_copies(pairs: DataFrame, rows: DataFrame, key: str, salt: str) -> DataFrame:
+    """``rows``, one for each ``key``, copied once for each (key, salt) that ``pairs`` holds.
+
+    Joined with ``pairs`` on both, a hot key's pairs are spread over its salts.
+    """
+    return pairs.select(key, salt).distinct().join(rows, key)
+
+
+#: Rows of a key that share a salt, about.
+SALT_ROWS = 64
+
+
+def salt_of(other: str, times: Column) -> Column:
+    """A salt that splits a key of ``times`` rows by the column ``other`` into groups of some ``SALT_ROWS``."""
+    return F.pmod(F.xxhash64(other), F.ceil(times / SALT_ROWS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Rounds double the reach of a label, so this covers any graph; running out is an error.
 MAX_ROUNDS = 80
@@ -50,7 +50,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         moved = new.join(
             labels.select("node", F.col("component").alias("old")), "node"
         ).where("component <> old")
-        if moved.isEmpty():
+        settled = moved.isEmpty()
+        discard(labels)
+        if settled:
+            discard(both)
             return new
         labels = new
     raise RuntimeError("labels did not settle")

@@ -6,8 +6,7 @@ remainders are packed by their histogram alone:
 
 1.  All combinations of up to three lengths that fill a window exactly are
     enumerated.
-2.  Non-negative least squares finds how often to use each so that together
-    they use up the histogram: min ||A x - h|| for x >= 0, by multiplicative
+2.  Non-negative least squares finds how often to use each so that together they use up the histogram: min ||A x - h|| for x >= 0, by multiplicative
     updates.
 3.  The counts are rounded down and taken as far as lengths last.
 4.  What is left is packed greedily, the longest first, each gap filled with
@@ -15,8 +14,12 @@ remainders are packed by their histogram alone:
 
 The plan is a list of patterns with counts.  Its size depends on the sequence
 length (as does that of the histogram) and not on the corpus.  Every piece is
-then ranked among those of its length, by running totals over range partitions,
-and its rank says which sequence of which pattern takes it.
+then ranked among those of its length, by the counts of range partitions, and
+its rank says which sequence of which pattern takes it.
+
+Token ids lie beside their pieces, in two bytes each where they fit, until the
+pieces are placed by slim rows, and are shuffled once.  The result holds them as
+bytes, little-endian and four for each id: ``numpy.frombuffer(ids, "<u4")``.
 
 Tokens are only made once.  If the file is a plain byte-level BPE whose ids are
 in the order of its merges, tiktoken makes the same ids from the same vocabulary
@@ -30,6 +33,7 @@ table gives an empty one.  Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_positions, materialize, text_batches
+from .common import global_ranks, materialize, text_batches
 
 WINDOW = 1024
 END_ID = 0
@@ -113,23 +117,32 @@ class Encoder:
         return np.array(ids, dtype=np.uint32)
 
 
-def _cut(path: str, window: int, end_id: int, with_ids: bool):
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One encoder for a worker, however many tasks it runs."""
+    return Encoder(path)
+
+
+def _cut(path: str, window: int, end_id: int):
+    end = np.array([end_id], dtype="<u4")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = np.append(encoder.encode(text or ""), np.uint32(end_id)).astype("<u4")
+                    ids = np.concatenate((encoder.encode(text or ""), end)).astype("<u4", copy=False)
+                    small = ids.astype("<u2") if ids.max() < 1 << 16 else ids
                     for s in range(0, len(ids), window):
                         piece = ids[s : s + window]
                         row.append(i)
                         start.append(s)
                         length.append(len(piece))
-                        crc.append(zlib.crc32(piece.tobytes()))
+                        crc.append(zlib.crc32(piece))
                         total.append(len(ids))
-                        kept.append(piece if with_ids else None)
+                        kept.append(small[s : s + window].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row, pa.int64())),
@@ -137,7 +150,7 @@ def _cut(path: str, window: int, end_id: int, with_ids: bool):
                         pa.array(length, pa.int64()),
                         pa.array(crc, pa.int64()),
                         pa.array(total, pa.int64()),
-                        pa.array(kept, pa.list_(pa.int32())),
+                        pa.array(kept, pa.binary()),
                     ],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
@@ -145,6 +158,17 @@ def _cut(path: str, window: int, end_id: int, with_ids: bool):
     return run
 
 
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids, the last column, with four bytes each."""
+    for batch in batches:
+        length = batch.column(batch.schema.get_field_index("length")).to_pylist()
+        ids = [
+            x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes()
+            for x, n in zip(batch.column(batch.num_columns - 1).to_pylist(), length)
+        ]
+        yield batch.set_column(batch.num_columns - 1, "ids", pa.array(ids, pa.binary()))
+
+
 def fill_combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     """All multisets of 1 to 3 of ``lengths`` that add up to ``window``: rows of 3, 0 for none."""
     have = np.zeros(window + 1, dtype=bool)
@@ -267,26 +291,19 @@ def _place(slots: np.ndarray, shift: int):
     return run
 
 
-def pack_documents(
-    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False
-) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece, and its ids on request."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids of every piece."""
     if window < 1:
         raise ValueError("a sequence holds at least one token")
     spark = docs.sparkSession
     text_batches(spark)
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _cut(tokenizer_path, window, end_id, with_ids),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>",
+        _cut(tokenizer_path, window, end_id),
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary",
     )
-    if with_ids:
-        # ids stay with their pieces until these are placed, and are then shuffled once
-        whole = materialize(made.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
-        made = whole.drop("ids")
-    else:
-        made = materialize(made.drop("ids"), "pieces")
+    whole = materialize(made.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     # at most ``window`` rows
-    counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
+    counts = {r["length"]: r["count"] for r in whole.groupBy("length").count().collect()}
     histogram = np.zeros(window + 1, dtype=np.int64)
     for n, c in counts.items():
         histogram[n] = c
@@ -308,13 +325,13 @@ def pack_documents(
     def run(batches):
         return _place(placed.value, shift)(batches)
 
-    ranked = global_positions(
-        made, ["doc_id", "start", "ids_crc32"], {"rank": F.lit(1).cast("long")}, within=["length"]
-    ).select(*made.columns, "rank")
-    schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes)
-    out = ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").drop("rank")
-    if not with_ids:
-        return out
-    held = whole.select("__piece", "ids")
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
-    return held.join(out.hint("shuffle_hash"), "__piece").select(columns)
+    # lengths are ``window`` at most, so groups are few
+    slim = whole.select("piece", "length", "doc_id", "start", "ids_crc32")
+    ranked = global_ranks(slim, ["doc_id", "start", "ids_crc32"], "rank", within=["length"], few=True)
+    spots = ranked.select("piece", "length", "rank").mapInArrow(
+        run, "piece long, length long, rank long, sequence_id long, offset long"
+    )
+    joined = whole.join(spots.select("piece", "sequence_id", "offset").hint("shuffle_hash"), "piece")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = ", ".join(f"`{c}` long" for c in columns)
+    return joined.select(*columns, "ids").mapInArrow(_widened, f"{schema}, ids binary")

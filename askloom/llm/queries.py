@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,23 +70,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _crc_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ids_crc32 from the packed ids, the last column, in their place."""
-    for batch in batches:
-        ids = batch.column(batch.num_columns - 1)
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        rest = batch.select(range(batch.num_columns - 1))
-        at = rest.schema.get_field_index("ids_crc32")
-        yield rest.set_column(at, "ids_crc32", pa.array(crc, pa.int64()))
-
-
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=True)
-    digests = packed.drop("ids")
-    schema = ", ".join(f"`{c}` {t}" for c, t in digests.dtypes)
-    return packed.select(*digests.columns, "ids").mapInArrow(_crc_of_ids, schema)
+    packed = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
