@@ -21,7 +21,8 @@ under None).  A source without a weight in a given table gets none of its
 documents; without a table, all sources weigh the same.  Rows that repeat a
 doc_id share its count, and each is repeated so.  A null doc_id hashes as "".
 Null texts are kept.  An empty table gives an empty one.  Other columns are
-kept.  More than 2^31 - 1 copies of one row are an error.
+kept as they are; where one has the name of an added column, the added one's
+gets an underscore at its end.  More than 2^31 - 1 copies of one row are an error.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import free_names, materialize, shuffle_partitions
 
 SEED = "mix-1"
 #: Mean repetition rates above this are drawn in parts, and so many copies are exploded in one row's task.
@@ -96,34 +97,44 @@ def repetition_rates(docs: DataFrame, weights: dict[str | None, float] | None =
 def mix_sources(
     docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED
 ) -> DataFrame:
-    """The copies of ``docs`` in global shuffle order, with copy (from 0), copies and rate."""
+    """The copies of ``docs`` in global shuffle order, with mix_rate, mix_copies, mix_copy (from 0) and mix_place.
+
+    Places are uniform hexadecimal numbers, so partitions are cut at fixed
+    places, in whole numbers of their first eight digits, without a sample.
+    """
     spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
     rates = materialize(repetition_rates(docs, weights), "rates").select(
-        F.col("source").alias("r_source"), F.col("rate").alias("mix_rate")
+        F.col("source").alias("r_source"), "rate"
     )
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     # documents stay where they are as long as the sources are few; else sources are dealt out
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    # a document travels whole in one column, so that its columns can have any names
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    key = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))
 
     def counted(rates: DataFrame, count: Column) -> DataFrame:
-        joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("r_source")))
-        return joined.withColumn("mix_copies", count).drop("r_source").where("mix_copies > 0")
+        joined = whole.join(F.broadcast(rates) if few else rates, F.col("doc.source").eqNullSafe(F.col("r_source")))
+        return joined.select("doc", "rate", count.alias("copies")).where("copies > 0")
 
-    usual, high = F.col("mix_rate") <= MAX_RATE, F.col("mix_rate") > MAX_RATE
-    copies = counted(
-        rates.where(usual), poisson_inverse(uniform(key, seed, "count"), F.col("mix_rate"))
-    ).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+    usual, high = F.col("rate") <= MAX_RATE, F.col("rate") > MAX_RATE
+    copies = counted(rates.where(usual), poisson_inverse(uniform(key, seed, "count"), F.col("rate"))).withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    )
     if not rates.where(high).isEmpty():
-        last = F.col("mix_copies") - 1
-        chunks = counted(rates.where(high), poisson_sum(key, seed, F.col("mix_rate"))).withColumn(
-            "mix_copy", F.explode(F.sequence(F.lit(0), last, F.lit(MAX_RATE)))
+        last = F.col("copies") - 1
+        chunks = counted(rates.where(high), poisson_sum(key, seed, F.col("rate"))).withColumn(
+            "copy", F.explode(F.sequence(F.lit(0), last, F.lit(MAX_RATE)))
         )
-        chunk = F.sequence(F.col("mix_copy"), F.least(F.col("mix_copy") + (MAX_RATE - 1), last))
-        dealt = chunks.repartition(shuffle_partitions(spark)).withColumn("mix_copy", F.explode(chunk))
+        chunk = F.sequence(F.col("copy"), F.least(F.col("copy") + (MAX_RATE - 1), last))
+        dealt = chunks.repartition(parts).withColumn("copy", F.explode(chunk))
         copies = copies.unionByName(dealt)
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), key, F.col("mix_copy").cast("string")))
+    place = F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), key, F.col("copy").cast("string")))
+    lead = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
+    names = free_names(docs.columns, "mix_rate", "mix_copies", "mix_copy", "mix_place")
     return (
-        copies.withColumn("mix_place", place)
-        .repartitionByRange("mix_place")
-        .sortWithinPartitions("mix_place")
+        copies.withColumn("place", place)
+        .repartitionById(parts, F.shiftright(lead * parts, 32).cast("int"))
+        .sortWithinPartitions("place")
+        .select("doc.*", *[F.col(c).alias(n) for c, n in zip(("rate", "copies", "copy", "place"), names)])
     )
