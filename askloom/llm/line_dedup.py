@@ -22,6 +22,11 @@ The method, with DataFrame functions only:
 4.  The pairs' edit distance is verified on their words, and lines with an
     earlier verified partner go.
 
+*Hot keys.*  Sides of joins on halves and variants are tables, so that a skewed
+key can be split at run time.  A line that leads many others is copied for the
+verification, once for some ``SALT_ROWS`` of them, and its pairs are dealt out
+over the copies.
+
 A hash of a variant is the exclusive or of one hash for each word and its place,
 so that all variants of a line follow from one fold over it.
 
@@ -29,7 +34,8 @@ so that all variants of a line follow from one fold over it.
 doc_id and text are one document and keep the same lines.  Rows that repeat a
 doc_id with other texts are taken in the order of their text's hash.  A null
 doc_id comes before all others.  A text of which nothing is left is empty.  An
-empty table gives an empty one.  Other columns are kept as they are.
+empty table gives an empty one.  Other columns are kept as they are; where one
+has the name of an added column, the added one's gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, SPACE_RUN, global_positions, materialize
+from .common import NULL_KEY, SPACE_RUN, free_names, global_ranks, materialize, salt_of, salted_copies
 
 MIN_WORDS = 8
 _SPACES = " \t\n\x0b\f\r"
@@ -98,12 +104,7 @@ def _neighbourhood(words: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` reduced to the lines that stay, and n_lines and n_removed (lines with a word).
-
-    ``docs`` must not have columns of these two names.
-    """
-    if {"n_lines", "n_removed"} & set(docs.columns):
-        raise ValueError("n_lines and n_removed are columns of the result")
+    """``docs`` with ``text`` reduced to the lines that stay, and n_lines and n_removed (lines with a word)."""
     if min_words < 2:
         raise ValueError("an edit makes sense from two words on")
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("__did")
@@ -148,23 +149,28 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         count("full").alias("n_lines"),
         count("removed").alias("n_removed"),
     )
-    rest = [c for c in docs.columns if c != "text"]
-    if rest == ["doc_id"] and dict(docs.dtypes)["doc_id"] == "bigint":
-        made = reduced.withColumn("doc_id", F.when(F.col("__did") != NULL_KEY, F.col("__did")))
-    else:  # narrow columns join at the end
-        other = docs.select(did, tkey, *[F.col(c).alias(f"__{c}") for c in rest])
-        made = reduced.dropDuplicates(doc).join(other, doc).withColumnsRenamed({f"__{c}": c for c in rest})
-    return made.select(*docs.columns, "n_lines", "n_removed")
+    names = dict(zip(("n_lines", "n_removed"), free_names(docs.columns, "n_lines", "n_removed")))
+    added = [F.col(f"__{c}").alias(n) for c, n in names.items()]
+    reduced = reduced.withColumnsRenamed({c: f"__{c}" for c in names})
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    if docs.columns == ["doc_id", "text"] and dict(docs.dtypes)["doc_id"] == "bigint":
+        own = F.when(F.col("__did") != NULL_KEY, F.col("__did")).alias("doc_id")
+        return reduced.select(own, "text", *added)
+    # narrow columns, in one, join at the end
+    other = docs.select(did, tkey, F.struct(*rest).alias("__rest"))
+    made = reduced.dropDuplicates(doc).join(other, doc)
+    return made.select(*[F.col("text") if c == "text" else F.col("__rest")[c].alias(c) for c in docs.columns], *added)
 
 
 def _near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:
     """(__did, __tkey, line) of the first occurrences of lines that are one edit away from an earlier one."""
     half = first.select("__did", "__tkey", "line", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # settled, as are other sides of joins below: an aggregate of the key can't be split at run time
+    shared = materialize(shared.select("half"), "halves")
     asked = half.join(shared, "half", "left_semi").select("__did", "__tkey", "line").distinct()
     # ids in the order of lines, so that the least id is the earliest line
-    asked = global_positions(asked, ["__did", "__tkey", "line"], {"id": F.lit(1).cast("long")}).drop("id_all")
-    asked = materialize(asked, "asked")
+    asked = global_ranks(materialize(asked, "asked"), ["__did", "__tkey", "line"], "id")
     of_doc = asked.groupBy("__did", "__tkey").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
     # a document that comes twice gives its lines twice, which changes nothing below
     found = texts.join(of_doc, ["__did", "__tkey"]).select(
@@ -172,22 +178,37 @@ def _near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:
     )
     trimmed = F.btrim(F.get("lines", F.col("a.line")), F.lit(_SPACES))
     found = found.select(F.coalesce("a.id", F.lit(0)).alias("id"), F.split(trimmed, SPACE_RUN).alias("w"))
-    # an exchange that all that follows reads, and with it that of the texts
-    found = found.repartition("id")
+    found = materialize(found, "found")
     variant = found.select("id", F.explode(_neighbourhood(F.col("w"))).alias("x")).select("id", "x.kind", "x.key")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("id")))
     lead = (
         variant.groupBy("key")
-        .agg(least(_SWAP).alias("swap"), F.max(F.when(F.col("kind") == _SWAP, F.col("id"))).alias("last"), least(_CUT).alias("cut"), least(_WHOLE).alias("whole"))
+        .agg(
+            least(_SWAP).alias("swap"),
+            F.max(F.when(F.col("kind") == _SWAP, F.col("id"))).alias("last"),
+            least(_CUT).alias("cut"),
+            least(_WHOLE).alias("whole"),
+            F.count(F.lit(1)).alias("times"),
+        )
         .where("swap < last or (cut is not null and whole is not null)")
     )
+    lead = materialize(lead.drop("last"), "leads")
     earliest = F.when(F.col("kind") == _SWAP, F.col("swap")).when(F.col("kind") == _CUT, F.col("whole")).otherwise(F.col("cut"))
     pairs = (
-        variant.join(lead.drop("last"), "key").select("id", earliest.alias("lead")).where("lead < id").distinct()
+        variant.join(lead, "key")
+        .select("id", earliest.alias("lead"), "times")
+        .where("lead < id")
+        .groupBy("id", "lead")
+        .agg(F.max("times").alias("times"))
+        .select("id", "lead", salt_of("id", F.col("times")).alias("salt"))
     )
+    pairs = materialize(pairs, "pairs")
+    # the words of the lines that are in a pair, once each
+    asking = pairs.select("id").union(pairs.select("lead")).distinct()
+    words = materialize(found.join(asking, "id", "left_semi").dropDuplicates(["id"]), "words")
     near = (
-        pairs.join(found.select("id", F.col("w").alias("a")), "id")
-        .join(found.select(F.col("id").alias("lead"), F.col("w").alias("b")), "lead")
+        pairs.join(words.select("id", F.col("w").alias("a")), "id")
+        .join(salted_copies(pairs, words.select(F.col("id").alias("lead"), F.col("w").alias("b")), "lead", "salt"), ["lead", "salt"])
         .where(one_edit(F.col("a"), F.col("b")))
         .select("id")
         .distinct()
