@@ -25,8 +25,15 @@ The method:
     a large bucket, a member's shingles that no other member of such buckets
     has are counted out first: what is left bounds its overlap with anyone, and
     pairs whose bound is too low are not formed.  No link is lost by either.
+    The worst case is a large bucket with many components whose members share
+    most of their shingles but not enough of them with each other's: there the
+    leftovers are paired within the bucket, and only the bounds limit how many.
 6.  *Components* of the confirmed links.
 
+*Hot groups.*  A pivot's set meets the sets of all members of its bucket: it is
+copied for about every ``SALT_ROWS`` of them.  Other joins on hot keys are
+between tables, so that a skewed key can be split at run time.
+
 Sets are compared by 64-bit hashes of their shingles.
 
 *Edge cases.*  Rows that repeat a doc_id each give a row (a doc_id that repeats
@@ -44,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, materialize, text_batches
+from .common import NULL_KEY, materialize, salt_of, salted_copies, text_batches
 from .components import connected_components
 from .words import Words, chunks, gram_hashes, mix64
 
@@ -152,14 +159,20 @@ def _fits(m: Column, x: Column, y: Column, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the (a, b) pairs that are links, judged on the full sets."""
+    """Those of the (a, b, size) pairs that are links, judged on the full sets.
+
+    ``size`` is that of a bucket that holds the pair; a b of a large one, whose
+    set would meet all of its members in one task, is copied, and its pairs are
+    dealt out over the copies.
+    """
+    pairs = pairs.groupBy("a", "b").agg(F.max("size").alias("size"))
+    pairs = materialize(pairs.select("a", "b", salt_of("a", F.col("size")).alias("salt")), "pairs")
     common = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+        .join(salted_copies(pairs, sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b", "salt"), ["b", "salt"])
         .where(_fits(common, F.size("sa"), F.size("sb"), percent))
         .select("a", "b")
-        .distinct()
     )
 
 
@@ -232,8 +245,7 @@ def _links(keyed: DataFrame, bands: DataFrame, member: DataFrame, k: int, percen
         member.join(pivot, "band")
         .where(F.col("rep") != F.col("pivot"))
         .where(_fits(smaller("n", "pn"), F.col("n"), F.col("pn"), percent))
-        .select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        .distinct()
+        .select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "size")
     )
     linked = materialize(_confirmed(first, sets, percent), "pivot-links")
     label = connected_components(linked)
@@ -272,6 +284,7 @@ def _links(keyed: DataFrame, bands: DataFrame, member: DataFrame, k: int, percen
         .agg(F.count("n").alias("times"))
         .where("times > 1")
     )
+    common = materialize(common.select("x"), "common")
     shared = outside.join(common, "x", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
     bound = apart.join(shared, "rep", "left").select(
         "rep", (F.col("inside") + F.coalesce("shared", F.lit(0))).alias("bound")
@@ -285,7 +298,7 @@ def _links(keyed: DataFrame, bands: DataFrame, member: DataFrame, k: int, percen
     state = materialize(state.join(asked.distinct(), "rep"), "alive")
 
     left = state.where("component <> home").select(
-        "band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bound").alias("ba"), F.col("bands").alias("xa")
+        "band", "size", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bound").alias("ba"), F.col("bands").alias("xa")
     )
     right = state.where("rep <> pivot").select(
         "band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bound").alias("bb"), F.col("bands").alias("xb")
@@ -298,7 +311,6 @@ def _links(keyed: DataFrame, bands: DataFrame, member: DataFrame, k: int, percen
         .where(_fits(most, F.col("na"), F.col("nb"), percent))
         # a pair of several common bands is formed in the first of them only
         .where(F.get(both, F.lit(0)) == F.col("band"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size")
     )
     return linked.union(_confirmed(rest, sets, percent))
