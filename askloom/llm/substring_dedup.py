@@ -14,20 +14,25 @@ The method, all in one plan:
     counted over all documents; a window whose anchor occurs once can't recur.
 2.  *Confirmation.*  The other windows are cut out as segments (the consecutive
     windows of one anchor) and dealt by their anchor.  Within a shard of
-    anchors, the word sequences that occur twice or more are confirmed.
+    anchors, the word sequences that occur twice or more are confirmed; nothing
+    but the sequences is kept of that.
 3.  *Automata.*  Each shard compiles its confirmed sequences into an
-    Aho-Corasick automaton (over the distinct runs of ten words, spelled in digits) and
-    streams its segments through it, which locates every occurrence.  All but
-    the first occurrence of a sequence are flagged.
+    Aho-Corasick automaton (over the distinct runs of ten words, spelled in
+    digits) and streams its segments through it.  Every occurrence is located
+    by an automaton, and all but the first one of a sequence are flagged.
 4.  The flags go back to the documents, which drop the covered words.
 
 Each document meets only those shards whose anchors it holds, so the work is
 linear in the text and no automaton grows with the corpus.
 
-*Hot groups.*  A task flags repeats among its own rows at once and sends only
-the first occurrence of a sequence.  Anchors with more than ``HOT_ANCHOR``
-occurrences are dealt by the window instead, one segment for each window.  The
-count of anchors is pre-aggregated; its join splits skewed keys at run time.
+*Hot groups.*  Windows whose anchor occurs more than ``HOT_ANCHOR`` times are
+dealt by the window itself, and reduced at three levels, at each of which an
+automaton locates the repeats and only the first occurrence goes on: among some
+``COMBINE_BYTES`` of text, then in one of ``SALTS`` parts of a window's
+occurrences, and at last over all.  So no task sees more than its part of a hot
+window.  The count of anchors is pre-aggregated, and it is a table that the
+anchors of documents are joined with, so that a skewed anchor can be split at
+run time.
 
 *Edge cases.*  A null or empty text has no words: n_words 0 and the hash of "".
 Texts with fewer than ``width`` words have no window and stay whole.  Rows that
@@ -49,18 +54,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, text_batches
+from .common import NULL_KEY, materialize, text_batches
 from .words import Words, chunks, gram_hashes, mix64, sliding_argmin
 
 WIDTH = 20
 SEED = 6
 HOT_ANCHOR = 2000
+#: Parts into which the occurrences of a hot window are dealt first.
+SALTS = 512
 #: Segments that share one automaton.  A shard's memory follows from it.
 SHARD_SEGMENTS = 12_000
-#: Bytes of text among which a task looks for repeats before it sends segments.
+#: Bytes of text among which a task looks for repeats of hot windows before it sends segments.
 COMBINE_BYTES = 4 << 20
 
-_SEGMENT = "did long, tkey long, start int, n int, shard long, words binary"
+#: A segment's words, or null: then the row is a flag already, and n its length.
+_SEGMENT = "did long, tkey long, start int, n int, shard long, hot boolean, words binary"
 _FLAG = "did long, tkey long, start int, length int"
 
 
@@ -70,7 +78,9 @@ def _anchors(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.n
     return sliding_argmin(seeds, width - seed + 1), seeds
 
 
-def _emit_anchors(width: int, seed: int):
+def _emit_anchors(width: int, seed: int, most: int):
+    """The anchors of each document, each as often as it occurs there, up to ``most`` times."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -80,8 +90,7 @@ def _emit_anchors(width: int, seed: int):
                 for i in range(b - a):
                     at, seeds = _anchors(hashes[w.first[i] : w.first[i + 1]], width, seed)
                     found, counts = np.unique(seeds[np.unique(at)], return_counts=True)
-                    # twice in one document is enough to recur
-                    out.append(np.concatenate((found, found[counts > 1])).view(np.int64))
+                    out.append(np.repeat(found, np.minimum(counts, most)).view(np.int64))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -97,8 +106,101 @@ def _emit_anchors(width: int, seed: int):
     return run
 
 
+def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs that end where ``breaks``, between neighbours, holds."""
+    first = np.flatnonzero(np.concatenate(([True], breaks)))
+    return first, np.diff(np.append(first, len(breaks) + 1))
+
+
+def _repeats(
+    words: np.ndarray, did: np.ndarray, tkey: np.ndarray, start: np.ndarray, n: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, offset) of every window of segments that also starts earlier among them, in order.
+
+    Segments are in the order of documents; ``words`` are their words' hashes,
+    one after the other.  A letter of the automaton is a run of ``step`` words,
+    so that a window takes few nodes; a segment is streamed once for each phase
+    (its words 0, step, 2 step, ..; 1, step + 1, ..; and so on).
+    """
+    step = next(k for k in (10, 9, 8, 7, 6, 5, 4, 3, 2, 1) if width % k == 0)
+    size = n + width - 1  # words of a segment
+    word_at = np.cumsum(size) - size
+
+    # letters: one for each distinct run of ``step`` words; 0 stands between segments
+    per = size - step + 1
+    seg = np.repeat(np.arange(len(n)), per)
+    off = np.arange(len(seg)) - np.repeat(np.cumsum(per) - per, per)
+    letters = gram_hashes(words, step)[word_at[seg] + off]
+    distinct, letter = np.unique(letters, return_inverse=True)
+    # spelled in digits of 5 bits, the first of which has symbols of its own, so that
+    # nodes have few children and a match starts at a letter
+    digits = max(1, -(-(len(distinct) - 1).bit_length() // 5))
+    spelt = (letter[:, None] >> (5 * np.arange(digits))) & 31
+    spelt = (spelt + 0x60 - 0x20 * (np.arange(digits) == 0)).astype(np.uint8)
+    length = width // step * digits
+
+    def confirmed() -> str:
+        """The sequences that occur twice or more, spelt one after the other."""
+        place = np.flatnonzero(off < np.repeat(n, per))  # a window's first letter
+        own = gram_hashes(words, width)[word_at[seg[place]] + off[place]]
+        _, sample, times = np.unique(own, return_index=True, return_counts=True)
+        sample = place[sample[times > 1]]
+        return spelt[sample[:, None] + np.arange(0, width, step)].tobytes().decode("ascii")
+
+    def compiled(phrases: str) -> ahocorasick.Automaton:
+        automaton = ahocorasick.Automaton()
+        for k in range(0, len(phrases), length):
+            automaton.add_word(phrases[k : k + length], k // length)
+        automaton.make_automaton()
+        return automaton
+
+    def streamed(automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
+        """Places and phrases of all occurrences; the stream has, for each phase, every segment's letters."""
+        phase = (off % step).astype(np.int8)
+        walk = np.argsort(phase, kind="stable")
+        breaks = np.concatenate(([0], (np.diff(seg[walk]) != 0) | (np.diff(phase[walk]) != 0)))
+        spot = np.arange(len(walk)) * digits + np.cumsum(breaks)
+        stream = np.full(spot[-1] + digits, 0x20, dtype=np.uint8)
+        stream[spot[:, None] + np.arange(digits)] = spelt[walk]
+        source = np.zeros(len(stream), dtype=np.int64)
+        source[spot] = walk
+        found = automaton.iter(stream.tobytes().decode("ascii"))
+        hits = np.fromiter(chain.from_iterable(found), dtype=np.int64).reshape(-1, 2)
+        return source[hits[:, 0] - (length - 1)], hits[:, 1]
+
+    phrases = confirmed()
+    if not phrases:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at, phrase = streamed(compiled(phrases))
+    # in the order of documents, the first occurrence of a phrase is the earliest
+    order = np.lexsort((at, phrase))
+    at, phrase = at[order], phrase[order]
+    lead, times = _runs(np.diff(phrase) != 0)
+    earliest = np.repeat(at[lead], times)
+    a, b = seg[at], seg[earliest]
+    # the same row twice is one document, not a repeat
+    itself = (did[a] == did[b]) & (tkey[a] == tkey[b]) & (start[a] + off[at] == start[b] + off[earliest])
+    at = np.sort(at[~itself])
+    return seg[at], off[at]
+
+
+def _rows(did, tkey, start, n, shard, hot, words) -> pa.RecordBatch:
+    names = ["did", "tkey", "start", "n", "shard", "hot", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    columns = (did, tkey, start, n, shard, hot, words)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def _flags(did: np.ndarray, tkey: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of flagged windows, in order, as rows without words, dealt by their document."""
+    if len(pos):
+        first, n = _runs((np.diff(did) != 0) | (np.diff(tkey) != 0) | (np.diff(pos) != 1))
+        did, none = did[first], [None] * len(first)
+        yield _rows(did, tkey[first], pos[first], n, mix64(did.view(np.uint64)).view(np.int64), [False] * len(first), none)
+
+
 def _cut_segments(width: int, seed: int, hot_anchor: int):
-    """Rows (did, tkey, text, anchors, counts) -> segments to deal, and flags that are sure already."""
+    """Rows (did, tkey, text, anchors, counts) -> segments to deal, and flags of hot windows that repeat here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +212,9 @@ def _cut_segments(width: int, seed: int, hot_anchor: int):
                 yield from part(texts, dids, tkeys, lists, counts, a, b)
 
     def part(texts, dids, tkeys, lists, counts, a, b) -> Iterator[pa.RecordBatch]:
-        rows = []  # per candidate window: hash, text, start, anchor position, anchor, its count
+        rows = []  # per candidate window: text, start, anchor position, anchor, its count
         order = sorted(range(a, b), key=lambda i: (dids[i], tkeys[i]))
-        w_at = {}
+        words_of = {}  # text -> its Words and hashes, and where its words start there
         for lo, hi in chunks([texts[i] for i in order]):
             w = Words([texts[i] for i in order[lo:hi]])
             hashes = w.hashes()
@@ -130,204 +232,107 @@ def _cut_segments(width: int, seed: int, hot_anchor: int):
                 start = np.flatnonzero(known[place] == anchor)
                 if not len(start):
                     continue
-                w_at[i] = (w, w.first[j])
-                rows.append(
-                    (
-                        gram_hashes(own, width)[start],
-                        gram_hashes(own, width, 1)[start],
-                        np.full(len(start), i),
-                        start,
-                        at[start],
-                        anchor[start],
-                        times[place[start]],
-                    )
-                )
+                words_of[i] = (w, own, w.first[j])
+                rows.append((np.full(len(start), i), start, at[start], anchor[start], times[place[start]]))
         if not rows:
             return
-        one, two, text, start, at, anchor, times = (np.concatenate(x) for x in zip(*rows))
-        # rows are in the order of documents and starts: a repeat here has an earlier start for sure
-        key = np.empty(len(one), dtype=[("one", np.uint64), ("two", np.uint64)])
-        key["one"], key["two"] = one, two
-        by = np.lexsort((np.arange(len(one)), two, one))
-        same = np.zeros(len(one), dtype=bool)
-        same[by[1:]] = key[by[1:]] == key[by[:-1]]
-        # the same row twice is one document, not a repeat
-        first_of = np.arange(len(one))
-        lead = np.flatnonzero(~same[by])
-        first_of[by] = by[lead][np.cumsum(~same[by]) - 1]
-        twin = (dids[text] == dids[text[first_of]]) & (tkeys[text] == tkeys[text[first_of]]) & (
-            start == start[first_of]
-        )
-        again, fresh = same & ~twin, ~same
-        yield from flags(dids, tkeys, text[again], start[again])
-        yield from segments(
-            dids, tkeys, w_at, text[fresh], start[fresh], at[fresh], anchor[fresh], times[fresh], one[fresh]
-        )
-
-    def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(np.concatenate(([True], breaks)))
-        return first, np.diff(np.append(first, len(breaks) + 1))
-
-    def batch_of(did, tkey, start, n, shard, words) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(did, pa.int64()),
-                pa.array(tkey, pa.int64()),
-                pa.array(start, pa.int32()),
-                pa.array(n, pa.int32()),
-                pa.array(shard, pa.int64()),
-                words,
-            ],
-            ["did", "tkey", "start", "n", "shard", "words"],
-        )
-
-    def flags(dids, tkeys, text, start) -> Iterator[pa.RecordBatch]:
-        """Repeats within the task: rows without words."""
-        if len(text):
-            first, n = runs((np.diff(text) != 0) | (np.diff(start) != 1))
-            yield batch_of(
-                dids[text[first]], tkeys[text[first]], start[first], n,
-                mix64(dids[text[first]].view(np.uint64)).view(np.int64), pa.nulls(len(first), pa.binary()),
-            )
-
-    def segments(dids, tkeys, w_at, text, start, at, anchor, times, one) -> Iterator[pa.RecordBatch]:
-        if not len(text):
-            return
+        text, start, at, anchor, times = (np.concatenate(x) for x in zip(*rows))
         hot = times > hot_anchor
-        first, n = runs(
-            (np.diff(text) != 0) | (np.diff(start) != 1) | (np.diff(at) != 0) | hot[1:]
-        )
-        words, last, raw, shift = [], None, None, 0
-        for t, s, k in zip(text[first].tolist(), start[first].tolist(), n.tolist()):
-            if t != last:
-                last = t
-                w, shift = w_at[t]
-                raw, begins, ends = w.data, w.starts, w.ends
-            words.append(raw[begins[shift + s] : ends[shift + s + k + width - 2]])
-        shard = np.where(hot[first], one[first], anchor[first]).view(np.int64)
-        for x in range(0, len(first), 20_000):
+        if hot.any():
+            yield from hot_windows(dids, tkeys, words_of, text[hot], start[hot])
+        text, start, at, anchor = (x[~hot] for x in (text, start, at, anchor))
+        if len(text):
+            first, n = _runs((np.diff(text) != 0) | (np.diff(start) != 1) | (np.diff(at) != 0))
+            yield from segments(dids, tkeys, words_of, text[first], start[first], n, anchor[first].view(np.int64), False)
+
+    def hot_windows(dids, tkeys, words_of, text, start) -> Iterator[pa.RecordBatch]:
+        """Flags of those that repeat here; the others as segments of one window each."""
+        first, n = _runs((np.diff(text) != 0) | (np.diff(start) != 1))
+        t, s = text[first], start[first]
+        hashes = np.concatenate([words_of[i][1][x : x + k + width - 1] for i, x, k in zip(t.tolist(), s.tolist(), n.tolist())])
+        seg, off = _repeats(hashes, dids[t], tkeys[t], s, n, width)
+        yield from _flags(dids[t[seg]], tkeys[t[seg]], s[seg] + off)
+        again = np.zeros(len(text), dtype=bool)
+        again[first[seg] + off] = True
+        text, start = text[~again], start[~again]
+        own = np.concatenate([gram_hashes(words_of[i][1], width)[start[text == i]] for i in dict.fromkeys(text.tolist())])
+        salt = mix64(dids[text].view(np.uint64) ^ tkeys[text].view(np.uint64)) % np.uint64(SALTS)
+        shard = mix64(own + salt).view(np.int64)
+        yield from segments(dids, tkeys, words_of, text, start, np.ones(len(text), np.int64), shard, True)
+
+    def segments(dids, tkeys, words_of, text, start, n, shard, hot) -> Iterator[pa.RecordBatch]:
+        words = []
+        for t, s, k in zip(text.tolist(), start.tolist(), n.tolist()):
+            w, _, shift = words_of[t]
+            words.append(w.data[w.starts[shift + s] : w.ends[shift + s + k + width - 2]])
+        for x in range(0, len(text), 20_000):
             y = slice(x, x + 20_000)
-            yield batch_of(
-                dids[text[first[y]]], tkeys[text[first[y]]], start[first[y]], n[y], shard[y],
-                pa.array(words[y], pa.binary()),
-            )
+            here = words[y]
+            yield _rows(dids[text[y]], tkeys[text[y]], start[y], n[y], shard[y], [hot] * len(here), here)
 
     return run
 
 
-def _locate(width: int):
-    """Segments sorted by shard -> flagged runs of window starts.
+def _locate(width: int, last: bool):
+    """Segments sorted by shard -> flags, and unless this is the ``last`` level the hot segments that stay.
 
     Consecutive shards share one automaton up to ``SHARD_SEGMENTS`` segments; a
-    shard is never split.  A letter of the automaton is a run of ``step`` words,
-    so that a window takes few nodes; a segment is streamed once for each phase
-    (its words 0, step, 2 step, ..; 1, step + 1, ..; and so on).
+    shard is never split.
     """
-    step = next(k for k in (10, 9, 8, 7, 6, 5, 4, 3, 2, 1) if width % k == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in located(batches):
+            if last:
+                out = out.select(["did", "tkey", "start", "n"]).rename_columns(["did", "tkey", "start", "length"])
+            yield out
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            sure = batch.filter(pc.is_null(batch.column(5)))
+            sure = batch.filter(pc.is_null(batch.column("words")))
             if sure.num_rows:
-                yield sure.select(["did", "tkey", "start", "n"]).rename_columns(
-                    ["did", "tkey", "start", "length"]
-                )
-                batch = batch.filter(pc.is_valid(batch.column(5)))
+                yield sure
+                batch = batch.filter(pc.is_valid(batch.column("words")))
             if batch.num_rows == 0:
                 continue
             if size >= SHARD_SEGMENTS:
                 # cut where the shard changes
-                shard = batch.column(4).to_numpy(zero_copy_only=False)
-                last = held[-1].column(4)[-1].as_py()
-                change = np.flatnonzero(shard != last)
+                shard = batch.column("shard").to_numpy(zero_copy_only=False)
+                change = np.flatnonzero(shard != held[-1].column("shard")[-1].as_py())
                 stay = int(change[0]) if len(change) else batch.num_rows
                 if stay:
                     held.append(batch.slice(0, stay))
                     size += stay
                 if stay == batch.num_rows:
                     continue
-                yield from shard_flags(pa.Table.from_batches(held))
+                yield from shards(pa.Table.from_batches(held))
                 batch = batch.slice(stay)
                 held, size = [], 0
             held.append(batch)
             size += batch.num_rows
         if held:
-            yield from shard_flags(pa.Table.from_batches(held))
+            yield from shards(pa.Table.from_batches(held))
 
-    def shard_flags(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def shards(t: pa.Table) -> Iterator[pa.RecordBatch]:
         did, tkey = t.column("did").to_numpy(), t.column("tkey").to_numpy()
         start, n = t.column("start").to_numpy(), t.column("n").to_numpy()
         by = np.lexsort((start, tkey, did))
         did, tkey, start, n = did[by], tkey[by], start[by], n[by]
-        words = Words(t.column("words").take(pa.array(by)).to_pylist()).hashes()
-        size = n + width - 1  # words of a segment
-        word_at = np.cumsum(size) - size
-
-        # letters: one for each distinct run of ``step`` words; 0 stands between segments
-        per = size - step + 1
-        seg = np.repeat(np.arange(len(n)), per)
-        off = np.arange(len(seg)) - np.repeat(np.cumsum(per) - per, per)
-        runs = gram_hashes(words, step)[word_at[seg] + off]
-        distinct, letter = np.unique(runs, return_inverse=True)
-        # spelled in digits of 5 bits, the first of which has symbols of its own, so that
-        # nodes have few children and a match starts at a letter
-        digits = max(1, -(-(len(distinct) - 1).bit_length() // 5))
-        spelt = (letter[:, None] >> (5 * np.arange(digits))) & 31
-        spelt = (spelt + 0x60 - 0x20 * (np.arange(digits) == 0)).astype(np.uint8)
-
-        # windows, in the order of documents; those that occur twice are confirmed
-        is_window = off < np.repeat(n, per)
-        place = np.flatnonzero(is_window)  # of a window's first letter
-        own = gram_hashes(words, width)[word_at[seg[place]] + off[place]]
-        _, first, times = np.unique(own, return_index=True, return_counts=True)
-        confirmed = place[first[times > 1]]
-        if not len(confirmed):
+        raw = t.column("words").take(pa.array(by)).to_pylist()
+        words = Words(raw).hashes()
+        seg, off = _repeats(words, did, tkey, start, n, width)
+        yield from _flags(did[seg], tkey[seg], start[seg] + off)
+        hot = t.column("hot").to_numpy()[by]
+        if last or not hot.any():
             return
-        phrases = spelt[confirmed[:, None] + np.arange(0, width, step)].tobytes().decode("ascii")
-        length = width // step * digits
-        automaton = ahocorasick.Automaton()
-        for k in range(len(confirmed)):
-            automaton.add_word(phrases[k * length : (k + 1) * length], k)
-        automaton.make_automaton()
-
-        # the stream: for each phase, every segment's letters ``step`` words apart
-        phase = (off % step).astype(np.int8)
-        walk = np.argsort(phase, kind="stable")
-        breaks = np.concatenate(([0], (np.diff(seg[walk]) != 0) | (np.diff(phase[walk]) != 0)))
-        spot = np.arange(len(walk)) * digits + np.cumsum(breaks)
-        stream = np.full(spot[-1] + digits, 0x20, dtype=np.uint8)
-        stream[spot[:, None] + np.arange(digits)] = spelt[walk]
-        source = np.zeros(len(stream), dtype=np.int64)
-        source[spot] = walk
-        found = automaton.iter(stream.tobytes().decode("ascii"))
-        hits = np.fromiter(chain.from_iterable(found), dtype=np.int64).reshape(-1, 2)
-        del automaton, phrases
-        at, phrase = source[hits[:, 0] - (length - 1)], hits[:, 1]
-
-        # in the order of documents, the first occurrence of a phrase is the earliest
-        order = np.lexsort((at, phrase))
-        at, phrase = at[order], phrase[order]
-        lead = np.flatnonzero(np.concatenate(([True], np.diff(phrase) != 0)))
-        earliest = at[np.repeat(lead, np.diff(np.append(lead, len(at))))]
-        a, b = seg[at], seg[earliest]
-        pos = start[a] + off[at]
-        itself = (did[a] == did[b]) & (tkey[a] == tkey[b]) & (pos == start[b] + off[earliest])
-        at = np.sort(at[~itself])
-        if not len(at):
-            return
-        a, pos = seg[at], start[seg[at]] + off[at]
-        first = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(pos) != 1))))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(did[a[first]], pa.int64()),
-                pa.array(tkey[a[first]], pa.int64()),
-                pa.array(pos[first], pa.int32()),
-                pa.array(np.diff(np.append(first, len(at))), pa.int32()),
-            ],
-            ["did", "tkey", "start", "length"],
-        )
+        again = np.zeros(len(n), dtype=bool)
+        again[seg] = True  # a hot segment is one window
+        stay = np.flatnonzero(hot & ~again)
+        shard = gram_hashes(words, width)[(np.cumsum(n + width - 1) - (n + width - 1))[stay]].view(np.int64)
+        for x in range(0, len(stay), 20_000):
+            y = stay[x : x + 20_000]
+            yield _rows(did[y], tkey[y], start[y], n[y], shard[x : x + 20_000], [True] * len(y), [raw[i] for i in y.tolist()])
 
     return run
 
@@ -395,24 +400,30 @@ def removed_windows(
         raise ValueError("seed must be between 1 and width")
     text_batches(docs.sparkSession)
     texts = _keyed(docs)
-    facts = texts.mapInArrow(
-        _emit_anchors(width, seed), "did long, tkey long, anchors array<long>"
-    ).select("did", "tkey", F.explode("anchors").alias("anchor"))
-    recurring = facts.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+
+    def anchors(most: int) -> DataFrame:
+        made = texts.mapInArrow(_emit_anchors(width, seed, most), "did long, tkey long, anchors array<long>")
+        return made.select("did", "tkey", F.explode("anchors").alias("anchor"))
+
+    # an anchor that occurs twice in one document is enough to recur, and may be a hot one
+    recurring = anchors(hot_anchor + 2).groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # settled, as an aggregate of the key can't be split at run time
+    recurring = materialize(recurring, "anchors")
     known = (
-        facts.join(recurring, "anchor")
+        anchors(1)
+        .join(recurring, "anchor")
         .groupBy("did", "tkey")
-        .agg(F.collect_list(F.struct("anchor", "times")).alias("k"))
+        .agg(F.collect_set(F.struct("anchor", "times")).alias("k"))
         .select("did", "tkey", F.col("k.anchor").alias("anchors"), F.col("k.times").alias("counts"))
     )
-    return (
+    dealt = lambda rows: rows.repartition("shard").sortWithinPartitions("shard")
+    cut = (
         texts.join(known, ["did", "tkey"])
         .select("did", "tkey", "text", "anchors", "counts")
         .mapInArrow(_cut_segments(width, seed, hot_anchor), _SEGMENT)
-        .repartition("shard")
-        .sortWithinPartitions("shard")
-        .mapInArrow(_locate(width), _FLAG)
     )
+    first = dealt(cut).mapInArrow(_locate(width, last=False), _SEGMENT)
+    return dealt(first).mapInArrow(_locate(width, last=True), _FLAG)
 
 
 def dedup_substrings(
