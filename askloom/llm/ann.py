@@ -3,19 +3,21 @@
 Nearness is the cosine, in double precision, on the vectors as given.
 
 *Index.*  Centroids come from balanced k-means (a cluster's cost rises with its
-size) on a sample of up to ``SAMPLE`` vectors; there is one for about
-``LIST_SIZE`` vectors, up to ``MAX_LISTS``, so that the centroids have a bounded
-size and travel with the functions.  They are searched by an in-memory graph: each centroid knows its nearest
-others and a few far ones, and a best-first beam walks it.  Every vector goes to
-its nearest centroid's posting list, and a vector near a boundary also to the
-lists of up to ``REPLICAS`` - 1 other centroids, if they are at most ``CLOSURE``
-times as far and not closer to a chosen centroid than to the vector.
+size) on a sample of vectors; there is one for about ``LIST_SIZE`` vectors up to
+``MAX_LISTS``, and beyond that their number follows the root of the vectors'
+number, as does the sample's (``SAMPLE``, or ``PER_LIST`` a centroid).  So the
+centroids stay small enough to travel with the functions.  They are searched by
+an in-memory graph: each centroid knows its nearest others and a few far ones,
+and a best-first beam walks it.  Every vector goes to its nearest centroid's
+posting list, and a vector near a boundary also to the lists of up to
+``REPLICAS`` - 1 other centroids, if they are at most ``CLOSURE`` times as far
+and not closer to a chosen centroid than to the vector.
 
 *Search.*  The graph gives a query's nearest centroids; lists are read whose
 centroid is at most so many times as far as the nearest one, at least
-``MIN_PROBES`` and up to a bound.  A list and its queries meet in a
-group; a list of more than ``LIST_CAP`` vectors is dealt in parts.  A group
-hands on each query's best ids only.
+``MIN_PROBES`` and up to a bound.  A list and its queries meet in a group; a
+list of more than ``LIST_CAP`` vectors and its queries beyond ``QUERY_CAP`` are
+dealt in parts.  A group hands on each query's best ids only.
 
 *Recall.*  How many lists hold a query's neighbours depends on the vectors and
 on how many there are.  For up to ``CALIBRATION`` of the queries the true
@@ -28,16 +30,16 @@ ids: no query needs more of them.  Their ids are limited before the shuffle.
 Equal queries are searched once.
 
 *Edge cases.*  Vectors that are null, empty, zero, or hold null or non-finite
-components, and rows without an id, take no part, nor do vectors of another
-length than the most common one of the sample.  Ties go to the smaller id.
-Repeated rows count once.  With fewer than k candidates all are returned.  An
-empty table gives an empty one.  Other columns are ignored.
+components, and rows without an id, take no part.  A vector meets those of its
+own length only: each length has an index of its own.  Ties go to the smaller
+id.  Repeated rows count once.  With fewer than k candidates all are returned.
+An empty table gives an empty one.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,9 @@ from .common import materialize
 SAMPLE = 20_000
 LIST_SIZE = 256
 MAX_LISTS = 4096
+PER_LIST = 8
 LIST_CAP = 4096
+QUERY_CAP = 4096
 REPLICAS = 4
 CLOSURE = 1.15
 PROBE_RATIO = 1.35
@@ -70,6 +74,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def list_count(n: int) -> int:
+    """How many posting lists n vectors get."""
+    return max(1, min(round(n / LIST_SIZE), max(MAX_LISTS, round(n**0.5))))
+
+
 def balanced_centroids(x: np.ndarray, n: int, seed: int = 7, rounds: int = 12) -> np.ndarray:
     """k-means on unit vectors in which a cluster's cost rises with its size."""
     rnd = np.random.default_rng(seed)
@@ -288,6 +297,9 @@ def _meet(dim: int, k: int):
             return schema.empty_table()
         grid = lambda t: _vectors(t.column("embedding").combine_chunks(), dim)[1]
         q, x = grid(left), grid(right)
+        # a power of two leaves the measure as it is and keeps squares in range
+        scaled = lambda v: np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+        q, x = scaled(q), scaled(x)
         norm = lambda v: np.sqrt((v * v).sum(axis=1))
         nq, nx = norm(q), norm(x)
         ids = right.column("ids").to_pylist()
@@ -338,16 +350,25 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
         .agg(F.any_value("embedding").alias("embedding"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
     )
     distinct = materialize(distinct, "vectors")
-    n = distinct.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return vectors.sparkSession.createDataFrame([], schema)
-    sample = distinct.select("embedding").orderBy("k1", "k2").limit(SAMPLE).toArrow().column(0).combine_chunks()
+    # usually one row; each length is searched by itself
+    lengths = distinct.groupBy(F.size("embedding").alias("dim")).count().orderBy("dim").collect()
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = valid.where("is_query").select("k1", "k2", "vec_id").distinct()
+    found = [_nearest(vectors, distinct, asked, r["dim"], r["count"], k) for r in lengths]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _nearest(vectors: DataFrame, distinct: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """``nearest`` among the n distinct vectors of length ``dim``."""
+    distinct = distinct.where(F.size("embedding") == dim)
+    lists = list_count(n)
+    # keys are hashes, so their order is no order of the vectors
+    size = max(SAMPLE, PER_LIST * lists)
+    sample = distinct.select("embedding").orderBy("k1", "k2").limit(size).toArrow().column(0).combine_chunks()
     if isinstance(sample, pa.ChunkedArray):
         sample = pa.concat_arrays(sample.chunks)
-    dim = Counter(np.asarray(sample.value_lengths()).tolist()).most_common(1)[0][0]
     _, x = _vectors(sample, dim)
-    lists = min(MAX_LISTS, max(1, round(n / LIST_SIZE)))
     graph = CentroidGraph(balanced_centroids(_unit(x), lists))
 
     element = dict(vectors.dtypes)["embedding"]
@@ -357,24 +378,27 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
         ),
         "postings",
     )
-    parts = posting.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_CAP).cast("int").alias("parts"))
-    asked = valid.where("is_query").select("k1", "k2", "vec_id").distinct()
     query = distinct.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
     probes, ratio = calibrate(graph, distinct, posting, query, dim, k)
-    # one row for each list: bounded by MAX_LISTS
-    probe = (
-        query.select("k1", "k2", "embedding")
-        .mapInArrow(_probe(graph, dim, probes, ratio), f"list int, k1 long, k2 long, embedding {element}")
-        .join(F.broadcast(parts), "list")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .drop("parts")
+    probe = query.select("k1", "k2", "embedding").mapInArrow(
+        _probe(graph, dim, probes, ratio), f"list int, k1 long, k2 long, embedding {element}"
     )
-    posting = posting.join(F.broadcast(parts), "list").withColumn(
-        "part", F.pmod(F.col("k2"), F.col("parts").cast("long")).cast("int")
-    ).drop("parts")
+    probe = materialize(probe, "probes")
+    # parts of each list's vectors and queries: one row for each list
+    pieces = lambda df, cap, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cap).cast("long").alias(name))
+    parts = pieces(posting, LIST_CAP, "x_parts").join(pieces(probe, QUERY_CAP, "q_parts"), "list")
+    own = lambda key, of: F.pmod(F.col(key), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    cell = ["list", "x_part", "q_part"]
+    probe = probe.join(F.broadcast(parts), "list").select(
+        "*", own("k2", "q_parts").alias("q_part"), every("x_parts").alias("x_part")
+    ).select(*cell, "k1", "k2", "embedding")
+    posting = posting.join(F.broadcast(parts), "list").select(
+        "*", own("k2", "x_parts").alias("x_part"), every("q_parts").alias("q_part")
+    ).select(*cell, "k1", "k2", "embedding", "ids")
     found = (
-        probe.groupBy("list", "part")
-        .cogroup(posting.groupBy("list", "part"))
+        probe.groupBy(*cell)
+        .cogroup(posting.groupBy(*cell))
         .applyInArrow(_meet(dim, k), "k1 long, k2 long, vec_id long, score double")
         .distinct()
     )

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from askloom.llm.ann import nearest
+from askloom.llm.ann import list_count, nearest
 
 ASK = "vec_id % 50 = 0"
 
@@ -61,6 +61,34 @@ def test_hot_vectors_and_edge_cases(spark):
     assert [j for j, _ in got[0]] == [1, 2, 3, 4, 5] and [j for j, _ in got[50]] == [0, 1, 2, 3, 4]
 
 
+def test_vectors_meet_those_of_their_own_length(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.normal(size=2 + i % 3).tolist()) for i in range(600)]
+    got = run(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = {}
+    for d in (2, 3, 4):
+        want |= brute_force([(i, v) for i, v in rows if len(v) == d])
+    assert recall(got, want) >= 0.95
+
+
+def test_components_whose_squares_overflow(spark):
+    rows = [(0, [3e200, 4e200]), (1, [3e-200, 4e-200]), (2, [4e180, 3e180]), (3, [1.0, 0.0])]
+    got = run(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0]
+    assert [j for j, _ in got] == [1, 2, 3] and [s for _, s in got] == pytest.approx([1.0, 0.96, 0.6])
+
+
+def test_queries_of_a_list_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("askloom.llm.ann.QUERY_CAP", 3)
+    monkeypatch.setattr("askloom.llm.ann.LIST_CAP", 40)
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.normal(size=4).tolist()) for i in range(1500)]
+    assert recall(run(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), brute_force(rows)) >= 0.95
+
+
+def test_lists_grow_with_the_table():
+    assert [list_count(n) for n in (1, 1000, 2**20, 10**9, 10**11)] == [1, 4, 4096, 31623, 316228]
+
+
 def test_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert run(spark.createDataFrame([(0, [1.0, 0.0])], schema)) == {}
