@@ -13,14 +13,15 @@ counts as one) and their beginnings of 4, 6, 8 and 10 bytes, hashed to
 ``2**BITS`` weights.  Nothing but the text goes into a score.
 
 Fitting takes a bounded sample: up to ``TRAIN_DOCS`` labelled documents of up to
-``TRAIN_WORDS`` words, those whose ids hash lowest, and only ids whose crc32 (of
-the id as text) modulo 5 is not 0; the others are held out.  Scoring takes every
-document whole.
+``TRAIN_WORDS`` words each and ``TRAIN_TOTAL`` together, those whose ids hash
+lowest, and only ids whose crc32 (of the id as text) modulo 5 is not 0; the
+others are held out.  Scoring takes every document whole.
 
 *Edge cases.*  A text without words (null, empty) counts as one sentence without
 features, so its score follows from the bias.  A doc_id with several labels is
 toxic if one of them says so; null labels don't count.  Rows that repeat a
-doc_id are scored each.  A null doc_id is held out.  Without labels of both
+doc_id are scored each, and one of them, the text of least hash, may be learnt
+from.  A null doc_id is held out.  Without labels of both
 kinds the score is the share of toxic labels with one more of either kind.  Empty
 tables give empty results.  Other columns are ignored.
 """
@@ -32,16 +33,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import shuffle_partitions, text_batches
 from .words import U64, _power_tables, chunks, mix64
 
 BITS = 20
 PREFIXES = (4, 6, 8, 10)
 TRAIN_DOCS = 6000
 TRAIN_WORDS = 5000
+TRAIN_TOTAL = 4_000_000
 ROUNDS = 120
 MIN_DOCS = 3
 #: Documents' worth of pull that a feature has to exceed to get a weight.
@@ -135,6 +137,22 @@ class Model:
     bias: float
 
 
+def loss_gradient(
+    w: np.ndarray, feature: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray
+) -> np.ndarray:
+    """The gradient of the mean log-loss of the noisy-or; the last of ``w`` is the bias.
+
+    ``feature`` and ``sentence`` are the pairs of the features, in the order of
+    sentences; ``doc_of`` is each sentence's document, ascending and without gaps.
+    """
+    at = np.searchsorted(doc_of, np.arange(len(y)))
+    z = w[-1] + np.bincount(sentence, w[feature], minlength=len(doc_of))
+    clean = np.add.reduceat(softplus(z), at)  # -log of the chance that all are clean
+    pull = np.where(y, -np.exp(-clean) / np.maximum(-np.expm1(-clean), 1e-9), 1.0)
+    g = pull[doc_of] * sigmoid(z) / len(y)
+    return np.append(np.bincount(feature, g[sentence], minlength=len(w) - 1), g.sum())
+
+
 def fit(
     features: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS
 ) -> Model:
@@ -149,7 +167,6 @@ def fit(
     if y.all() or not y.any():
         return Model(weights, float(np.log(share / (1 - share))))
     n = np.array([len(s) for s in sizes])
-    at = np.cumsum(n) - n
     # a feature of fewer than MIN_DOCS documents can't be told from chance
     seen = np.zeros(1 << BITS, dtype=np.int32)
     for f in features:
@@ -161,17 +178,12 @@ def fit(
     used, feature = np.unique(feature, return_inverse=True)
     feature = feature.astype(np.int32)
     doc_of = np.repeat(np.arange(len(y)), n)
-    total = int(n.sum())
 
     w = np.zeros(len(used) + 1)  # the last is the bias
     w[-1] = np.log(share / (1 - share)) - np.log(n.mean())
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = w[-1] + np.bincount(sentence, w[feature], minlength=total)
-        clean = np.add.reduceat(softplus(z), at)  # -log of the chance that all are clean
-        pull = np.where(y, -np.exp(-clean) / np.maximum(-np.expm1(-clean), 1e-9), 1.0)
-        g = pull[doc_of] * sigmoid(z) / len(y)
-        grad = np.append(np.bincount(feature, g[sentence], minlength=len(used)), g.sum())
+        grad = loss_gradient(w, feature, sentence, doc_of, y)
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
         step = STEP / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -184,7 +196,7 @@ def fit(
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         for a, b in chunks(texts, CHUNK_BYTES):
             bags = Bags(texts[a:b])
             doc_at = np.searchsorted(bags.sentence, bags.first)
@@ -195,8 +207,8 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f.append(bags.feature[part].astype(np.int32).tobytes())
                 s.append(np.bincount(bags.sentence[part] - bags.first[i], minlength=n).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(f, pa.binary()), pa.array(s, pa.binary())],
-                ["toxic", "features", "sizes"],
+                [*[batch.column(c).slice(a, b - a) for c in (0, 1)], pa.array(f, pa.binary()), pa.array(s, pa.binary())],
+                ["doc_id", "toxic", "features", "sizes"],
             )
 
 
@@ -215,15 +227,23 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, rounds
         .limit(max_docs)
     )
     text_batches(docs.sparkSession)
-    # the sample's ids are bounded by max_docs
-    words = F.length("text") - F.length(F.translate("text", " \n", ""))
+    # the sample's ids are bounded by max_docs; a repeated id gives one row, before anything is gathered
+    row = F.min(F.struct(F.xxhash64("text"), "text", "toxic")).alias("row")
+    once = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(row)
+    once = once.select("doc_id", "row.toxic", "row.text")
+    words = F.coalesce(F.length("text") - F.length(F.translate("text", " \n", "")), F.lit(0))
+    # no more than max_docs rows
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     texts = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(known), "doc_id")
-        .where(words <= TRAIN_WORDS)
-        .select("toxic", "text")
+        once.withColumn("words", words)
+        .where(F.col("words") <= TRAIN_WORDS)
+        .withColumn("so_far", F.sum("words").over(so_far))
+        .where(F.col("so_far") <= TRAIN_TOTAL)
+        .select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text")
+        .repartition(shuffle_partitions(docs.sparkSession), "doc_id")
     )
-    rows = texts.mapInArrow(_featurize, "toxic int, features binary, sizes binary").toArrow()
+    rows = texts.mapInArrow(_featurize, "doc_id string, toxic int, features binary, sizes binary").toArrow()
+    rows = rows.sort_by("doc_id")
     as_ints = lambda c: [np.frombuffer(x, dtype=np.int32) for x in rows.column(c).to_pylist()]
     features, sizes, toxic = as_ints("features"), as_ints("sizes"), rows.column("toxic").to_numpy()
     del rows
