@@ -100,8 +100,9 @@ pr AS (
          THEN m * (1 - m) / (v - m * (1 - m) / n0) - 1 ELSE 1000.0 END)) AS st FROM mo),
 r AS (SELECT host, (k + (SELECT m * st FROM pr)) / (n + (SELECT st FROM pr)) AS host_rate FROM h)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND host_rate < 0.6 AS kept, round(host_rate, 9) AS host_rate
-FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
+       NOT base_failed AND host_rate < 0.6 AND NOT (m > 0 AND m < 1 AND host_rate >= m + 3 * sqrt(m * (1 - m) / (st + 1))) AS kept,
+       round(host_rate, 9) AS host_rate
+FROM pr, f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
 
 # the checksum is folded over the bytes with a table made by its polynomial

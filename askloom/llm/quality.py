@@ -5,18 +5,21 @@ fewer than ``min_words`` words, or if more than ``max_repeat_percent`` of its
 words lie in 8-word windows that the text holds twice or more.  The failures
 are added up by host; a host's failure rate is shrunk towards that of all hosts
 with an empirical beta prior, whose two parameters are fitted to the hosts'
-rates by the method of moments; and a host whose shrunken rate reaches
-``host_limit`` takes all its documents with it.
+rates by the method of moments; and a host whose shrunken rate stands out takes
+all its documents with it: if it reaches ``host_limit``, or lies ``HOST_SDS`` of
+the prior's standard deviations above its mean.  Where hosts differ by no more
+than chance, the prior is narrow and the rates are shrunk to its mean, so that
+none is rejected.
 
 The prior: with rates k/n of hosts, their document-weighted mean m and
 variance v, and n0 the harmonic kind of size that sampling noise m(1-m)/n0
 goes with, the variance between hosts is v - m(1-m)/n0; strength = m(1-m) /
 that - 1, kept between ``MIN_STRENGTH`` and ``MAX_STRENGTH``.  The shrunken rate
-is (k + m * strength) / (n + strength).
+is (k + m * strength) / (n + strength), and the prior's variance m(1-m) / (strength + 1).
 
 Measuring needs no shuffle; documents are measured once, and only their narrow
-measures are grouped (with pre-aggregation) and joined (skewed hosts are split
-at run time).
+measures are grouped (with pre-aggregation) and joined with a table of verdicts,
+so that skewed hosts can be split at run time.
 
 *Edge cases.*  A null or empty text has no words and fails.  A null host is a
 host of its own.  Repeated rows count as often as they come.  If all rates are
@@ -34,6 +37,7 @@ from .common import materialize, words_of
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 HOST_LIMIT = 0.6
+HOST_SDS = 3.0
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
@@ -109,7 +113,7 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def host_verdicts(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(measured: DataFrame, host_limit: float = HOST_LIMIT, host_sds: float = HOST_SDS) -> DataFrame:
     """host, n_docs, n_failed, shrunken rate and whether the host is rejected."""
     hosts = measured.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), F.count_if("base_failed").alias("n_failed")
@@ -137,8 +141,11 @@ def host_verdicts(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFr
     shrunk = (F.col("n_failed") + F.col("prior.m") * F.col("prior.strength")) / (
         F.col("n_docs") + F.col("prior.strength")
     )
-    return with_prior.select("host", "n_docs", "n_failed", shrunk.alias("host_rate")).withColumn(
-        "host_rejected", F.col("host_rate") >= host_limit
+    sd = F.sqrt(F.col("prior.m") * (1 - F.col("prior.m")) / (F.col("prior.strength") + 1))
+    # without any failure there is nothing to stand out
+    outlier = (sd > 0) & (F.col("host_rate") >= F.col("prior.m") + host_sds * sd)
+    return with_prior.withColumn("host_rate", shrunk).select(
+        "host", "n_docs", "n_failed", "host_rate", ((F.col("host_rate") >= host_limit) | outlier).alias("host_rejected")
     )
 
 
@@ -148,6 +155,7 @@ def judge_documents(
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     host_limit: float = HOST_LIMIT,
+    host_sds: float = HOST_SDS,
 ) -> DataFrame:
     """The measures of every document, base_failed, the host's rate, and kept."""
     measured = measures(docs, host).withColumn(
@@ -156,7 +164,8 @@ def judge_documents(
         | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
     )
     measured = materialize(measured, "measures")
-    verdict = host_verdicts(measured, host_limit).select(F.col("host").alias("v_host"), "host_rate", "host_rejected")
+    verdict = host_verdicts(measured, host_limit, host_sds)
+    verdict = materialize(verdict, "verdicts").select(F.col("host").alias("v_host"), "host_rate", "host_rejected")
     return (
         measured.join(verdict, F.col("host").eqNullSafe(F.col("v_host")))
         .drop("v_host")

@@ -24,14 +24,28 @@ def measure(text):
     )
 
 
+def rejected(hosts):
+    n = sum(x for x, _ in hosts.values())
+    m = sum(k for _, k in hosts.values()) / n
+    rate, s = rates(hosts), strength(hosts)
+    sd = (m * (1 - m) / (s + 1)) ** 0.5
+    return {h for h, r in rate.items() if r >= 0.6 or (sd > 0 and r >= m + 3 * sd)}
+
+
 def rates(hosts):
+    n = sum(x for x, _ in hosts.values())
+    m = sum(k for _, k in hosts.values()) / n
+    s = strength(hosts)
+    return {h: (k + m * s) / (x + s) for h, (x, k) in hosts.items()}
+
+
+def strength(hosts):
     n = sum(x for x, _ in hosts.values())
     m = sum(k for _, k in hosts.values()) / n
     v = sum(x * (k / x) ** 2 for x, k in hosts.values()) / n - m * m
     between = v - m * (1 - m) / (n / len(hosts))
     s = m * (1 - m) / between - 1 if between > 0 else 1000
-    s = max(2.0, min(1000.0, s))
-    return {h: (k + m * s) / (x + s) for h, (x, k) in hosts.items()}
+    return max(2.0, min(1000.0, s))
 
 
 def check(df, **kw):
@@ -40,11 +54,11 @@ def check(df, **kw):
     for r in rows:
         n, k = hosts.get(r.source, (0, 0))
         hosts[r.source] = (n + 1, k + measure(r.text)[5])
-    rate = rates(hosts)
+    rate, bad = rates(hosts), rejected(hosts)
     want = Counter()
     for r in rows:
         f = measure(r.text)
-        want[(r.doc_id, *f, not f[5] and rate[r.source] < 0.6)] += 1
+        want[(r.doc_id, *f, not f[5] and r.source not in bad)] += 1
     out = judge_documents(df, **kw).collect()
     got = Counter(
         (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept)
@@ -87,3 +101,13 @@ def test_small_hosts_are_shrunk(spark, n):
     rows = [(f"h{i}", j % 10 == 0) for i in range(30) for j in range(100)] + [("tiny", True)] * n
     got = {r.host: r for r in host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
     assert 0.1 < got["tiny"].host_rate < 0.9
+
+
+def test_a_host_that_stands_out_is_rejected_and_chance_is_not(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(1000 * h + i, good if i % 20 else "bad", f"h{h}") for h in range(20) for i in range(100 + h)]
+    rows += [(90_000 + i, good if i % 2 else "bad", "worse") for i in range(100)]
+    out = check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.host for r in out if not r.kept and not r.base_failed} == {"worse"}
+    alike = check(spark.createDataFrame(rows[:2100], "doc_id long, text string, source string"))
+    assert all(r.kept != r.base_failed for r in alike)
