@@ -106,3 +106,19 @@ def test_edge_cases(spark):
 def test_repeated_rows_are_one_document(spark):
     df = spark.createDataFrame([(1, "a\nb\na"), (1, "a\nb\na"), (2, "b\nc")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in dedup_lines(df).collect()) == [(1, "a\nb"), (1, "a\nb"), (2, "c")]
+
+
+def test_a_line_that_leads_many_and_repeated_rows(spark):
+    base = [f"w{i}" for i in range(12)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base[: i % 12], f"x{i}", *base[i % 12 + 1 :]])) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df) == brute_force_fast(rows)
+    again = df.union(df.where("doc_id < 3")).union(df.where("doc_id < 3"))
+    assert run(again) == brute_force_fast(rows) and dedup_lines(again).count() == 406
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, 7, "a", "same\nsame", "k")], "doc_id int, n_lines int, N_removed string, text string, __did string")
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines_", "n_removed_"]
+    assert tuple(out.first()) == (1, 7, "a", "same", "k", 2, 1)

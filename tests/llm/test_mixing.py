@@ -116,3 +116,14 @@ def test_query_mixes_whole_documents(spark, sf_dir, monkeypatch):
     (mixed,) = written
     assert set(docs.columns) <= set(mixed.columns)
     assert Counter((r.doc_id, r.text) for r in mixed.collect()) == Counter((r.doc_id, texts[r.doc_id]) for r in rows)
+
+
+def test_clashing_names_and_order(spark):
+    rows = [(i, f"t{i}", f"s{i % 3}", -i, "own", i, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, MIX_COPIES int, mix_place string, doc int, r_source string")
+    out = mix_sources(df)
+    assert out.columns == [*df.columns, "mix_rate", "mix_copies_", "mix_copy", "mix_place_"]
+    got = out.collect()
+    assert got and all((r.doc_id, r.text, r.source, r.MIX_COPIES, r.mix_place, r.doc, r.r_source) == rows[r.doc_id] for r in got)
+    places = [r.mix_place_ for r in got]
+    assert places == sorted(places) and all(r.mix_copies_ >= 1 for r in got)
