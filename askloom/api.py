@@ -11,16 +11,22 @@ from .functions.text import clean_chunk, clean_text, split_sentences
 from .models import (
     EMBEDDERS,
     GENERATORS,
+    MODELS,
     RERANKERS,
+    TRACERS,
+    BatchGenerator,
     ExtractiveGenerator,
     HashingEmbedder,
+    JsonTracer,
     ModelError,
     OverlapReranker,
     Remote,
     RemoteEmbedder,
     RemoteGenerator,
     RemoteReranker,
+    Tracer,
     create,
+    model_name,
     observed,
 )
 from .operators.agent import run_agent
@@ -41,11 +47,11 @@ from .sources.tables import (
 )
 
 __all__ = [
-    "EMBEDDERS", "GENERATORS", "RERANKERS", "ChunkConfig", "CleanerConfig", "DocumentLoadError",
-    "ExtractiveGenerator", "ExtractorConfig", "HashingEmbedder", "ModelError", "OverlapReranker",
-    "ParentChildConfig", "Remote", "RemoteEmbedder", "RemoteGenerator", "RemoteReranker", "RetrievalConfig",
+    "EMBEDDERS", "GENERATORS", "MODELS", "RERANKERS", "TRACERS", "BatchGenerator", "ChunkConfig", "CleanerConfig", "DocumentLoadError",
+    "ExtractiveGenerator", "ExtractorConfig", "HashingEmbedder", "JsonTracer", "ModelError", "OverlapReranker",
+    "ParentChildConfig", "Remote", "RemoteEmbedder", "RemoteGenerator", "RemoteReranker", "RetrievalConfig", "Tracer",
     "analyze_answers", "answer_in_batches", "bm25_topk", "build_chunks", "build_index", "build_lexical_index",
     "clean_chunk", "clean_text", "create", "dedup_first", "dense_topk", "evaluate_answers", "extract_answers",
-    "hybrid_search", "load_document", "load_documents", "load_index", "observed", "retrieve", "run_agent",
+    "hybrid_search", "load_document", "load_documents", "load_index", "model_name", "observed", "retrieve", "run_agent",
     "run_pipeline", "save_index", "split_sentences",
 ]

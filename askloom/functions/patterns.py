@@ -1,22 +1,23 @@
 """Fixed values that results depend on: patterns, word lists and limits.
 
 Patterns are in Java's regular-expression syntax; ``i`` and ``s`` below add
-flags.  ``U`` makes classes and case folding follow Unicode.
+flags.  ``U`` makes classes and case folding follow Unicode, ``d`` leaves ``\n``
+as the only line end that ``.``, ``^`` and ``$`` know.
 """
 
 from __future__ import annotations
 
 
 def u(pattern: str) -> str:
-    return "(?U)" + pattern
+    return "(?dU)" + pattern
 
 
 def iu(pattern: str) -> str:
-    return "(?iuU)" + pattern
+    return "(?diuU)" + pattern
 
 
 def ius(pattern: str) -> str:
-    return "(?siuU)" + pattern
+    return "(?dsiuU)" + pattern
 
 
 # --- fixed values: cleaning of documents and chunks ---

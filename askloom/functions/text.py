@@ -20,9 +20,13 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+#: All characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, P.u(r"^\s+|\s+$"), "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def rfind(c: Column, what: str) -> Column:
@@ -74,8 +78,10 @@ def _squeeze(c: Column) -> Column:
 def clean_unescaped(c: Column) -> Column:
     """``clean_text`` after the unescaping."""
     c = F.regexp_replace(c, P.HTML_TAG, " ")
-    c = F.regexp_replace(c, P.ius("|".join(f"(?:{p})" for p in P.SERVICE_PHRASES)), " ")
-    return strip(_squeeze(c))
+    phrases = P.ius("|".join(f"(?:{p})" for p in P.SERVICE_PHRASES))
+    # all phrases start with one of these, and most texts in other scripts hold none
+    some = c.rlike(r"[\u0400-\u04FF\[]|<!-")
+    return strip(_squeeze(F.when(some, F.regexp_replace(c, phrases, " ")).otherwise(c)))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -106,7 +112,7 @@ def remove_decorative(c: Column) -> Column:
 
 def trim_incomplete(c: Column) -> Column:
     """Without a last sentence that doesn't end, unless it is the only one."""
-    c = F.regexp_replace(c, P.u(r"\s+$"), "")
+    c = F.rtrim(c, F.lit(WHITE))
     cut = F.regexp_extract(c, r"(?s)^(.*[.!?»])", 1)
     return F.when(c.rlike(r'[.!?»")]$') | (cut == ""), c).otherwise(cut)
 

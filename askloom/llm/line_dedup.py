@@ -22,6 +22,9 @@ The method, with DataFrame functions only:
 4.  The pairs' edit distance is verified on their words, and lines with an
     earlier verified partner go.
 
+Joins with texts, halves and variants are merge joins at every size, so that
+small and large inputs take the same way.
+
 *Hot keys.*  Sides of joins on halves and variants are tables, so that a skewed
 key can be split at run time.  A line that leads many others is copied for the
 verification, once for some ``SALT_ROWS`` of them, and its pairs are dealt out
@@ -132,7 +135,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = materialize(first, "lines")
     gone = _near_lines(texts, first).groupBy(*doc).agg(F.collect_list("line").alias("gone"))
     kept = first.groupBy(*doc).agg(F.collect_list("line").alias("kept"))
-    joined = texts.join(kept, doc, "left").join(gone, doc, "left").select(
+    joined = texts.join(kept.hint("merge"), doc, "left").join(gone.hint("merge"), doc, "left").select(
         *doc, "text", F.split("text", "\n").alias("lines"), "kept", "gone"
     )
     none = F.array().cast("array<int>")
@@ -168,12 +171,12 @@ def _near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     # settled, as are other sides of joins below: an aggregate of the key can't be split at run time
     shared = materialize(shared.select("half"), "halves")
-    asked = half.join(shared, "half", "left_semi").select("__did", "__tkey", "line").distinct()
+    asked = half.join(shared.hint("merge"), "half", "left_semi").select("__did", "__tkey", "line").distinct()
     # ids in the order of lines, so that the least id is the earliest line
     asked = global_ranks(materialize(asked, "asked"), ["__did", "__tkey", "line"], "id")
     of_doc = asked.groupBy("__did", "__tkey").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
     # a document that comes twice gives its lines twice, which changes nothing below
-    found = texts.join(of_doc, ["__did", "__tkey"]).select(
+    found = texts.join(of_doc.hint("merge"), ["__did", "__tkey"]).select(
         F.split("text", "\n").alias("lines"), F.explode("asked").alias("a")
     )
     trimmed = F.btrim(F.get("lines", F.col("a.line")), F.lit(_SPACES))
@@ -195,7 +198,7 @@ def _near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:
     lead = materialize(lead.drop("last"), "leads")
     earliest = F.when(F.col("kind") == _SWAP, F.col("swap")).when(F.col("kind") == _CUT, F.col("whole")).otherwise(F.col("cut"))
     pairs = (
-        variant.join(lead, "key")
+        variant.join(lead.hint("merge"), "key")
         .select("id", earliest.alias("lead"), "times")
         .where("lead < id")
         .groupBy("id", "lead")

@@ -168,9 +168,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.groupBy("a", "b").agg(F.max("size").alias("size"))
     pairs = materialize(pairs.select("a", "b", salt_of("a", F.col("size")).alias("salt")), "pairs")
     common = F.size(F.array_intersect("sa", "sb"))
+    # merge joins at every size, so that small and large inputs take the same way
+    own = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")).hint("merge")
+    other = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")).hint("merge")
     return (
-        pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
-        .join(salted_copies(pairs, sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b", "salt"), ["b", "salt"])
+        pairs.join(own, "a")
+        .join(salted_copies(pairs, other, "b", "salt").hint("merge"), ["b", "salt"])
         .where(_fits(common, F.size("sa"), F.size("sb"), percent))
         .select("a", "b")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import (
@@ -13,52 +13,80 @@ from ..functions.answers import (
     validate_answer,
 )
 from .extract import extract_answers
+from .ids import settle
+
+
+def _with_extracts(rows: DataFrame, needed: Column) -> DataFrame:
+    """``rows``, a table, with ``extract`` where it is needed: only those contexts are searched."""
+    asked = rows.where(needed).select(
+        F.col("q_id").alias("key"), "query", F.coalesce("context", F.lit("")).alias("context")
+    )
+    found = extract_answers(asked).select(F.col("key").alias("q_id"), F.col("answer").alias("extract"))
+    return rows.join(found, "q_id", "left")
+
+
+def _fine(answer: Column) -> Column:
+    return F.coalesce((answer != "") & ~is_garbage(answer), F.lit(False))
 
 
 def finalize_answers(generated: DataFrame) -> DataFrame:
-    """(q_id, query, context, answer, reference) with ``answer`` final and ``source`` telling where it is from.
+    """(q_id, query, context, answer, reference) with ``answer`` final, ``source`` and ``failed``.
 
     A clean answer stays; garbage gives way to the reference, and without one to
-    an extract of the context.
+    an extract of the context.  A null answer is a generation that failed: an
+    extract stands in for it and goes the same way, and if nothing is left, the
+    context's first piece or else the query does.
     """
-    cleaned = generated.withColumn("answer", postprocess_answer(F.col("answer")))
-    extracts = extract_answers(
-        generated.select(F.col("q_id").alias("key"), "query", F.coalesce("context", F.lit("")).alias("context"))
-    ).select(F.col("key").alias("q_id"), F.col("answer").alias("__extract"))
-    fine = (F.col("answer") != "") & ~is_garbage(F.col("answer"))
-    hint = clean_reference(F.col("reference"))
-    source = F.when(fine, "generated").when(hint != "", "reference").otherwise("extract")
-    final = F.when(fine, F.col("answer")).when(hint != "", hint).otherwise(F.col("__extract"))
-    return (
-        cleaned.join(extracts, "q_id", "left")
-        .withColumns({"source": source, "answer": F.coalesce(final, F.lit(""))})
-        .drop("__extract")
+    kept = [c for c in generated.columns if c not in ("source", "failed")]
+    # cleaned texts are settled before they are judged: the rules look at them so often that
+    # the two as one expression would grow beyond what can be planned
+    said = postprocess_answer(F.col("answer"))
+    judged = settle(generated.withColumns({"failed": F.col("answer").isNull(), "said": said}), "said")
+    judged = judged.withColumns({"fine": _fine(F.col("said")), "hint": clean_reference(F.col("reference"))})
+    judged = settle(judged, "judged")
+    rows = _with_extracts(judged, ~F.col("fine") & (F.col("failed") | (F.col("hint") == "")))
+    rows = settle(rows.withColumn("stand_in", F.when(F.col("failed"), postprocess_answer(F.col("extract")))), "extracts")
+    rows = rows.withColumn("stand_in", F.when(_fine(F.col("stand_in")), F.col("stand_in")))
+    rescued = F.when(F.col("hint") != "", F.col("hint")).otherwise(F.coalesce("extract", F.lit("")))
+    answer = F.when(F.col("fine"), F.col("said")).otherwise(F.coalesce("stand_in", rescued))
+    source = (
+        F.when(F.col("fine"), "generated")
+        .when(F.col("stand_in").isNull() & (F.col("hint") != ""), "reference")
+        .otherwise("extract")
     )
+    last = F.col("failed") & (answer == "")
+    piece = first_piece(F.coalesce("context", F.lit("")), F.col("query"))
+    rows = rows.withColumns({"source": F.when(last, "last resort").otherwise(source), "answer": F.when(last, piece).otherwise(answer)})
+    return rows.select(*kept, "source", "failed")
 
 
-def validate_answers(final: DataFrame, min_overlap: int = 0) -> DataFrame:
-    """``final`` with ``status``: generated, invalid (an extract came in), or failed (the last resort did)."""
-    valid = validate_answer(F.col("query"), F.col("answer"), min_overlap)
-    extracts = extract_answers(
-        final.select(F.col("q_id").alias("key"), "query", F.coalesce("context", F.lit("")).alias("context"))
-    ).select(F.col("key").alias("q_id"), F.col("answer").alias("__extract"))
-    rescue = validate_answer(F.col("query"), F.col("__extract"))
-    last = first_piece(F.coalesce("context", F.lit("")), F.col("query"))
-    return (
-        final.join(extracts, "q_id", "left")
-        .withColumns(
-            {
-                "status": F.when(valid, "generated").when(rescue, "invalid").otherwise("failed"),
-                "answer": F.when(valid, F.col("answer")).when(rescue, F.col("__extract")).otherwise(last),
-            }
-        )
-        .drop("__extract")
-    )
+def validate_answers(final: DataFrame, min_overlap: int | None = 0) -> DataFrame:
+    """``final`` with ``invalid``, and invalid answers replaced where something valid is there.
+
+    What may replace an answer is the cleaned reference, or without one an
+    extract of the context, if it is valid itself; else the answer stays.  Empty
+    answers are not judged, and None for ``min_overlap`` judges nothing.
+    """
+    if min_overlap is None:
+        return final.withColumn("invalid", F.lit(False))
+    kept = final.columns
+    reference = F.col("reference") if "reference" in kept else F.lit(None).cast("string")
+    wrong = (F.col("answer") != "") & ~validate_answer(F.col("query"), F.col("answer"), min_overlap)
+    judged = final.withColumns({"invalid": F.coalesce(wrong, F.lit(False)), "hint": clean_reference(reference)})
+    judged = settle(judged, "validated")
+    rows = _with_extracts(judged, F.col("invalid") & (F.col("hint") == ""))
+    instead = F.when(F.col("hint") != "", F.col("hint")).otherwise(F.col("extract"))
+    better = F.col("invalid") & (instead != "") & validate_answer(F.col("query"), instead, min_overlap)
+    return rows.withColumn("answer", F.when(better, instead).otherwise(F.col("answer"))).select(*kept, "invalid")
 
 
 def run_counters(answers: DataFrame) -> DataFrame:
-    """One row: how many answers were cached, generated, invalid or failed."""
+    """One row: how many answers there are, were cached and were made, and of these, how many failed or were invalid."""
+    made = ~F.col("cached")
     return answers.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("cached", "generated", "failed", "invalid")],
+        F.count_if("cached").alias("cached"),
+        F.count_if(made).alias("generated"),
+        F.count_if(made & F.col("failed")).alias("failed"),
+        F.count_if(made & F.col("invalid")).alias("invalid"),
     )

@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset, a temporary folder."""
+    """``spark.checkpoint.dir``; a local session without one takes a temporary folder."""
     have = spark.conf.get("spark.checkpoint.dir", None)
-    if not have:
-        have = "file://" + tempfile.mkdtemp(prefix="askloom-")
-        spark.conf.set("spark.checkpoint.dir", have)
-    return have.rstrip("/")
+    if have:
+        return have.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="askloom-")
+    return _local[context.applicationId]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -28,24 +34,38 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give fewer partitions than there are cores, dealt out before costly work.
+
+    Large tables have more partitions and stay where they are, as do the results of a shuffle.
+    """
+    if "Exchange" in scan._jdf.queryExecution().executedPlan().toString():
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ids 0, 1, .. in the order of the columns given.
 
-    Range partitions number their own rows; a partition's first id is the count
-    of the rows before it, from one row for each partition.
+    The rows are settled first, as range partitioning reads them once more for
+    its sample.  Range partitions number their rows where they lie; a partition's
+    first id is the count of the rows before it, from one row for each partition,
+    and no row moves again.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt = settle(dealt.withColumn("__pid", F.spark_partition_id()), "dense-ids")
+    dealt = settle(df, "unnumbered").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the partition's number, and below 33 bits the row's
+    row = F.monotonically_increasing_id()
+    dealt = dealt.withColumns({"__pid": F.shiftright(row, 33), "__own": row.bitwiseAND(F.lit(2**33 - 1))})
+    dealt = settle(dealt, "dense-ids")
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     # a row for each partition
     first = dealt.groupBy("__pid").count().select(
         "__pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first")
     )
-    own = F.row_number().over(Window.partitionBy("__pid").orderBy(*order)) - 1
     return (
-        dealt.withColumn("__own", own)
-        .join(F.broadcast(first), "__pid")
+        dealt.join(F.broadcast(first), "__pid")
         .withColumn(name, F.col("__first") + F.col("__own"))
         .drop("__pid", "__own", "__first")
     )

@@ -22,19 +22,24 @@ class LexicalIndex:
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """doc, tok, tf, dl."""
+    """doc, tok, tf, dl; a document without tokens has one row, with tok null and tf 0."""
     words = docs.select(F.col(id_col).alias("doc"), tokenize(text_col).alias("toks")).select(
-        "doc", F.size("toks").alias("dl"), F.explode("toks").alias("tok")
+        "doc", F.size("toks").alias("dl"), F.explode_outer("toks").alias("tok")
     )
-    return words.groupBy("doc", "tok", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return words.groupBy("doc", "tok", "dl").agg(F.count("tok").alias("tf"))
 
 
 def build_lexical_index(docs: DataFrame, id_col: str, text_col: str = "text", settle=lambda df: df) -> LexicalIndex:
-    """``settle`` may write the postings as a table; each query of the index reads them."""
-    postings = settle(token_counts(docs, id_col, text_col))
-    stats = docs.select(F.size(tokenize(text_col)).alias("dl")).agg(
+    """Texts are tokenised once if ``settle`` writes the postings as a table, which all that follows reads."""
+    return index_postings(settle(token_counts(docs, id_col, text_col)))
+
+
+def index_postings(counts: DataFrame) -> LexicalIndex:
+    """The index over a table of ``token_counts``."""
+    stats = counts.groupBy("doc").agg(F.sum("tf").alias("dl")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")
     )
+    postings = counts.where("tok is not null")
     n = stats.select("n_docs").scalar()
     raw = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).select(
         "tok", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")

@@ -421,8 +421,8 @@ def zigzag_order(spark, sf):
 def hybrid_retrieve(spark, sf):
     docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("web_id"), "text")
     embed = HashingEmbedder()
-    made = settle(index.build_index(chunking.build_chunks(docs), embed), "index")
-    return retrieval.retrieve(_questions(spark, sf), made, embed, OverlapReranker())
+    made, lexical = retrieval.opened_index(spark, docs, embed, None, False, True)
+    return retrieval.retrieve(_questions(spark, sf), made, embed, OverlapReranker(), lexical=lexical)
 
 
 @query(f"WITH {_RRF} SELECT q_id, id, rrf FROM rrf WHERE rank < 50")
@@ -518,7 +518,8 @@ def rescue_answer(spark, sf):
 
 @query()
 def run_counters(spark, sf):
-    return answering.run_counters(answering.validate_answers(answering.finalize_answers(_generated(spark, sf)), 1))
+    made = answering.validate_answers(answering.finalize_answers(_generated(spark, sf)), 1)
+    return answering.run_counters(made.withColumn("cached", F.lit(False)))
 
 
 _MEANING = lambda x: f"list_distinct(list_transform(list_filter({_words(f'lower({x})')}, lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(w) for w in P.STOP_WORDS)})), lambda w: trim(w, '.,!?;:\"''()[]')))"

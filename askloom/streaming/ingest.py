@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import chunk_hash
@@ -17,7 +18,9 @@ def ingest_pages(spark: SparkSession, source: str, schema: str, target: str, che
     rows = spark.readStream.schema(schema).parquet(source).withColumn("page_hash", chunk_hash("text"))
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["page_hash"])
+        # of equal pages the least row, so that a batch that runs again keeps the same one
+        least = F.min(F.struct(*batch.columns)).alias("row")
+        fresh = batch.groupBy("page_hash").agg(least).select("row.*")
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             fresh = fresh.join(spark.read.parquet(target).select("page_hash"), "page_hash", "left_anti")

@@ -1,5 +1,7 @@
 """Sources, models, whole jobs, streaming and the driver's contract."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,14 +36,14 @@ def test_pipeline_with_cache_and_resume(spark, websites, questions, tmp_path):
     cache, made = f"file://{tmp_path}/cache", f"file://{tmp_path}/index"
     run = lambda **kw: retrieval.run_pipeline(spark, websites, questions, cache_path=cache, index_path=made, **kw)
     answers, counters = run()
-    first = {r.q_id: (r.answer, r.status) for r in answers.collect()}
+    first = {r.q_id: (r.answer, r.cached) for r in answers.collect()}
     assert set(first) == {"q1", "q2", "q3"} and all(a for a, _ in first.values())
     assert "паспорт" in first["q1"][0] or "Вклад" in first["q1"][0]
     assert counters.first().total == 3
     answers, counters = run(done=spark.createDataFrame([("q1",)], "q_id string"))
-    again = {r.q_id: (r.answer, r.status) for r in answers.collect()}
+    again = {r.q_id: (r.answer, r.cached) for r in answers.collect()}
     assert set(again) == {"q2", "q3"}
-    assert all(again[q][0] == first[q][0] for q in again) and {s for _, s in again.values()} == {"cached"}
+    assert all(again[q][0] == first[q][0] for q in again) and {s for _, s in again.values()} == {True}
     facts = tables.index_facts(tables.load_index(spark, made))
     assert facts["ready"] and facts["dimension"] == 64
 
@@ -144,6 +146,78 @@ def test_remote_models(spark):
         models.with_retries(lambda: 1 / 0, attempts=2, first_wait=0)
 
 
+def test_service_shapes():
+    seen = []
+
+    def post(url, headers, body):
+        seen.append((url.split("/")[2], headers, body))
+        if "voyage" in url:
+            return {"data": [{"embedding": [1.0]} for _ in body["input"]]}
+        if url.endswith("embed"):
+            return {"embeddings": {"float": [[2.0] for _ in body["texts"]]}}
+        if url.endswith("rerank"):
+            return {"results": [{"index": 1, "relevance_score": 0.9}]}
+        if "anthropic" in url:
+            return {"content": [{"text": " да "}]}
+        return {"choices": [{"message": {"content": "нет"}}]}
+
+    make = lambda kinds, name, **kw: models.create(kinds, name, key="k", transport=post, **kw)
+    voyage, cohere = make(models.EMBEDDERS, "voyage"), make(models.EMBEDDERS, "cohere")
+    assert voyage.opened()(["a", "b"]) == [[1.0], [1.0]] and cohere.for_queries().opened()(["a"]) == [[2.0]]
+    assert [b["input_type"] for _, _, b in seen] == ["document", "search_query"] and seen[1][2]["embedding_types"] == ["float"]
+    assert make(models.RERANKERS, "cohere", top_n=1).opened()(["q", "q"], ["a", "b"]) == [0.0, 0.9] and seen[-1][2]["top_n"] == 1
+    assert make(models.GENERATORS, "anthropic").opened()(["п"]) == ["да"]
+    _, headers, body = seen[-1]
+    assert headers == {"x-api-key": "k", "anthropic-version": "2023-06-01"} and body["system"] and len(body["messages"]) == 1
+    assert make(models.GENERATORS, "openrouter").opened()(["п"]) == ["нет"]
+    assert seen[-1][1] == {"Authorization": "Bearer k"} and seen[-1][2]["messages"][0]["role"] == "system"
+    assert models.local_generator("http://here", "m", transport=post).opened()(["п"]) == ["нет"]
+    assert models.model_name("qwen2.5-3b") == "Qwen/Qwen2.5-3B-Instruct" and models.model_name("a/b") == "a/b"
+    for bad in (lambda: models.model_name("none"), lambda: models.anthropic_generator("").opened()):
+        with pytest.raises(models.ModelError):
+            bad()
+
+
+def test_a_failed_batch_is_taken_apart():
+    def engine(prompts):
+        if len(prompts) > 1 or prompts == ["плохо"]:
+            raise RuntimeError("out of memory")
+        return [p.upper() for p in prompts]
+
+    assert models.BatchGenerator(lambda: engine).opened()(["а", "плохо", "б"]) == ["А", None, "Б"]
+    broken = models.Remote("http://x", "m", needs_key=False, transport=lambda *_: {}, attempts=1)
+    assert models.RemoteGenerator(broken).opened()(["а"]) == [None]
+
+
+def test_tracers():
+    lines = []
+    tracer = models.create(models.TRACERS, "json", write=lines.append)
+    with pytest.raises(KeyError):
+        with tracer.trace("answering", questions=3) as trace:
+            tracer.event(trace, "retrieved", hits=7)
+            raise KeyError("x")
+    events = [json.loads(x) for x in lines]
+    assert [e["event"] for e in events] == ["start", "retrieved", "end", "error"] and len({e["trace"] for e in events}) == 1
+    assert events[2]["status"] == "error" and events[1]["hits"] == 7
+    with models.create(models.TRACERS, "none").trace("quiet"):
+        pass
+
+
+def test_committed_batches_and_postings_of_the_job(spark, websites, questions, tmp_path):
+    kw = {"index_path": f"file://{tmp_path}/index", "batches_path": f"file://{tmp_path}/batches", "batch_rows": 2}
+    first, counters = retrieval.run_pipeline(spark, websites, questions, min_overlap=1, **kw)
+    rows = sorted(map(tuple, first.select("q_id", "answer", "invalid").collect()))
+    assert [r[0] for r in rows] == ["q1", "q2", "q3"] and counters.first().generated == 3
+    assert (tmp_path / "batches" / "batch=1" / "_SUCCESS").exists() and (tmp_path / "index-postings").exists()
+
+    class Never(models.Generator):
+        def opened(self):
+            raise RuntimeError("all batches were committed")
+
+    again, _ = retrieval.run_pipeline(spark, websites, questions, generate=Never(), **kw)
+    assert sorted(map(tuple, again.select("q_id", "answer", "invalid").collect())) == rows
+
+
 def test_hybrid_search_and_evaluation(spark, websites, questions, tmp_path):
     embed = models.HashingEmbedder()
     made = settle(index.build_index(chunking.build_chunks(websites, False), embed), "index")
@@ -195,7 +269,8 @@ def test_streaming_ingest(spark, tmp_path):
 def test_command_line(spark, tmp_path, websites, questions):
     websites.write.parquet(f"file://{tmp_path}/w.parquet")
     questions.write.parquet(f"file://{tmp_path}/q.parquet")
-    cli.main([f"file://{tmp_path}/w.parquet", f"file://{tmp_path}/q.parquet", f"file://{tmp_path}/out", "--limit", "2", "--fast-quality", "--legacy-chunking"])
+    cli.main([f"file://{tmp_path}/w.parquet", f"file://{tmp_path}/q.parquet", f"file://{tmp_path}/out", "--limit", "2", "--fast-quality", "--legacy-chunking",
+              "--batch-size", "4", "--batches-path", f"file://{tmp_path}/b", "--batch-rows", "1", "--done", f"file://{tmp_path}/none.csv"])
     assert spark.read.option("header", True).option("multiLine", True).csv(f"file://{tmp_path}/out").count() == 2
 
 

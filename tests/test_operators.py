@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,6 +133,27 @@ def test_dense_blocks(spark, monkeypatch):
     assert dense.dense_topk(queries.limit(0), vectors, 4).collect() == []
 
 
+def test_dense_ragged_vectors_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(dense, "CELLS", 8)
+    rows = [(i, [1.0, 2.0]) for i in range(40)] + [(50, [9.0]), (51, [9.0, None]), (52, [9.0, float("nan")]), (53, None), (54, []), (None, [9.0, 9.0]), (55, [1.0, 1.0, 1.0])]
+    vectors = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0]), (3, [1.0, None]), (4, None), (5, [0.0, 0.0, 2.0])], "q_id long, embedding array<double>")
+    for block in (100, 2):
+        monkeypatch.setattr(dense, "BLOCK", block)
+        got = sorted((r.q_id, r.rank, r.vec_id, r.score) for r in dense.dense_topk(asked, vectors, 3).collect())
+        assert got == [(1, 0, 0, 3.0), (1, 1, 1, 3.0), (1, 2, 2, 3.0), (2, 0, 50, 9.0), (5, 0, 55, 2.0)]
+
+
+def test_dense_with_many_queries(spark):
+    rnd = np.random.default_rng(1)
+    v, q = rnd.normal(size=(500, 8)), rnd.normal(size=(20_000, 8))
+    table = lambda name, x: spark.createDataFrame(pd.DataFrame({name: range(len(x)), "embedding": x.tolist()}), f"{name} long, embedding array<double>")
+    rows = dense.dense_topk(table("q_id", q), table("vec_id", v), 3).toPandas().sort_values(["q_id", "rank"])
+    score = np.round(q @ v.T, 6)
+    want = np.argsort(-score, axis=1, kind="stable")[:, :3]
+    assert (rows["vec_id"].to_numpy().reshape(-1, 3) == want).all()
+
+
 def test_rrf_and_parents(spark):
     schema = "q_id long, id long, rank int"
     d = spark.createDataFrame([(1, 10, 0), (1, 11, 1)], schema)
@@ -176,12 +199,45 @@ def test_finalize_and_validate(spark):
         "a": ("generated", "Номер виден в личном кабинете банка."),
         "b": ("reference", "Номер есть в договоре."),
         "c": ("extract", "Номер можно увидеть в договоре банка."),
-        "d": ("extract", ""),
+        "d": ("last resort", "Как узнать номер?"),
     }
-    checked = answering.validate_answers(final)
-    status = {r.q_id: (r.status, r.answer) for r in checked.collect()}
-    assert status["d"] == ("failed", "Как узнать номер?") and status["a"][0] == "generated"
-    assert answering.run_counters(checked).first().asDict() == {"total": 4, "cached": 0, "generated": 3, "failed": 1, "invalid": 0}
+    checked = answering.validate_answers(final).withColumn("cached", F.lit(False))
+    assert {r.q_id: r.answer for r in checked.collect()} == {k: a for k, (_, a) in got.items()}
+    assert answering.run_counters(checked).first().asDict() == {"total": 4, "cached": 0, "generated": 4, "failed": 1, "invalid": 0}
+
+
+def test_what_replaces_an_invalid_answer(spark):
+    query, context = "Как узнать номер вклада?", "Номер вклада можно узнать в договоре банка. Погода хорошая."
+    said = "Обратитесь в отделение банка завтра."
+    rows = [
+        ("reference", query, context, said, "Номер вклада указан в договоре."),  # the reference comes first and is valid
+        ("extract", query, context, said, None),  # no reference: a valid extract
+        ("stays", query, context, said, "Спросите в чате."),  # the reference isn't valid, and nothing else is tried
+        ("too few", "Как узнать номер?", "Номер можно узнать в договоре.", said, None),  # nothing can hold three words of two
+        ("fine", query, context, "Узнать номер вклада можно в чате.", "Номер вклада указан в договоре."),
+        ("empty", query, "", "", None),
+    ]
+    df = spark.createDataFrame(rows, "q_id string, query string, context string, answer string, reference string")
+    judge = lambda n: {r.q_id: (r.answer, r.invalid) for r in answering.validate_answers(df, n).collect()}
+    assert judge(2) == {
+        "reference": ("Номер вклада указан в договоре.", True),
+        "extract": ("Номер вклада можно узнать в договоре банка.", True),
+        "stays": (said, True),
+        "too few": (said, True),
+        "fine": ("Узнать номер вклада можно в чате.", False),
+        "empty": ("", False),
+    }
+    assert judge(3)["too few"] == (said, True)
+    assert {x for x in judge(None).values()} == {(r[3], False) for r in rows}
+
+
+def test_a_failed_generation_goes_by_its_extract(spark):
+    context = "Номер вклада можно узнать в договоре банка."
+    rows = [("a", "Как узнать номер?", context, None, "Номер есть в чате."), ("b", "Как?", "Контейнер container! Ещё", None, None), ("c", "Как узнать номер?", "", None, "Номер есть в чате.")]
+    df = spark.createDataFrame(rows, "q_id string, query string, context string, answer string, reference string")
+    got = {r.q_id: (r.source, r.failed, r.answer) for r in answering.finalize_answers(df).collect()}
+    assert got["a"] == ("extract", True, context) and got["c"] == ("reference", True, "Номер есть в чате.")
+    assert got["b"][1] and got["b"][2]
 
 
 def test_evaluation(spark):
