@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import answer_sql as S
 from .config import SINGLE_LEVEL, RetrievalConfig
 from .functions import answers as A
 from .functions import patterns as P
@@ -58,6 +59,10 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
 
 
+def _ru(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(S.ROWS, "id int, query string, text string")
+
+
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("query"))
 
@@ -310,17 +315,30 @@ def chunk_single(spark, sf):
     return docs.select("web_id", F.explode("c").alias("text"))
 
 
-@query()
+# DuckDB can't unescape HTML; the documents hold no entities
+_CLEANED = f"d0 AS (SELECT doc_id AS key, {S.clean_text('text')} AS t FROM documents)"
+
+
+@query(f"""WITH RECURSIVE {_CLEANED}, src AS (SELECT key, {S.long_sentences('t')} AS ss FROM d0), {S.folded('src', 500, 120, 40, 'fold')}
+SELECT row_number() OVER (ORDER BY key, pos) - 1 AS chunk_id, key AS web_id, CAST(pos AS INTEGER) AS pos, text FROM fold""")
 def chunk_cleaned(spark, sf):
     return chunking.with_chunk_ids(chunking.chunk_documents(_table(spark, sf, "documents").withColumnRenamed("doc_id", "web_id")))
 
 
-@query()
+# parents are cleaned once more, as are their children's texts
+@query(f"""WITH RECURSIVE {_CLEANED}, d1 AS (SELECT key, {S.clean_text('t')} AS t FROM d0), src AS (SELECT key, {S.long_sentences('t')} AS ss FROM d1),
+{S.folded('src', 1100, 220, 160, 'par')},
+own AS (SELECT key * 1000000 + pos AS key, {S.long_sentences(S.clean_text('text'))} AS ss FROM par), {S.folded('own', 500, 120, 40, 'child')},
+both_ AS (SELECT par.key AS web_id, par.pos AS parent_pos, child.pos, child.text, par.text AS parent_text, strpos(par.text, child.text) - 1 AS place
+  FROM child JOIN par ON child.key = par.key * 1000000 + par.pos)
+SELECT row_number() OVER (ORDER BY web_id, parent_pos, pos) - 1 AS chunk_id, web_id, text, 'p:' || web_id || ':' || parent_pos AS parent_id, parent_text,
+  CAST(CASE WHEN place >= 0 THEN place END AS INTEGER) AS parent_start, CAST(CASE WHEN place >= 0 THEN place + length(text) END AS INTEGER) AS parent_end FROM both_""")
 def chunk_parent_child(spark, sf):
     return chunking.build_chunks(_table(spark, sf, "documents").withColumnRenamed("doc_id", "web_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id AS key, {_sentences('text')} AS ss FROM documents), {S.windows('src', 500, 120)}
+SELECT key AS web_id, CAST(pos AS INTEGER) AS pos, text FROM win""")
 def chunk_legacy(spark, sf):
     return chunking.window_documents(_table(spark, sf, "documents").withColumnRenamed("doc_id", "web_id"))
 
@@ -404,7 +422,11 @@ def rerank_topk(spark, sf):
     return _reranked(spark, sf).select("q_id", "parent_id", "score", "rank")
 
 
-@query()
+@query(f"""{_RERANK}, near AS (SELECT * FROM rer WHERE rank < 8), {S.clean_chunks('near', 'q_id, rank, score', 'part')},
+z AS (SELECT q_id, t, row_number() OVER (PARTITION BY q_id ORDER BY rank) - 1 AS i FROM part WHERE t <> ''),
+whole AS (SELECT q_id, string_agg(t, chr(10) || chr(10) ORDER BY CASE WHEN i % 2 = 0 THEN i ELSE 1000 - i END) AS context FROM z GROUP BY q_id)
+SELECT b.q_id, CASE WHEN b.best < 0.05 THEN '' ELSE coalesce(context, '') END AS context
+FROM (SELECT q_id, arg_min(score, rank) AS best FROM part GROUP BY q_id) b LEFT JOIN whole USING (q_id)""")
 def zigzag_context(spark, sf):
     return fusion.assemble_context(_reranked(spark, sf))
 
@@ -479,7 +501,7 @@ def sentence_scores(spark, sf):
     return extract.sentence_scores(_asked(spark, sf)).select(F.col("key").alias("q_id"), "pos", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {_QA}, {S.extracted('qa')} SELECT q_id, answer FROM ext")
 def extract_answer(spark, sf):
     return extract.extract_answers(_asked(spark, sf)).withColumnRenamed("key", "q_id")
 
@@ -491,37 +513,170 @@ def junk_sentences(spark, sf):
     return s.select("doc_id", "pos", T.is_junk_sentence(F.col("s")).alias("junk"))
 
 
-@query()
+@query(f"WITH {_QA} SELECT q_id, {S.garbage('answer')} AS garbage FROM qa")
 def garbage_flags(spark, sf):
     return _qa(spark, sf).select("q_id", A.is_garbage(F.col("answer")).alias("garbage"))
 
 
-@query()
+@query(f"WITH {_QA}, {S.posted('qa', 'q_id', 'post')} SELECT q_id, answer FROM post")
 def clean_answers(spark, sf):
     return _qa(spark, sf).select("q_id", A.postprocess_answer(F.col("answer")).alias("answer"))
 
 
-@query()
+@query(f"WITH {_QA} SELECT q_id, {S.clean_reference('answer')} AS reference FROM qa")
 def clean_reference(spark, sf):
     return _qa(spark, sf).select("q_id", A.clean_reference(F.col("answer")).alias("reference"))
 
 
+# (q_id, query, context, answer, reference) -> final answers; a null answer is a generation that failed
+_FINAL = f"""{S.posted('made', 'q_id', 'post')}, asked AS (SELECT q_id, query, context AS answer FROM made), {S.extracted('asked')}, {S.posted('ext', 'q_id', 'stand')},
+f0 AS (SELECT made.q_id, made.query, made.context, made.reference, made.answer IS NULL AS failed, post.answer AS said, ext.answer AS extract,
+    CASE WHEN made.answer IS NULL THEN stand.answer END AS stand, {S.clean_reference('made.reference')} AS hint
+  FROM made JOIN post USING (q_id) JOIN ext USING (q_id) JOIN stand USING (q_id)),
+f1 AS (SELECT *, said <> '' AND NOT {S.garbage('said')} AS fine, coalesce(stand <> '' AND NOT {S.garbage("coalesce(stand, '')")}, false) AS stands FROM f0),
+f2 AS (SELECT *, CASE WHEN fine THEN said WHEN stands THEN stand WHEN hint <> '' THEN hint ELSE extract END AS answer,
+    CASE WHEN fine THEN 'generated' WHEN NOT stands AND hint <> '' THEN 'reference' ELSE 'extract' END AS source FROM f1),
+final AS (SELECT q_id, query, context, reference, hint, extract, failed, CASE WHEN failed AND answer = '' THEN 'last resort' ELSE source END AS source,
+    CASE WHEN failed AND answer = '' THEN coalesce(list_filter(list_transform(regexp_split_to_array(context, '[.!?»]+'), lambda x: {_strip('x')}), lambda x: x <> '')[1], query)
+    ELSE answer END AS answer FROM f2)"""
+
+
+def _checked_sql(least: int) -> str:
+    return f"""{_FINAL},
+v0 AS (SELECT *, answer <> '' AND NOT {S.valid('query', 'answer', least)} AS invalid, CASE WHEN hint <> '' THEN hint ELSE extract END AS instead FROM final),
+checked AS (SELECT q_id, failed, invalid, CASE WHEN invalid AND instead <> '' AND {S.valid('query', 'instead', least)} THEN instead ELSE answer END AS answer FROM v0)"""
+
+
+_COUNTED = """SELECT count(*) AS total, CAST(0 AS BIGINT) AS cached, count(*) AS generated, count_if(failed)::BIGINT AS failed,
+count_if(invalid)::BIGINT AS invalid FROM checked"""
+_MADE = "made AS (SELECT q_id, query, answer AS context, answer, CAST(NULL AS VARCHAR) AS reference FROM qa)"
+
+
 def _generated(spark, sf):
     qa = _qa(spark, sf)
     return qa.select("q_id", "query", F.col("answer").alias("context"), "answer", F.lit(None).cast("string").alias("reference"))
 
 
-@query()
+@query(f"WITH {_QA}, {_MADE}, {_FINAL} SELECT q_id, answer, source FROM final")
 def rescue_answer(spark, sf):
     return answering.finalize_answers(_generated(spark, sf)).select("q_id", "answer", "source")
 
 
-@query()
+@query(f"WITH {_QA}, {_MADE}, {_checked_sql(1)} {_COUNTED}")
 def run_counters(spark, sf):
     made = answering.validate_answers(answering.finalize_answers(_generated(spark, sf)), 1)
     return answering.run_counters(made.withColumn("cached", F.lit(False)))
 
 
+# --- the language's rules, on rows of its own ---
+
+_RU_CONTEXT = "Номер счёта виден в договоре банка. Его можно узнать в отделении."
+_RU_REFERENCE = "Согласно фрагменту 1, номер счёта есть в договоре банка."
+_RU_MADE = f"""{S.RU}, made AS (SELECT id AS q_id, query, CASE WHEN id % 2 = 0 THEN '{_RU_CONTEXT}' ELSE '' END AS context,
+text AS answer, CASE WHEN id % 3 = 0 THEN '{_RU_REFERENCE}' END AS reference FROM ru)"""
+
+
+def _ru_made(spark):
+    at = F.col("id")
+    context, reference = F.when(at % 2 == 0, _RU_CONTEXT).otherwise(""), F.when(at % 3 == 0, _RU_REFERENCE)
+    return _ru(spark).select(at.alias("q_id"), "query", context.alias("context"), F.col("text").alias("answer"), reference.alias("reference"))
+
+
+@query(f"WITH {S.RU} SELECT id, {S.clean_text('text')} AS text FROM ru")
+def service_phrases(spark, sf):
+    return _ru(spark).select("id", T.clean_text("text").alias("text"))
+
+
+@query(f"WITH {S.RU}, src AS (SELECT id, text AS answer FROM ru), {S.cleaned('src', 'id')}, {S.posted('src', 'id', 'post')} SELECT id, cleaned.answer AS cleaned, post.answer AS posted FROM cleaned JOIN post USING (id)")
+def answer_cleaning(spark, sf):
+    return _ru(spark).select("id", A.clean_answer(F.col("text")).alias("cleaned"), A.postprocess_answer(F.col("text")).alias("posted"))
+
+
+@query(f"""WITH {S.RU} SELECT id, {S.preamble("coalesce(text, '')")} AS bare, {S.markers("coalesce(text, '')")} AS unmarked FROM ru""")
+def preamble_and_markers(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    return _ru(spark).select("id", A.strip_preamble(text).alias("bare"), A.strip_context_markers(text).alias("unmarked"))
+
+
+@query(f"WITH {S.RU} SELECT id, {S.clean_reference('text')} AS reference FROM ru")
+def reference_cleaning(spark, sf):
+    return _ru(spark).select("id", A.clean_reference(F.col("text")).alias("reference"))
+
+
+@query(f"""WITH {S.RU}, t AS (SELECT id, coalesce(text, '') AS t FROM ru)
+SELECT id, {S.garbage('t')} AS garbage, {S.mixed_script('t')} AS mixed, {S.question_only('t')} AS question_only FROM t""")
+def garbage_rules(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    return _ru(spark).select(
+        "id", A.is_garbage(text).alias("garbage"), A.has_mixed_script(text).alias("mixed"), A.is_question_only(text).alias("question_only")
+    )
+
+
+@query(f"""WITH {S.RU}, t AS (SELECT id, {_words("coalesce(text, '')")} AS w FROM ru)
+SELECT id, CAST(coalesce(list_max(map_values(list_histogram(w))), 0) AS INTEGER) AS most FROM t""")
+def repeated_words(spark, sf):
+    return _ru(spark).select("id", A.most_repeated(T.split_words(F.col("text"))).alias("most"))
+
+
+@query(f"""WITH {S.RU}, asked AS (SELECT id AS q_id, query, text AS answer FROM ru), {S.scored('asked')}
+SELECT q_id, pos, sentence, round(score, 6) AS score FROM sc""")
+def sentence_rules(spark, sf):
+    scores = extract.sentence_scores(_ru(spark).select(F.col("id").alias("key"), "query", F.col("text").alias("context")))
+    return scores.select(F.col("key").alias("q_id"), "pos", "sentence", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {S.RU}, asked AS (SELECT id AS q_id, query, text AS answer FROM ru), {S.extracted('asked')} SELECT q_id, answer FROM ext")
+def extract_rules(spark, sf):
+    asked = _ru(spark).select(F.col("id").alias("key"), "query", F.col("text").alias("context"))
+    return extract.extract_answers(asked).withColumnRenamed("key", "q_id")
+
+
+@query(f"""WITH {S.RU}, w AS (SELECT a.id, b.id AS other, unnest(list_distinct({_words("lower(a.query)")})) AS word, lower(b.text) AS text FROM ru a JOIN ru b ON b.text <> '' AND abs(a.id - b.id) < 5)
+SELECT id, other, word, {S.matches('word', 'text')} AS found FROM w""")
+def word_endings(spark, sf):
+    a, b = _ru(spark), _ru(spark).where("text <> ''").select(F.col("id").alias("other"), F.lower("text").alias("text"))
+    asked = a.select("id", F.explode(F.array_distinct(T.split_words(F.lower("query")))).alias("word"))
+    near = asked.select("*", F.explode(F.sequence(F.col("id") - 4, F.col("id") + 4)).alias("other")).join(b, "other")
+    return near.select("id", "other", "word", T.word_matches(F.col("word"), F.col("text")).alias("found"))
+
+
+@query(f"""WITH {S.RU}, t AS (SELECT id, coalesce(text, '') AS t FROM ru)
+SELECT id, regexp_matches({_strip('t')}, {S.LABEL}) AS label, {_strip('t')} = '' OR regexp_matches({_strip('t')}, {S.JUNK}) AS junk,
+{S.context_sentence('t')} AS sentence, regexp_matches(lower(t), '{"|".join(P.ACTIONABLE)}') AS actionable FROM t""")
+def sentence_flags(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    return _ru(spark).select(
+        "id", T.is_prompt_metadata(text).alias("label"), T.is_junk_sentence(text).alias("junk"),
+        T.clean_context_sentence(text).alias("sentence"), evaluate.has_actionable(text).alias("actionable"),
+    )
+
+
+@query(f"WITH {_RU_MADE}, {_FINAL} SELECT q_id, answer, source, failed FROM final")
+def rescue_rules(spark, sf):
+    return answering.finalize_answers(_ru_made(spark)).select("q_id", "answer", "source", "failed")
+
+
+@query(f"WITH {_RU_MADE}, {_checked_sql(2)} SELECT q_id, answer, invalid FROM checked")
+def validate_fallback(spark, sf):
+    return answering.validate_answers(answering.finalize_answers(_ru_made(spark)), 2).select("q_id", "answer", "invalid")
+
+
+@query(f"WITH {_RU_MADE}, {_checked_sql(2)} {_COUNTED}")
+def counter_rules(spark, sf):
+    made = answering.validate_answers(answering.finalize_answers(_ru_made(spark)), 2)
+    return answering.run_counters(made.withColumn("cached", F.lit(False)))
+
+
+@query(f"""WITH {_RU_MADE} SELECT q_id, CASE WHEN coalesce(reference, '') <> '' THEN {S.clean_reference('reference')} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || context ELSE context END AS context,
+CASE WHEN context <> '' THEN 'Контекст:' || chr(10) || context || chr(10) || chr(10) || 'Вопрос: ' || query ELSE query END AS label_prompt, query || chr(10) || chr(10) || context AS plain_prompt FROM made""")
+def prompts(spark, sf):
+    query, context = F.col("query"), F.col("context")
+    return _ru_made(spark).select(
+        "q_id", A.augment_context(context, F.col("reference")).alias("context"),
+        A.label_prompt(query, context).alias("label_prompt"), A.plain_prompt(query, context).alias("plain_prompt"),
+    )
+
+
 _MEANING = lambda x: f"list_distinct(list_transform(list_filter({_words(f'lower({x})')}, lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(w) for w in P.STOP_WORDS)})), lambda w: trim(w, '.,!?;:\"''()[]')))"
 
 
@@ -556,11 +711,58 @@ def resume_anti_join(spark, sf):
     return tables.not_done(qa, qa.where("q_id like '%-2'")).select("q_id")
 
 
-@query()
+@query(f"""WITH {_QA} SELECT q_id, CASE WHEN coalesce(query, '') <> '' THEN {S.clean_reference('query')} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || answer ELSE answer END AS context FROM qa""")
 def reference_augment(spark, sf):
     return _qa(spark, sf).select("q_id", A.augment_context(F.col("answer"), F.col("query")).alias("context"))
 
 
+@query("""WITH t AS (SELECT doc_id, text, text[1:3200] AS cut FROM documents),
+p AS (SELECT *, greatest(""" + ", ".join(f"CASE WHEN strpos(cut, '{m}') > 0 THEN length(cut) - strpos(reverse(cut), '{m}') ELSE -1 END" for m in ".!?»") + """) AS ends FROM t)
+SELECT doc_id, CASE WHEN length(text) <= 3200 THEN text WHEN ends > 2200 THEN cut[1:ends + 1] ELSE cut END AS context FROM p""")
+def cap_context(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", T.cap_context(F.col("text")).alias("context"))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '[' || doc_id || '] ' WHEN 1 THEN '[' ELSE '' END || text AS t FROM documents)
+SELECT doc_id, CASE WHEN starts_with(t, '[') AND strpos(t, '] ') > 1 THEN t[strpos(t, '] ') + 2:] ELSE t END AS text FROM t""")
+def bracket_prefix(spark, sf):
+    mark = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("["), "doc_id", F.lit("] "))).when(F.col("doc_id") % 3 == 1, "[").otherwise("")
+    return _table(spark, sf, "documents").select("doc_id", T.drop_bracket_prefix(F.concat(mark, "text")).alias("text"))
+
+
+def _with_parents(spark, sf):
+    """Documents as chunks; two of three have a parent, and some parents have no text."""
+    at = F.col("doc_id")
+    parent = F.when(at % 3 > 0, F.concat(F.lit("p"), F.floor(at / 4).cast("string")))
+    return _table(spark, sf, "documents").select(
+        at.alias("chunk_id"), "text", parent.alias("parent_id"), F.when(parent.isNotNull(), F.when(at % 5 == 0, "").otherwise(F.concat(parent, F.lit(" text")))).alias("parent_text")
+    )
+
+
+_WITH_PARENTS = """p0 AS (SELECT doc_id AS chunk_id, text, CASE WHEN doc_id % 3 > 0 THEN 'p' || doc_id // 4 END AS parent_id, doc_id FROM documents),
+p AS (SELECT *, CASE WHEN parent_id IS NOT NULL THEN CASE WHEN doc_id % 5 = 0 THEN '' ELSE parent_id || ' text' END END AS parent_text FROM p0)"""
+
+
+@query(f"""WITH {_WITH_PARENTS} SELECT chunk_id, coalesce(parent_id, chunk_id::VARCHAR) AS parent_id,
+CASE WHEN parent_text <> '' THEN parent_text ELSE text END AS parent_text FROM p""")
+def parent_lookup(spark, sf):
+    return index.parent_rows(_with_parents(spark, sf))
+
+
+@query(f"WITH {_WITH_PARENTS} SELECT parent_id, max(parent_text) AS parent_text FROM p WHERE parent_id IS NOT NULL GROUP BY parent_id")
+def parent_texts(spark, sf):
+    return index.parent_texts(_with_parents(spark, sf))
+
+
+@query(f"""WITH {_QA}, a AS (SELECT q_id, query, answer AS context, CASE WHEN q_id LIKE '%-0' THEN query END AS reference FROM qa)
+SELECT q_id, CASE WHEN coalesce(reference, '') <> '' THEN {S.clean_reference('reference')} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || context ELSE context END AS context FROM a""")
+def reference_lookup(spark, sf):
+    qa = _qa(spark, sf)
+    references = qa.where("q_id like '%-0'").select("q_id", F.col("query").alias("reference"))
+    found = qa.select("q_id", F.col("answer").alias("context")).join(references, "q_id", "left")
+    return found.select("q_id", A.augment_context(F.col("context"), F.col("reference")).alias("context"))
+
+
 # --- agent, ids ---
 
 

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from askloom import queries
 from askloom.functions import answers as A
 from askloom.functions import text as T
 
@@ -188,3 +189,14 @@ def test_prompts_and_keys(one):
 def test_unescape_matches_the_library(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("html", T.html_unescape("html").alias("x")).collect()
     assert all(r.x == html.unescape(r.html) for r in pages)
+
+
+@pytest.mark.parametrize("name", ["service_phrases", "answer_cleaning", "reference_cleaning", "garbage_rules", "word_endings", "sentence_rules"])
+def test_rules_agree_with_their_sql(spark, sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    found = queries.QUERIES[name](spark, sf_dir)
+    want = duckdb.sql(queries.ORACLE_SQL[name])
+    columns = sorted(found.columns)
+    assert sorted(want.columns) == columns
+    rows = want.select(*columns).fetchall()
+    assert sorted(map(str, (tuple(r) for r in found.select(columns).collect()))) == sorted(map(str, rows))
