@@ -67,7 +67,7 @@ def test_result_gives_the_packed_tokens_back(spark, sf_dir):
     rows = corpus_pipeline.packing(spark, docs, sf_dir).collect()
     ids = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
-        ids[r.doc_id] = ids.get(r.doc_id, []) + list(r.ids)
+        ids[r.doc_id] = ids.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 0] for r in docs.collect()}
     assert ids == want
