@@ -56,6 +56,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder in buckets of ``key``, so that grouping by it moves nothing.
+
+    There are as many buckets as shuffle partitions.  Like those of
+    ``materialize``, the files go when the driver's JVM ends; the catalogue's entry
+    only lives as long as the session.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/askloom-{name}-{mark}", f"askloom_{name}_{mark}"
+    writer = df.write.format("parquet").option("path", path)
+    writer.bucketBy(shuffle_partitions(spark), key).sortBy(key).saveAsTable(table)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    return spark.table(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     files, at = _file_system(df.sparkSession, df._askloom_path)

@@ -6,8 +6,8 @@ remainders are packed by their histogram alone:
 
 1.  All combinations of up to three lengths that fill a window exactly are
     enumerated.
-2.  Non-negative least squares finds how often to use each so that together they use up the histogram: min ||A x - h|| for x >= 0, by multiplicative
-    updates.
+2.  Non-negative least squares finds how often to use each so that together
+    they use up the histogram: min ||A x - h|| for x >= 0, by an active set.
 3.  The counts are rounded down and taken as far as lengths last.
 4.  What is left is packed greedily, the longest first, each gap filled with
     the longest length that fits.
@@ -21,20 +21,15 @@ Token ids lie beside their pieces, in two bytes each where they fit, until the
 pieces are placed by slim rows, and are shuffled once.  The result holds them as
 bytes, little-endian and four for each id: ``numpy.frombuffer(ids, "<u4")``.
 
-Tokens are only made once.  If the file is a plain byte-level BPE whose ids are
-in the order of its merges, tiktoken makes the same ids from the same vocabulary
-in a quarter of the time; texts that hold a special token's string, and other
-tokenizers, take the tokenizers library.
+Tokens are only made once, by ``encoders.Encoder``.
 
 *Edge cases.*  A null text is an empty one: a piece of just the end id.  Very
-long texts are cut like any other.  Rows that repeat are packed each.  An empty
+long texts are encoded in parts and cut like any other.  Rows that repeat are packed each.  An empty
 table gives an empty one.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import global_ranks, materialize, text_batches
+from .encoders import encoder
 
 WINDOW = 1024
 END_ID = 0
@@ -53,87 +49,17 @@ CLOSE = 0.01
 PATIENCE = 4
 
 
-def _byte_symbols() -> dict[str, int]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-
-
-#: How byte-level tokenizers cut a text into words before the merges.
-_BYTE_LEVEL_WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def _as_ranks(spec: dict) -> dict[bytes, int] | None:
-    """A byte-level BPE's vocabulary as bytes with ranks, if its ids are in the order of its merges."""
-    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-    plain = (
-        before.get("type") == "ByteLevel"
-        and before.get("use_regex", True)
-        and not before.get("add_prefix_space")
-        and spec.get("normalizer") is None
-        and model.get("type") == "BPE"
-        and not any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "ignore_merges"))
-        and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix"))
-    )
-    if not plain:
-        return None
-    symbols, special = _byte_symbols(), {x["content"] for x in spec.get("added_tokens", [])}
-    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
-    if any(c not in symbols for t in vocab for c in t):
-        return None
-    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-    made = [vocab.get("".join(m), -1) for m in pairs]
-    singles = [i for t, i in vocab.items() if len(t) == 1]
-    in_order = made == sorted(made) and len(singles) == 256 and made and max(singles) < made[0]
-    if not in_order or len(made) + 256 != len(vocab):
-        return None
-    return {bytes(symbols[c] for c in t): i for t, i in vocab.items()}
-
-
-class Encoder:
-    """Token ids of texts, by the tokenizer in a file of the tokenizers library."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        ranks = _as_ranks(spec)
-        self.fast = None
-        if ranks is not None:
-            import tiktoken
-
-            self.fast = tiktoken.Encoding(
-                "file", pat_str=_BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={}
-            )
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and not any(s in text for s in self.special):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=np.uint32)
-
-
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    """One encoder for a worker, however many tasks it runs."""
-    return Encoder(path)
-
-
 def _cut(path: str, window: int, end_id: int):
     end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        tokenizer = encoder(path)
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = np.concatenate((encoder.encode(text or ""), end)).astype("<u4", copy=False)
+                    ids = np.concatenate((tokenizer.encode(text or ""), end)).astype("<u4", copy=False)
                     small = ids.astype("<u2") if ids.max() < 1 << 16 else ids
                     for s in range(0, len(ids), window):
                         piece = ids[s : s + window]

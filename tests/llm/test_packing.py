@@ -6,7 +6,8 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from askloom.llm import queries
-from askloom.llm.packing import Encoder, _widened, fill_combinations, pack_documents, pack_histogram, solve_counts
+from askloom.llm.encoders import Encoder
+from askloom.llm.packing import _widened, fill_combinations, pack_documents, pack_histogram, solve_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
