@@ -106,11 +106,13 @@ FROM pr, f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
 
 # the checksum is folded over the bytes with a table made by its polynomial
-OP6 = """
-WITH RECURSIVE tab AS (
+_CRC_TABLE = """tab AS (
   SELECT list(c ORDER BY n) AS t FROM (
     SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-    FROM range(256) r(n))),
+    FROM range(256) r(n)))"""
+
+OP6 = f"""
+WITH RECURSIVE {_CRC_TABLE},
 h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 b AS (
   SELECT doc_id, CAST(n + 1 AS BIGINT) AS size,
@@ -170,6 +172,84 @@ SELECT doc_id, source, text_md5, CAST(copy AS INTEGER) AS mix_copy, mix_copies,
 FROM x
 """
 
+# a weight is the cost in ten digits and the labels, so that the least string is the least weight
+_W = lambda cost, label, weight: f"lpad(CAST(CAST({weight}[1:10] AS INTEGER) + {cost} AS VARCHAR), 10, '0') || '{label}' || {weight}[11:]"
+
+
+def _arcs(state: str, to: str, keeps: str) -> str:
+    """The least weight of a turn in a state: deleted, given the role that leads on, or kept."""
+    return (
+        f"least({_W(3, 'D', state)}, CASE WHEN fault IN ('', 't') THEN {_W('2 + extra', 'R', to)} END, "
+        f"CASE WHEN fault IN ('', 't') AND ini = 'KEPT' THEN {_W('extra', 'K', keeps)} END)"
+    )
+
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h
+  FROM conversations),
+bytes AS (
+  SELECT *, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS b FROM src),
+hit AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 20 AS kind
+  FROM bytes, tab),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit),
+placed AS (
+  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY conv_id) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS said
+  FROM dam WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+faults AS (
+  SELECT *, role[1:1] AS ini, lead(role[1:1]) OVER (PARTITION BY conv_id ORDER BY rn) AS following,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN said > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault
+  FROM placed),
+f AS (SELECT *, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS extra FROM faults),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+-- cheapest ways from each state of the grammar (start, after s, after u, after a) on, from the last turn to the first
+path(conv_id, i, z, s, u, a) AS (
+  SELECT conv_id, n, '0000000000', '0000000004II', '0000000002I', '0000000000' FROM f WHERE rn = 1
+  UNION ALL
+  SELECT conv_id, i - 1, least(z, {_W(2, 'I', 'u2')}), least(s, {_W(2, 'I', 'u2')}), u2, least(a, {_W(2, 'I', 'u')})
+  FROM (SELECT *, least(u, {_W(2, 'I', 'a')}) AS u2 FROM (
+    SELECT path.conv_id, i,
+           least({_arcs('z', 'u', 'u').replace('KEPT', 'u')}, CASE WHEN fault IN ('', 't') AND ini = 's' THEN {_W('extra', 'K', 's')} END) AS z,
+           {_arcs('s', 'u', 'u').replace('KEPT', 'u')} AS s, {_arcs('u', 'a', 'a').replace('KEPT', 'a')} AS u,
+           {_arcs('a', 'u', 'u').replace('KEPT', 'u')} AS a
+    FROM path JOIN f ON path.conv_id IS NOT DISTINCT FROM f.conv_id AND i = rn))),
+plan AS (SELECT conv_id, CAST(z[1:10] AS BIGINT) AS cost, z[11:] AS audit FROM path WHERE i = 0),
+edit AS (
+  SELECT conv_id, k, e, count_if(e <> 'I') OVER w AS rn, count_if(e <> 'D') OVER w AS o
+  FROM (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS k, unnest(string_split(audit, '')) AS e FROM plan WHERE audit <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+made AS (
+  SELECT e.conv_id, k, e, o, f.role, f.text,
+         max(CASE WHEN e = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS headed
+  FROM edit e LEFT JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.rn = f.rn),
+digest AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - headed) % 2 = 1 THEN 'user' ELSE 'assistant' END
+           || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t
+  FROM made WHERE e <> 'D' GROUP BY conv_id),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank,
+         count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated,
+         count_if(following IS NOT NULL AND ini || following NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ids LEFT JOIN stats ON ids.conv_id IS NOT DISTINCT FROM stats.conv_id
+LEFT JOIN plan ON ids.conv_id IS NOT DISTINCT FROM plan.conv_id
+LEFT JOIN digest ON ids.conv_id IS NOT DISTINCT FROM digest.conv_id
+"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op2_minhash_dedup": OP2,
@@ -178,4 +258,5 @@ ORACLE_SQL = {
     "op6_byte_shards": OP6,
     "op7_perspectives": OP7,
     "op9_poisson_mix": OP9,
+    "op13_conversation_repair": OP13,
 }

@@ -17,6 +17,7 @@ from .mixing import mix_sources
 from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import pack_documents
 from .quality import judge_documents
+from .repair import audit_conversations, damage_turns
 from .sharding import byte_shards
 from .substring_dedup import dedup_substrings
 from .toxicity import score_documents, train
@@ -104,6 +105,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumn("groups_sha256", digest).drop("groups")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return audit_conversations(damage_turns(turns), asked=turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -116,4 +122,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_poisson_mix": op9_poisson_mix,
     "op10_sentence_toxicity": op10_sentence_toxicity,
     "op11_token_alignment": op11_token_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
