@@ -40,6 +40,15 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/askloom-{name}-{uuid.uuid4().hex}"
+    files, at = _file_system(spark, path)
+    files.mkdirs(at.getParent())
+    files.deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back.
 
@@ -47,10 +56,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before, with ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/askloom-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    files, at = _file_system(spark, path)
-    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._askloom_path = path
     return out
@@ -64,12 +71,10 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     only lives as long as the session.
     """
     spark = df.sparkSession
-    mark = uuid.uuid4().hex
-    path, table = f"{shared_dir(spark)}/askloom-{name}-{mark}", f"askloom_{name}_{mark}"
+    path = new_folder(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
     writer = df.write.format("parquet").option("path", path)
     writer.bucketBy(shuffle_partitions(spark), key).sortBy(key).saveAsTable(table)
-    files, at = _file_system(spark, path)
-    files.deleteOnExit(at)
     return spark.table(table)
 
 

@@ -172,6 +172,17 @@ SELECT doc_id, source, text_md5, CAST(copy AS INTEGER) AS mix_copy, mix_copies,
 FROM x
 """
 
+OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS lead FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || hex[5 * (i // 4) + 1:5 * (i // 4) + 5] AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31)]), '') AS payload_digest,
+       CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM h
+"""
+
 # a weight is the cost in ten digits and the labels, so that the least string is the least weight
 _W = lambda cost, label, weight: f"lpad(CAST(CAST({weight}[1:10] AS INTEGER) + {cost} AS VARCHAR), 10, '0') || '{label}' || {weight}[11:]"
 
@@ -258,5 +269,6 @@ ORACLE_SQL = {
     "op6_byte_shards": OP6,
     "op7_perspectives": OP7,
     "op9_poisson_mix": OP9,
+    "op12_warc_captures": OP12,
     "op13_conversation_repair": OP13,
 }

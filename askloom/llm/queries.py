@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .alignment import align_documents
 from .ann import nearest
 from .chat import rotate_perspectives
-from .common import materialize
+from .common import materialize, new_folder
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
@@ -21,6 +21,7 @@ from .repair import audit_conversations, damage_turns
 from .sharding import byte_shards
 from .substring_dedup import dedup_substrings
 from .toxicity import score_documents, train
+from .warc import assemble, read_archives, resolve, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +106,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumn("groups_sha256", digest).drop("groups")
 
 
+def op12_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "archives")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    return resolve(assemble(read_archives(spark, path)))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     return audit_conversations(damage_turns(turns), asked=turns)
@@ -122,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_poisson_mix": op9_poisson_mix,
     "op10_sentence_toxicity": op10_sentence_toxicity,
     "op11_token_alignment": op11_token_alignment,
+    "op12_warc_captures": op12_warc_captures,
     "op13_conversation_repair": op13_conversation_repair,
 }
