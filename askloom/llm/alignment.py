@@ -45,7 +45,7 @@ from .common import bucketed, materialize, text_batches
 from .encoders import encoder
 
 #: Bytes of text of a block, and tokens of a part of a document, about.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 PART_TOKENS = 1 << 18
 #: Pairs that a block collects before it adds them up.
 HELD_PAIRS = 1 << 21
@@ -71,13 +71,13 @@ class Vocabularies:
         """Both sides' ids as bytes; none if a side doesn't give the text back."""
         if not text:
             return b"", b""
-        want = (" " + text).encode("utf-8", "surrogatepass")
-        out = []
-        for k, ids in enumerate((self.a.encode(" " + text), self.b.encode(text))):
-            if b"".join(map(self.bytes[k].__getitem__, ids.tolist())) != want:
-                return b"", b""
-            out.append(ids.astype(self.types[k]).tobytes())
-        return out[0], out[1]
+        b = self.b.faithful(text)
+        if b is None:
+            return b"", b""
+        a = self.a.encode(" " + text)
+        if self.a.fast is None and b"".join(map(self.bytes[0].__getitem__, a.tolist())) != (" " + text).encode("utf-8", "surrogatepass"):
+            return b"", b""  # a plain byte-level BPE always gives the text back
+        return a.astype(self.types[0]).tobytes(), b.astype(self.types[1]).tobytes()
 
 
 _held: dict[tuple[str, str], Vocabularies] = {}
@@ -177,18 +177,20 @@ def _token_names(n: int) -> list[str]:
 def grouped(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, str]:
     """The number of groups, and these as ``a1,a2|b1;a3|b2,b3;``."""
     root = components(len(a) + len(b), x, y + len(a))
-    of_a = np.cumsum(np.diff(root[: len(a)], prepend=-1) != 0) - 1
-    number = np.empty(len(a) + len(b), dtype=np.int64)
+    last_a = np.append(np.diff(root[: len(a)]) != 0, True)
+    of_a = np.cumsum(last_a) - last_a
+    number = np.empty(len(a), dtype=np.int64)  # roots are A's tokens
     number[root[: len(a)]] = of_a
     of_b = number[root[len(a) :]]
-    # A's tokens of a group come before B's; a stable sort of two runs merges them
-    key = np.concatenate((2 * of_a, 2 * of_b + 1))
-    order = np.argsort(key, kind="stable")
-    key, ids = key[order], np.concatenate((a, b)).astype(np.int64)[order]
-    after = np.full(len(key), _NEXT)
-    after[:-1] = np.where(key[1:] == key[:-1], _SAME, np.where(key[:-1] & 1, _NEXT, _OTHER))
-    names = _token_names(int(ids.max()) + 1)
-    return int(of_a[-1]) + 1, "".join(map(names.__getitem__, (3 * ids + after).tolist()))
+    last_b = np.append(np.diff(of_b) != 0, True)
+    # a token comes after those of its side before it, and the other side's in groups before (A) or up to its own (B)
+    n = int(of_a[-1]) + 1
+    until_a, until_b = np.flatnonzero(last_a) + 1, np.concatenate(([0], np.flatnonzero(last_b) + 1))
+    codes = np.empty(len(a) + len(b), dtype=np.int64)
+    codes[np.arange(len(a)) + until_b[of_a]] = 3 * a.astype(np.int64) + np.where(last_a, _OTHER, _SAME)
+    codes[np.arange(len(b)) + until_a[of_b]] = 3 * b.astype(np.int64) + np.where(last_b, _NEXT, _SAME)
+    names = _token_names(int(codes.max()) // 3 + 1)
+    return n, "".join(map(names.__getitem__, codes.tolist()))
 
 
 def _tokenize(a_path: str, b_path: str, block_bytes: int):

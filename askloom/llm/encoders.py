@@ -131,6 +131,10 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.names = names
+        tokens = self.vocabulary()
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in tokens])
+        self.places = np.cumsum(self.sizes) - self.sizes
         # a piece that goes on after a space would be lost at a cut
         self.cuts = not any("\u2581" in x.lstrip("\u2581") for x in names)
 
@@ -141,6 +145,17 @@ class Pieces:
         parts = [x if i == 0 else x[1:] for i, x in enumerate(pieces_of(text))]
         return np.concatenate([np.array(self.model.encode(x), dtype=np.uint32) for x in parts])
 
+    def faithful(self, text: str) -> np.ndarray | None:
+        """The ids, or None if their joined bytes aren't the text with a space before it."""
+        ids = self.encode(text)
+        want = np.frombuffer((" " + text).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids) or ends[-1] != len(want):
+            return None
+        at = np.arange(len(want)) + np.repeat(self.places[ids] - (ends - sizes), sizes)
+        return ids if np.array_equal(self.flat[at], want) else None
+
     def vocabulary(self) -> list[bytes]:
         """The bytes of each token: the byte of a byte piece, else the piece with its mark as a space."""
         one = re.compile(r"<0x([0-9A-F]{2})>\Z")
