@@ -215,12 +215,38 @@ def garbage(x: str) -> str:
     return "(" + "\n  OR ".join(rules) + ")"
 
 
+_WHITE = r"[ \t\r\n\v\f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_EDGE = r"(^|[^\p{L}\p{N}])"
+_HEADS = "г|ул|пр|просп|пер|пл|д|кв|корп|оф|стр|им|тел|св|проф|акад|доц|гл|рис|табл|см|ср|напр|т[.]? ?е|т[.]? ?к|Mr|Mrs|Ms|Dr|Prof|St|vs|Fig|e[.]g|i[.]e"
+_TAILS = "гг|вв|руб|коп|тыс|млн|млрд|долл|др|проч|мин|сек|кг|км|Inc|Ltd|Corp|etc|al|a[.]m|p[.]m"
+_PAIRS = "т[.] ?[дп]|н[.] ?э"
+
+
 def sentences(x: str) -> str:
-    for _ in range(2):
-        x = f"regexp_replace({x}, '{T.GLUE}', '\\1\\2.' || chr(2), 'g')"
-    x = f"regexp_replace({x}, '{T.BOUNDARY}', '\\1' || chr(1) || '\\2', 'g')"
-    parts = f"string_split(replace({x}, chr(2), ' '), chr(1))"
-    return f"list_filter(list_transform({parts}, lambda s: {strip('s')}), lambda s: s <> '')"
+    """Sentences of a text: its pieces up to each candidate, with a mark after those that don't go on."""
+    quoted = lambda r: "'" + r.replace("'", "''") + "'"
+    bare = lambda y: f"regexp_replace({y}, '^{_WHITE}|{_WHITE}$', '', 'g')"
+    at = lambda k: f"coalesce(p[k{k}], '')"
+    ends = lambda words: f"regexp_matches(w.l, {quoted(_EDGE + '(' + words + ')[.]$')})"
+    has = lambda side, r: f"regexp_matches(w.{side}, {quoted(r)})"
+    goes_on = " OR ".join([
+        has("r", r"""^([«“„"'(\[]*\p{Ll}|[—–-][ \t]*\p{Ll}|[.,:;!?…%)\]»”])"""),
+        ends(r"\p{Lu}"),
+        f"({ends(_HEADS)} AND NOT {ends(_PAIRS)})",
+        f"(({ends(_TAILS)} OR {ends(_PAIRS)}) AND {has('r', r'^\p{N}')})",
+        f"({has('o', r'^(((\p{N}{1,3}[.])*\p{N}{1,3}|[IVXLC]{1,5})[.)]+|\p{L}[)][.]?)$')} AND NOT {has('b', f'{_EDGE}({_HEADS}|{_TAILS}|{chr(92)}p{{Lu}})[.]$')})",
+        f"({has('l', r'[(][^()]*$')} AND {has('r', r'^[^()]*[)]')})",
+        f"({has('l', '«[^«»]*$')} AND {has('r', '^[^«»]*»')})",
+        f"({has('l', '“[^“”]*$')} AND {has('r', '^[^“”]*”')})",
+        f"""({has('l', r'(^|[\s(])"[^"\s][^"]*$')} AND {has('r', r'^[^"]*[^"\s]"([\s.,;:!?…)]|$)')})""",
+    ])
+    pieces = f"regexp_extract_all(coalesce({x}, ''), {quoted(r"""(?s).*?[.!?…;]+[»”’"')\]]*[ \t\r\n]+|(?s).+""")})"
+    left, right = f"right({bare(f'{at(- 2)} || {at(- 1)} || p[k]')}, 300)", f"regexp_replace({at('+1')} || {at('+2')} || {at('+3')}, '^{_WHITE}', '')[1:300]"
+    sides = f"[{{'o': {bare('p[k]')}, 'b': {bare(at(-1))}, 'l': {left}, 'r': {right}}}]"
+    judged = f"list_transform({sides}, lambda w: {goes_on})[1]"
+    marked = f"array_to_string(list_transform(range(1, len(p) + 1), lambda k: p[k] || CASE WHEN {judged} THEN '' ELSE chr(1) END), '')"
+    parts = f"string_split(list_transform([{pieces}], lambda p: {marked})[1], chr(1))"
+    return f"list_filter(list_transform({parts}, lambda s: {bare('s')}), lambda s: s <> '')"
 
 
 def cut(x: str, marks: list[str], least: str) -> str:

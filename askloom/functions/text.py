@@ -159,25 +159,90 @@ def normalize_text(c: Column | str) -> Column:
     return F.translate(F.lower(_text(c)), "ё", "е")
 
 
-#: Abbreviations after which a sentence goes on, besides initials.
-ABBREVIATIONS = ["г", "гг", "ул", "д", "кв", "стр", "руб", "коп", "тыс", "млн", "млрд", "им", "тел", r"т\.е", r"т\.д", r"т\.п", r"т\.к", "Mr", "Mrs", "Dr"]
-GLUE = rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(ABBREVIATIONS)}|\p{{Lu}})\.[ \t]+"
-BOUNDARY = r"([.!?…]+[»\")\]]*)[ \t\r\n]+([\p{Lu}\p{N}«\"(\[—–-])"
+# --- sentences ---
+
+#: Abbreviations that something has to follow.
+HEAD_ABBREVIATIONS = [
+    "г", "ул", "пр", "просп", "пер", "пл", "д", "кв", "корп", "оф", "стр", "им", "тел", "св", "проф", "акад", "доц", "гл", "рис",
+    "табл", "см", "ср", "напр", "т\\.?[ ]?е", "т\\.?[ ]?к", "Mr", "Mrs", "Ms", "Dr", "Prof", "St", "vs", "Fig", "e\\.g", "i\\.e",
+]
+#: Abbreviations that may end a sentence, and don't before a number.
+TAIL_ABBREVIATIONS = [
+    "гг", "вв", "руб", "коп", "тыс", "млн", "млрд", "долл", "др", "проч", "мин", "сек", "кг", "км", "Inc", "Ltd", "Corp", "etc", "al",
+    "a\\.m", "p\\.m",
+]
+#: Pairs whose last part would be a head by itself: and so on, of our era.
+TAIL_PAIRS = [r"т\.[ ]?[дп]", r"н\.[ ]?э"]
+#: Characters on either side of a candidate that its rules see.
+WINDOW = 300
+
+#: Up to and with the white space after a mark and what closes behind it, a candidate; or the rest.
+_SEGMENT = r"(?s).*?[.!?…;]+[»”’\"')\]]*[ \t\r\n]+|(?s).+"
+
+
+def _ending(words: list[str]) -> str:
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(words)})\.$"
+
+
+_INITIAL = _ending([r"\p{Lu}"])
+_HEAD, _TAIL, _PAIR = _ending(HEAD_ABBREVIATIONS), _ending(TAIL_ABBREVIATIONS), _ending(TAIL_PAIRS)
+_LIST_MARK = r"^(?:(?:(?:\p{N}{1,3}\.)*\p{N}{1,3}|[IVXLC]{1,5})[.)]+|\p{L}\)\.?)$"
+#: A lower-case word, also behind marks that open or a dash; or a mark that goes on.
+_GOES_ON = r"^(?:[«“„\"'(\[]*\p{Ll}|[—–-][ \t]*\p{Ll}|[.,:;!?…%)\]»”])"
+#: What is open at the end of the left side, and closes first on the right one.
+_OPEN = [
+    (r"\([^()]*$", r"^[^()]*\)"),
+    (r"«[^«»]*$", r"^[^«»]*»"),
+    (r"“[^“”]*$", r"^[^“”]*”"),
+    (r"(?:^|[\s(])\"[^\"\s][^\"]*$", r"^[^\"]*[^\"\s]\"(?:[\s.,;:!?…)]|$)"),
+]
+
+
+def _bound(x: Column, body) -> Column:
+    """``body`` of ``x``, which is evaluated once however often the body has it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def _goes_on(segment: Column, before: Column, left: Column, right: Column) -> Column:
+    """Whether a sentence goes on after a candidate, by its segment, the one before, and what lies on either side."""
+    abbreviated = left.rlike(_HEAD) & ~left.rlike(_PAIR)
+    tail = (left.rlike(_TAIL) | left.rlike(_PAIR)) & right.rlike(r"^\p{N}")
+    marks = segment.rlike(_LIST_MARK) & ~(before.rlike(_HEAD) | before.rlike(_TAIL) | before.rlike(_INITIAL))
+    inside = [left.rlike(a) & right.rlike(b) for a, b in _OPEN]
+    out = right.rlike(_GOES_ON) | left.rlike(_INITIAL) | abbreviated | tail | marks
+    for rule in inside:
+        out = out | rule
+    return out
 
 
 def split_sentences(c: Column | str) -> Column:
     """Sentences, trimmed and not empty.
 
-    A sentence ends with ``.``, ``!``, ``?`` or ``…`` and closing marks, before
-    white space and a capital, a digit or an opening mark.  Abbreviations and
-    initials don't end one.
+    Candidates are the places behind ``.``, ``!``, ``?``, ``…`` or ``;``, closing
+    marks and white space.  Rules look at the tokens on either side, up to
+    ``WINDOW`` characters: a sentence goes on before a lower-case word or a mark,
+    after an initial, after abbreviations (of which some end a sentence unless a
+    number follows), after the mark of a list item, and inside of brackets and
+    quotes that are open on the left and close on the right.  Each candidate is
+    judged by itself, so a text costs what its length is.
     """
-    c = _text(c)
-    for _ in range(2):  # initials follow each other
-        c = F.regexp_replace(c, GLUE, "$1$2.\u0002")
-    c = F.regexp_replace(c, BOUNDARY, "$1\u0001$2")
-    parts = F.split(F.translate(c, "\u0002", " "), "\u0001")
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    near = lambda s, i, steps: F.concat(*[F.coalesce(F.get(s, i + k), F.lit("")) for k in steps])
+
+    def judged(s: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            sides = F.struct(
+                strip(x).alias("own"),
+                strip(F.coalesce(F.get(s, i - 1), F.lit(""))).alias("before"),
+                F.right(strip(near(s, i, (-2, -1, 0))), F.lit(WINDOW)).alias("left"),
+                F.left(F.ltrim(near(s, i, (1, 2, 3)), F.lit(WHITE)), F.lit(WINDOW)).alias("right"),
+            )
+            on = _bound(sides, lambda w: _goes_on(w["own"], w["before"], w["left"], w["right"]))
+            return F.concat(x, F.when(on, "").otherwise("\u0001"))
+
+        return F.array_join(F.transform(s, one), "")
+
+    marked = _bound(F.regexp_extract_all(_text(c), F.lit(_SEGMENT), F.lit(0)), judged)
+    return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
 
 
 def split_long_sentences(c: Column | str) -> Column:

@@ -83,12 +83,7 @@ def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-def _sentences(x: str) -> str:
-    for _ in range(2):
-        x = f"regexp_replace({x}, '{T.GLUE}', '\\1\\2.' || chr(2), 'g')"
-    x = f"regexp_replace({x}, '{T.BOUNDARY}', '\\1' || chr(1) || '\\2', 'g')"
-    parts = f"string_split(replace({x}, chr(2), ' '), chr(1))"
-    return f"list_filter(list_transform({parts}, lambda s: {_strip('s')}), lambda s: s <> '')"
+_sentences = S.sentences
 
 
 def _tokens(x: str) -> str:

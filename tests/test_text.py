@@ -4,9 +4,11 @@ import hashlib
 import html
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from askloom import answer_sql as S
 from askloom import queries
 from askloom.functions import answers as A
 from askloom.functions import text as T
@@ -200,3 +202,49 @@ def test_rules_agree_with_their_sql(spark, sf_dir, name):
     assert sorted(want.columns) == columns
     rows = want.select(*columns).fetchall()
     assert sorted(map(str, (tuple(r) for r in found.select(columns).collect()))) == sorted(map(str, rows))
+
+
+#: Texts with their sentences, as a reader would set them apart.
+SENTENCES = [
+    ("Живёт на ул. Мира, д. 5. А. С. Пушкин писал.", ["Живёт на ул. Мира, д. 5.", "А. С. Пушкин писал."]),
+    ("Купил хлеб, молоко и т. д. Потом ушёл.",["Купил хлеб, молоко и т. д.","Потом ушёл."]),
+    ("Это было в 2005 г. Москва росла.",["Это было в 2005 г. Москва росла."]),
+    ("Цена 5 тыс. 300 руб. Скидки нет.",["Цена 5 тыс. 300 руб.","Скидки нет."]),
+    ("Он сказал (это важно. Очень важно!) и ушёл. Все.",["Он сказал (это важно. Очень важно!) и ушёл.","Все."]),
+    ("«Да. Конечно!» — сказал он. Потом сел.",["«Да. Конечно!» — сказал он.","Потом сел."]),
+    ("«Приду завтра.» Он ушёл.",["«Приду завтра.»","Он ушёл."]),
+    ("1. Откройте счёт. 2. Внесите деньги.",["1. Откройте счёт.","2. Внесите деньги."]),
+    ("См. рис. 5. Далее текст.",["См. рис. 5.","Далее текст."]),
+    ("Mr. Smith met Dr. Brown. They talked, e.g. about J. R. R. Tolkien.",["Mr. Smith met Dr. Brown.","They talked, e.g. about J. R. R. Tolkien."]),
+    ('He said "Wait. Stop!" and left. Then silence.',['He said "Wait. Stop!" and left.','Then silence.']),
+    ("Сколько? Пять... Нет, шесть!",["Сколько?","Пять...","Нет, шесть!"]),
+    ("Первое; второе; Третье.",["Первое; второе;","Третье."]),
+    ("в 300 г. до н. э. Рим рос.",["в 300 г. до н. э.","Рим рос."]),
+    ("IV. Итоги года. Конец",["IV. Итоги года.","Конец"]),
+    ("Точка.Без пробела. Да",["Точка.Без пробела.","Да"]),
+    ("Открыта скобка (вот так. Дальше без конца. И ещё.",["Открыта скобка (вот так.","Дальше без конца.","И ещё."]),
+    ("Абзац.\n\nНовый абзац",["Абзац.","Новый абзац"]),
+    ("Работает с 9 a.m. Monday. Ends 5 p.m. 30 sharp",["Работает с 9 a.m.","Monday.","Ends 5 p.m. 30 sharp"]),
+    ("",[]),(None,[]),("  \n\t ",[]),("!",["!"]),
+]
+
+
+def test_sentences_as_a_reader_sets_them(spark):
+    rows = [(i, text) for i, (text, _) in enumerate(SENTENCES)]
+    df = spark.createDataFrame(rows, "i int, text string").select("i", T.split_sentences("text").alias("s"))
+    got = {r.i: r.s for r in df.collect()}
+    for i, (text, want) in enumerate(SENTENCES):
+        assert got[i] == want, text
+
+
+def test_sentences_by_sql_written_apart(spark):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INT, x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, text) for i, (text, _) in enumerate(SENTENCES)])
+    assert dict(con.sql(f"SELECT i, {S.sentences('x')} FROM t").fetchall()) == {i: want for i, (_, want) in enumerate(SENTENCES)}
+
+
+def test_a_long_text_without_an_end(spark):
+    texts = ["слово " * 300_000, "(" * 20_000 + ". A" * 20_000, "A. " * 50_000, "Да! " * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.size(T.split_sentences("text")).alias("n"))
+    assert [r.n for r in df.collect()] == [1, 2, 1, 100_000]
