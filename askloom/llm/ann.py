@@ -5,25 +5,27 @@ Nearness is the cosine, in double precision, on the vectors as given.
 *Index.*  Centroids come from balanced k-means (a cluster's cost rises with its
 size) on a sample of vectors; there is one for about ``LIST_SIZE`` vectors up to
 ``MAX_LISTS``, and beyond that their number follows the root of the vectors'
-number, as does the sample's (``SAMPLE``, or ``PER_LIST`` a centroid).  So the
-centroids stay small enough to travel with the functions.  They are searched by
-an in-memory graph: each centroid knows its nearest others and a few far ones,
-and a best-first beam walks it.  Every vector goes to its nearest centroid's
-posting list, and a vector near a boundary also to the lists of up to
-``REPLICAS`` - 1 other centroids, if they are at most ``CLOSURE`` times as far
-and not closer to a chosen centroid than to the vector.
-
-*Search.*  The graph gives a query's nearest centroids; lists are read whose
-centroid is at most so many times as far as the nearest one, at least
-``MIN_PROBES`` and up to a bound.  A list and its queries meet in a group; a
-list of more than ``LIST_CAP`` vectors and its queries beyond ``QUERY_CAP`` are
-dealt in parts.  A group hands on each query's best ids only.
+number, up to ``TOP_LISTS``.  The sample has ``SAMPLE`` vectors, or ``PER_LIST``
+a centroid.  Both are bounded, and so are the work of the driver, which fits the
+centroids, and what travels with the functions; larger tables have longer lists.
+Every vector goes to its nearest centroid's posting list, found by comparing with
+all, and a vector near a boundary also to the lists of up to ``REPLICAS`` - 1
+other centroids, if they are at most ``CLOSURE`` times as far and not closer to
+a chosen centroid than to the vector.
+
+*Search.*  At every size a query's nearest centroids are found on an in-memory
+graph: each centroid knows its nearest others and a few far ones, and a
+best-first beam walks it.  Lists are read whose centroid is at most so many times
+as far as the nearest one, at least ``MIN_PROBES`` and up to a bound.  A list and
+its queries meet in a group; a list of more than ``LIST_CAP`` vectors and its
+queries beyond ``QUERY_CAP`` are dealt in parts.  A group hands on each query's
+best ids only.
 
 *Recall.*  How many lists hold a query's neighbours depends on the vectors and
 on how many there are.  For up to ``CALIBRATION`` of the queries the true
 neighbours are found by a scan of all vectors, and the ratio and the bound are
-raised from ``PROBE_RATIO`` and ``PROBES`` until the lists read hold ``TARGET``
-of them.
+the least ones by which the lists read hold ``TARGET`` of them.
+``reading`` reports the lists and the share of the posting rows that are read.
 
 *Hot groups.*  Equal vectors are indexed once, with the k + 1 smallest of their
 ids: no query needs more of them.  Their ids are limited before the shuffle.
@@ -49,22 +51,23 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE = 20_000
-LIST_SIZE = 256
+LIST_SIZE = 64
 MAX_LISTS = 4096
+TOP_LISTS = 16_384
 PER_LIST = 8
 LIST_CAP = 4096
 QUERY_CAP = 4096
 REPLICAS = 4
 CLOSURE = 1.15
-PROBE_RATIO = 1.35
-MIN_PROBES = 4
-PROBES = 48
+MIN_PROBES = 2
 CALIBRATION = 256
-TARGET = 0.98
+TARGET = 0.97
 #: More than the rough product of a list and its queries is off by.
 ROUGH = 1e-9
 NEIGHBOURS = 24
 BEAM = 64
+#: Random centroids at which each walk starts.
+ENTRIES = 48
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -76,7 +79,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def list_count(n: int) -> int:
     """How many posting lists n vectors get."""
-    return max(1, min(round(n / LIST_SIZE), max(MAX_LISTS, round(n**0.5))))
+    return max(1, min(round(n / LIST_SIZE), max(MAX_LISTS, min(TOP_LISTS, round(n**0.5)))))
 
 
 def balanced_centroids(x: np.ndarray, n: int, seed: int = 7, rounds: int = 12) -> np.ndarray:
@@ -116,17 +119,24 @@ class CentroidGraph:
             near[a : a + 1024] = np.argsort(-s, axis=1, kind="stable")[:, :k]
         far = rnd.integers(0, n, size=(n, 4), dtype=np.int32)
         self.edges = np.concatenate((near, far), axis=1)
-        self.entries = rnd.choice(n, size=min(n, 16), replace=False)
+        self.entries = rnd.choice(n, size=min(n, ENTRIES), replace=False)
+
+    def all(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest centroids of each unit vector, and their distances, nearest first; by comparing with all."""
+        score = x.astype(np.float32) @ self.c.T
+        if k < len(self.c):
+            ids = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score = np.take_along_axis(score, ids, axis=1)
+        else:
+            ids = np.tile(np.arange(len(self.c)), (len(x), 1))
+        order = np.argsort(-score, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, axis=1), self._distance(np.take_along_axis(score, order, axis=1))
 
     def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest centroids found for each unit vector, and their distances, nearest first."""
+        """The k nearest centroids that a walk finds for each unit vector, and their distances, nearest first."""
         n = len(self.c)
         k, beam = min(k, n), min(max(beam, k + k // 2), n)
         q = q.astype(np.float32)
-        if 8 * beam >= n:  # a walk would come to more than all distances
-            score = q @ self.c.T
-            ids = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            return ids, self._distance(np.take_along_axis(score, ids, axis=1))
         rows = np.arange(len(q))[:, None]
         seen = np.zeros((len(q), n), dtype=bool)
         seen[:, self.entries] = True
@@ -183,7 +193,7 @@ def _assign(graph: CentroidGraph, dim: int):
                 ok, x = _vectors(batch.column(2), dim)
                 if not len(ok):
                     continue
-                ids, d = graph.search(_unit(x), 2 * REPLICAS, 32)
+                ids, d = graph.all(_unit(x), min(2 * REPLICAS, len(graph.c)))
                 chosen = np.zeros(ids.shape, dtype=bool)
                 chosen[:, 0] = True
                 for j in range(1, ids.shape[1]):
@@ -240,7 +250,7 @@ def calibrate(
     asked = query.select("k1", "k2", "embedding").where(F.size("embedding") == dim)
     asked = asked.orderBy("k2", "k1").limit(CALIBRATION).collect()
     if not asked or len(graph.c) <= MIN_PROBES:
-        return PROBES, PROBE_RATIO
+        return MIN_PROBES, 1.0
     q = _unit(np.array([r["embedding"] for r in asked], dtype=np.float64))
     own = {(i, r["k1"], r["k2"]) for i, r in enumerate(asked)}
     best = Window.partitionBy("q").orderBy(F.desc("score"), "k1", "k2")
@@ -253,7 +263,7 @@ def calibrate(
         .select("q", "k1", "k2")
     )
     held = posting.select("list", "k1", "k2").join(F.broadcast(true), ["k1", "k2"]).collect()
-    ids, d = graph.search(q, len(graph.c))
+    ids, d = graph.all(q, len(graph.c))
     place = np.empty(ids.shape, dtype=np.int64)
     np.put_along_axis(place, ids.astype(np.int64), np.arange(ids.shape[1])[None, :], axis=1)
     found: dict[tuple[int, int, int], int] = {}
@@ -261,12 +271,12 @@ def calibrate(
         key, at = (r["q"], r["k1"], r["k2"]), int(place[r["q"], r["list"]])
         found[key] = min(at, found.get(key, at))
     if not found:
-        return PROBES, PROBE_RATIO
+        return MIN_PROBES, 1.0
     at = np.array(list(found.values()))
     far = d[[key[0] for key in found], at] / np.maximum(d[[key[0] for key in found], 0], 1e-6)
     # each of the two bounds may lose half of what may be lost
     reach = lambda z: np.quantile(z, (1 + TARGET) / 2, method="higher")
-    return max(PROBES, int(reach(at)) + 1), max(PROBE_RATIO, float(reach(far)) * (1 + 1e-6))
+    return int(reach(at)) + 1, float(reach(far)) * (1 + 1e-6)
 
 
 def _probe(graph: CentroidGraph, dim: int, probes: int, ratio: float):
@@ -330,8 +340,8 @@ def _whole(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest vectors found for each row that ``queries`` holds for."""
+def _distinct(vectors: DataFrame, queries: Column, k: int) -> tuple[DataFrame, DataFrame, list]:
+    """Each vector that takes part once, with its first ids; the queries' ids; and how many vectors each length has."""
     valid = (
         vectors.select(
             F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), queries.alias("is_query")
@@ -352,15 +362,42 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     distinct = materialize(distinct, "vectors")
     # usually one row; each length is searched by itself
     lengths = distinct.groupBy(F.size("embedding").alias("dim")).count().orderBy("dim").collect()
+    return distinct, valid.where("is_query").select("k1", "k2", "vec_id").distinct(), lengths
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest vectors found for each row that ``queries`` holds for."""
+    distinct, asked, lengths = _distinct(vectors, queries, k)
     if not lengths:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = valid.where("is_query").select("k1", "k2", "vec_id").distinct()
-    found = [_nearest(vectors, distinct, asked, r["dim"], r["count"], k) for r in lengths]
+    return reduce(DataFrame.unionAll, [_nearest(distinct, asked, r["dim"], r["count"], k) for r in lengths])
+
+
+def reading(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
+    """dim, lists, postings, queries, rows_read (of postings, by all queries) and share of what ``nearest`` reads."""
+    distinct, asked, lengths = _distinct(vectors, queries, k)
+    found = []
+    for r in lengths:
+        posting, probe = _lists(distinct, asked, r["dim"], r["count"], k)
+        sizes = posting.groupBy("list").agg(F.count(F.lit(1)).alias("rows"))
+        times = probe.groupBy("list").agg(F.count(F.lit(1)).alias("times"))
+        n = probe.select("k1", "k2").distinct().count()
+        rows = sizes.join(times, "list", "left").agg(
+            F.count(F.lit(1)).alias("lists"),
+            F.sum("rows").alias("postings"),
+            F.lit(n).cast("long").alias("queries"),
+            F.coalesce(F.sum(F.col("times") * F.col("rows")), F.lit(0)).alias("rows_read"),
+        )
+        share = F.col("rows_read") / (F.col("postings") * F.col("queries"))
+        found.append(rows.select(F.lit(r["dim"]).alias("dim"), "*", share.alias("share")))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "dim int, lists long, postings long, queries long, rows_read long, share double")
     return reduce(DataFrame.unionAll, found)
 
 
-def _nearest(vectors: DataFrame, distinct: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> DataFrame:
-    """``nearest`` among the n distinct vectors of length ``dim``."""
+def _lists(distinct: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The posting lists of the n distinct vectors of length ``dim``, and the lists that each query reads."""
+    element = dict(distinct.dtypes)["embedding"]
     distinct = distinct.where(F.size("embedding") == dim)
     lists = list_count(n)
     # keys are hashes, so their order is no order of the vectors
@@ -370,8 +407,6 @@ def _nearest(vectors: DataFrame, distinct: DataFrame, asked: DataFrame, dim: int
         sample = pa.concat_arrays(sample.chunks)
     _, x = _vectors(sample, dim)
     graph = CentroidGraph(balanced_centroids(_unit(x), lists))
-
-    element = dict(vectors.dtypes)["embedding"]
     posting = materialize(
         distinct.select("k1", "k2", "embedding", "ids").mapInArrow(
             _assign(graph, dim), f"list int, k1 long, k2 long, embedding {element}, ids array<long>"
@@ -383,7 +418,12 @@ def _nearest(vectors: DataFrame, distinct: DataFrame, asked: DataFrame, dim: int
     probe = query.select("k1", "k2", "embedding").mapInArrow(
         _probe(graph, dim, probes, ratio), f"list int, k1 long, k2 long, embedding {element}"
     )
-    probe = materialize(probe, "probes")
+    return posting, materialize(probe, "probes")
+
+
+def _nearest(distinct: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """``nearest`` among the n distinct vectors of length ``dim``."""
+    posting, probe = _lists(distinct, asked, dim, n, k)
     # parts of each list's vectors and queries: one row for each list
     pieces = lambda df, cap, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cap).cast("long").alias(name))
     parts = pieces(posting, LIST_CAP, "x_parts").join(pieces(probe, QUERY_CAP, "q_parts"), "list")

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from askloom.llm.ann import list_count, nearest
+from askloom.llm.ann import CentroidGraph, balanced_centroids, list_count, nearest, reading
 
 ASK = "vec_id % 50 = 0"
 
@@ -86,7 +86,40 @@ def test_queries_of_a_list_in_parts(spark, monkeypatch):
 
 
 def test_lists_grow_with_the_table():
-    assert [list_count(n) for n in (1, 1000, 2**20, 10**9, 10**11)] == [1, 4, 4096, 31623, 316228]
+    assert [list_count(n) for n in (1, 1000, 2**20, 10**8, 10**9, 10**11)] == [1, 16, 4096, 10_000, 16_384, 16_384]
+
+
+def clustered(n, dim=32, clusters=300, seed=6):
+    rnd = np.random.default_rng(seed)
+    middle = rnd.normal(size=(clusters, dim))
+    return middle[rnd.integers(0, clusters, n)] + 0.35 * rnd.normal(size=(n, dim))
+
+
+def test_lists_are_left_out_on_clustered_vectors(spark, monkeypatch):
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(10_000))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    facts = reading(df, F.expr(ASK)).first()
+    assert facts.lists > 100 and facts.queries == 200 and facts.postings >= 10_000
+    assert facts.rows_read < facts.queries * facts.postings and facts.share <= 0.2
+    assert recall(run(df), brute_force(rows)) >= 0.95
+
+
+def test_the_graph_is_walked_at_every_size(monkeypatch):
+    for n in (3, 40, 700):
+        x = clustered(max(20 * n, 100))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        graph = CentroidGraph(balanced_centroids(x, n))
+        asked, k = x[:50], min(8, n)
+        want, far = graph.all(asked, k)
+        got, found = graph.search(asked, k)
+        assert np.mean([len(set(a) & set(b)) / k for a, b in zip(got.tolist(), want.tolist())]) >= 0.95
+        assert (np.diff(found[np.isfinite(found).all(axis=1)], axis=1) >= 0).all()
+        # without its edges a walk ends at its entries
+        graph.edges = np.tile(graph.entries[:1], (n, 1)).astype(np.int32)
+        stuck, _ = graph.search(asked, k)
+        assert set(stuck.ravel().tolist()) <= {*graph.entries.tolist(), -1}
+        if n > 40:
+            assert np.mean([len(set(a) & set(b)) / k for a, b in zip(stuck.tolist(), want.tolist())]) < 0.5
 
 
 def test_few_rows(spark):
