@@ -31,7 +31,7 @@ verification, once for some ``SALT_ROWS`` of them, and its pairs are dealt out
 over the copies.
 
 A hash of a variant is the exclusive or of one hash for each word and its place,
-so that all variants of a line follow from one fold over it.
+so that all variants of a line follow from one pass over it, in blocks.
 
 *Edge cases.*  A null text stays null and has no lines.  Rows that repeat a
 doc_id and text are one document and keep the same lines.  Rows that repeat a
@@ -43,6 +43,8 @@ has the name of an added column, the added one's gets an underscore at its end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,32 +80,65 @@ def _halves(words: Column, n: Column, min_words: int) -> Column:
 _SWAP, _CUT, _WHOLE = 0, 1, 2
 
 
+#: Numbers that one fold goes over; the folds of a long line form ``LEVELS`` levels.
+BLOCK = 64
+LEVELS = 3
+
+
+def _bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``x``, which is evaluated once however often the body has it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def _xor(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s.bitwiseXOR(y))
+
+
+def _prefixes(x: Column, levels: int = LEVELS) -> Column:
+    """The exclusive or of all that comes before each number of an array.
+
+    A fold that appends to an array copies it each time, so it only goes over a
+    block; the blocks' totals are folded in the same way, and added to theirs.
+    """
+    zero = F.struct(F.lit(0).cast("long").alias("e"), F.array().cast("array<bigint>").alias("out"))
+
+    def fold(b: Column) -> Column:
+        step = lambda s, y: F.struct(s["e"].bitwiseXOR(y).alias("e"), F.concat(s["out"], F.array(s["e"])).alias("out"))
+        return F.aggregate(b, zero, step)
+
+    if levels == 1:
+        return fold(x)["out"]
+
+    def blocks(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+        return F.transform(starts, lambda k: fold(F.slice(x, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def added(folds: Column) -> Column:
+        before = _prefixes(F.transform(folds, lambda f: f["e"]), levels - 1)
+        return F.flatten(F.zip_with(folds, before, lambda f, e: F.transform(f["out"], lambda y: y.bitwiseXOR(e))))
+
+    return _bound(x, lambda x: _bound(blocks(x), added))
+
+
 def _neighbourhood(words: Column) -> Column:
     """[(kind, key)] of a line and of all its variants with one word left out."""
     a = F.transform(words, lambda w, i: F.xxhash64(w, i))
     b = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))
-    xor = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s.bitwiseXOR(y))
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    zero = F.struct(F.lit(0).cast("long").alias("e"), F.array().cast("array<bigint>").alias("out"))
-    fold = F.aggregate(
-        pairs,
-        zero,
-        lambda s, p: F.struct(
-            s["e"].bitwiseXOR(p["a"]).bitwiseXOR(p["b"]).alias("e"),
-            F.concat(s["out"], F.array(s["e"].bitwiseXOR(p["b"]))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+    both = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
     entry = lambda kind, *key: F.struct(F.lit(kind).alias("kind"), F.xxhash64(*key).alias("key"))
     n = F.size(words)
 
     def entries(s: Column) -> Column:
-        swaps = F.transform(s["v"], lambda v, i: entry(_SWAP, v.bitwiseXOR(s["all"]), n, i))
-        cuts = F.transform(s["v"], lambda v: entry(_CUT, v.bitwiseXOR(s["all"]), n - 1))
-        return F.concat(swaps, cuts, F.array(entry(_WHOLE, s["whole"], n)))
+        swaps = F.transform(s["v"], lambda v, i: entry(_SWAP, v.bitwiseXOR(s["all"]), s["n"], i))
+        cuts = F.transform(s["v"], lambda v: entry(_CUT, v.bitwiseXOR(s["all"]), s["n"] - 1))
+        return F.concat(swaps, cuts, F.array(entry(_WHOLE, s["whole"], s["n"])))
+
+    def variants(s: Column) -> Column:
+        # words before the one left out count at their own place, those after it at the place before
+        v = both(_prefixes(both(s["a"], s["b"])), s["b"])
+        return F.struct(v.alias("v"), _xor(s["b"]).alias("all"), _xor(s["a"]).alias("whole"), n.alias("n"))
 
-    parts = F.struct(fold.alias("v"), xor(b).alias("all"), xor(a).alias("whole"))
-    return F.get(F.transform(F.array(parts), entries), F.lit(0))
+    return _bound(_bound(F.struct(a.alias("a"), b.alias("b")), variants), entries)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

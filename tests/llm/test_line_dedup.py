@@ -1,9 +1,12 @@
+import itertools
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from askloom.llm.line_dedup import dedup_lines
+from askloom.llm.line_dedup import _prefixes, dedup_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -117,6 +120,25 @@ def test_a_line_that_leads_many_and_repeated_rows(spark):
     assert run(again) == brute_force_fast(rows) and dedup_lines(again).count() == 406
 
 
+def test_variants_follow_from_prefixes_in_blocks(spark):
+    rnd = random.Random(3)
+    rows = [(n, [rnd.randrange(-(2**63), 2**63) for _ in range(n)]) for n in (1, 2, 63, 64, 65, 127, 128, 129, 4095, 4097, 9000)]
+    got = spark.createDataFrame(rows, "n int, x array<long>").select("n", _prefixes(F.col("x")).alias("p")).collect()
+    for r, (_, x) in zip(sorted(got), rows):
+        assert r.p == list(itertools.accumulate(x[:-1], lambda a, b: a ^ b, initial=0))
+
+
+def test_lines_of_200_000_words(spark):
+    words = [f"w{i % 5003}" for i in range(200_000)]
+    other = words[:150_000] + ["changed"] + words[150_001:]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[1:])), (4, " ".join(words[:-3]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = run(df)
+    assert [got[i][2] for i in (1, 2, 3, 4)] == [0, 1, 1, 0]
+    assert time.time() - began < 60
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, 7, "a", "same\nsame", "k")], "doc_id int, n_lines int, N_removed string, text string, __did string")
     out = dedup_lines(df)
