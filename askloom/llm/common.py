@@ -44,7 +44,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/askloom-{name}-{uuid.uuid4().hex}"
     files, at = _file_system(spark, path)
-    files.mkdirs(at.getParent())
+    files.mkdirs(at)  # only what exists can be marked
     files.deleteOnExit(at)
     return path
 
@@ -57,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._askloom_path = path
     return out

@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE
         _record("metadata", F.col("metadata_id"), [when, url, response, kind("application/warc-fields")],
                 F.coalesce(F.concat(F.lit("page_id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))),
     )
-    made.select(F.explode(records).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    made.select(F.explode(records).alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 _RECORDS = (

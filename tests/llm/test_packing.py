@@ -67,6 +67,12 @@ def test_edge_cases(spark):
             assert ids == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
 
 
+def test_very_long_runs(spark):
+    """White space that tiktoken gives up on goes to the library; all else is encoded in pieces."""
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x" + "\t " * 600_000 + "y", "words and, more 12 " * 200_000]
+    check(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3))
+
+
 def test_ids_beyond_two_bytes():
     big = np.array([70_000, 5], dtype="<u4")
     batch = pa.RecordBatch.from_arrays(
