@@ -53,7 +53,13 @@ def _quoted(x: str | int | None) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
 
-RU = "ru(id, query, text) AS (VALUES " + ", ".join(f"({', '.join(map(_quoted, r))})" for r in ROWS) + ")"
+#: Every turn of the conversations with one of the phrases before it, after it, or in place of all but its role.
+RU = "phrases(id, query, text) AS (VALUES " + ", ".join(f"({', '.join(map(_quoted, r))})" for r in ROWS) + f"""),
+ru AS (
+  SELECT c.conv_id * 1000 + c.turn AS id, p.query,
+         CASE (c.conv_id + c.turn) % 3 WHEN 0 THEN p.text || ' ' || coalesce(c.text, '') WHEN 1 THEN coalesce(c.text, '') || ' ' || p.text
+         ELSE p.text || CASE WHEN c.turn > 3 THEN ' ' || c.role ELSE '' END END AS text
+  FROM conversations c JOIN phrases p ON p.id = (c.conv_id * 7 + c.turn) % {len(ROWS)} + 1)"""
 
 
 def pattern(p: str, flags: str = "i") -> str:
@@ -235,14 +241,14 @@ def sentences(x: str) -> str:
         f"({ends(_HEADS)} AND NOT {ends(_PAIRS)})",
         f"(({ends(_TAILS)} OR {ends(_PAIRS)}) AND {has('r', r'^\p{N}')})",
         f"({has('o', r'^(((\p{N}{1,3}[.])*\p{N}{1,3}|[IVXLC]{1,5})[.)]+|\p{L}[)][.]?)$')} AND NOT {has('b', f'{_EDGE}({_HEADS}|{_TAILS}|{chr(92)}p{{Lu}})[.]$')})",
-        f"({has('l', r'[(][^()]*$')} AND {has('r', r'^[^()]*[)]')})",
-        f"({has('l', '«[^«»]*$')} AND {has('r', '^[^«»]*»')})",
-        f"({has('l', '“[^“”]*$')} AND {has('r', '^[^“”]*”')})",
-        f"""({has('l', r'(^|[\s(])"[^"\s][^"]*$')} AND {has('r', r'^[^"]*[^"\s]"([\s.,;:!?…)]|$)')})""",
+        f"({has('l', r'[(][^()]{0,300}$')} AND {has('w', r'^[^()]{0,300}[)]')})",
+        f"({has('l', '«[^«»]{0,300}$')} AND {has('w', '^[^«»]{0,300}»')})",
+        f"({has('l', '“[^“”]{0,300}$')} AND {has('w', '^[^“”]{0,300}”')})",
+        f"""({has('l', r'(^|[\s(])"[^"\s][^"]{0,300}$')} AND {has('w', r'^[^"]{0,300}[^"\s]"([\s.,;:!?…)]|$)')})""",
     ])
     pieces = f"regexp_extract_all(coalesce({x}, ''), {quoted(r"""(?s).*?[.!?…;]+[»”’"')\]]*[ \t\r\n]+|(?s).+""")})"
-    left, right = f"right({bare(f'{at(- 2)} || {at(- 1)} || p[k]')}, 300)", f"regexp_replace({at('+1')} || {at('+2')} || {at('+3')}, '^{_WHITE}', '')[1:300]"
-    sides = f"[{{'o': {bare('p[k]')}, 'b': {bare(at(-1))}, 'l': {left}, 'r': {right}}}]"
+    left, rest = f"right({bare("array_to_string(p[1:k], '')")}, 310)", "array_to_string(p[k + 1:], '')"
+    sides = f"[{{'o': {bare('p[k]')}, 'b': {bare(at(-1))}, 'l': {left}, 'r': regexp_replace({rest}, '^{_WHITE}', '')[1:310], 'w': ' ' || {rest}[1:310]}}]"
     judged = f"list_transform({sides}, lambda w: {goes_on})[1]"
     marked = f"array_to_string(list_transform(range(1, len(p) + 1), lambda k: p[k] || CASE WHEN {judged} THEN '' ELSE chr(1) END), '')"
     parts = f"string_split(list_transform([{pieces}], lambda p: {marked})[1], chr(1))"

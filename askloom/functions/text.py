@@ -173,76 +173,64 @@ TAIL_ABBREVIATIONS = [
 ]
 #: Pairs whose last part would be a head by itself: and so on, of our era.
 TAIL_PAIRS = [r"т\.[ ]?[дп]", r"н\.[ ]?э"]
-#: Characters on either side of a candidate that its rules see.
+#: How far from a candidate what is open may have been opened, and may be closed.
 WINDOW = 300
 
-#: Up to and with the white space after a mark and what closes behind it, a candidate; or the rest.
-_SEGMENT = r"(?s).*?[.!?…;]+[»”’\"')\]]*[ \t\r\n]+|(?s).+"
+_EDGE = r"(?:^|[^\p{L}\p{N}])"
+_WS = r"[ \t\r\n]"
+#: A candidate's place, which is marked: behind the marks of an end and what closes after them, before white space.
+_CANDIDATE = r"([.!?…;]+[»”’\"')\]]*)(?=[ \t\r\n])"
 
 
-def _ending(words: list[str]) -> str:
-    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(words)})\.$"
+def _after(left: str, right: str = "") -> str:
+    """A marked place with ``left`` before and ``right`` behind it; the mark comes first, so that nothing is tried elsewhere."""
+    return "\u0001" + (f"(?<={left}\u0001)" if left else "") + (f"(?={_WS}*(?:{right}))" if right else "")
 
 
-_INITIAL = _ending([r"\p{Lu}"])
-_HEAD, _TAIL, _PAIR = _ending(HEAD_ABBREVIATIONS), _ending(TAIL_ABBREVIATIONS), _ending(TAIL_PAIRS)
-_LIST_MARK = r"^(?:(?:(?:\p{N}{1,3}\.)*\p{N}{1,3}|[IVXLC]{1,5})[.)]+|\p{L}\)\.?)$"
-#: A lower-case word, also behind marks that open or a dash; or a mark that goes on.
-_GOES_ON = r"^(?:[«“„\"'(\[]*\p{Ll}|[—–-][ \t]*\p{Ll}|[.,:;!?…%)\]»”])"
-#: What is open at the end of the left side, and closes first on the right one.
-_OPEN = [
-    (r"\([^()]*$", r"^[^()]*\)"),
-    (r"«[^«»]*$", r"^[^«»]*»"),
-    (r"“[^“”]*$", r"^[^“”]*”"),
-    (r"(?:^|[\s(])\"[^\"\s][^\"]*$", r"^[^\"]*[^\"\s]\"(?:[\s.,;:!?…)]|$)"),
-]
+def _inside(opens: str, closes: str) -> str:
+    """A marked place in what is opened before it and closed behind it."""
+    return "\u0001" + rf"(?<={opens}[^{opens}{closes}]{{0,{WINDOW}}}\u0001)(?=[^{opens}{closes}]{{0,{WINDOW}}}{closes})"
 
 
-def _bound(x: Column, body) -> Column:
-    """``body`` of ``x``, which is evaluated once however often the body has it."""
-    return F.get(F.transform(F.array(x), body), F.lit(0))
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
 
 
-def _goes_on(segment: Column, before: Column, left: Column, right: Column) -> Column:
-    """Whether a sentence goes on after a candidate, by its segment, the one before, and what lies on either side."""
-    abbreviated = left.rlike(_HEAD) & ~left.rlike(_PAIR)
-    tail = (left.rlike(_TAIL) | left.rlike(_PAIR)) & right.rlike(r"^\p{N}")
-    marks = segment.rlike(_LIST_MARK) & ~(before.rlike(_HEAD) | before.rlike(_TAIL) | before.rlike(_INITIAL))
-    inside = [left.rlike(a) & right.rlike(b) for a, b in _OPEN]
-    out = right.rlike(_GOES_ON) | left.rlike(_INITIAL) | abbreviated | tail | marks
-    for rule in inside:
-        out = out | rule
-    return out
+#: A number of up to four parts; Java wants no loops where it looks back.
+_NUMBER = r"\p{N}{1,3}" + r"(?:\.\p{N}{1,3})?" * 3
+#: Where a sentence goes on; in this order, as list marks depend on what is left of the marks before them.
+SENTENCE_RULES = {
+    "a lower-case word, also behind what opens or a dash, or a mark that goes on": _after(
+        "", r"[«“„\"'(\[]*\p{Ll}|[—–-][ \t]*\p{Ll}|[.,:;!?…%)\]»”]"
+    ),
+    "initials": _after(_EDGE + r"\p{Lu}\."),
+    "abbreviations of what follows": _after(rf"{_EDGE}{_any(HEAD_ABBREVIATIONS)}\.") + rf"(?<!{_EDGE}{_any(TAIL_PAIRS)}\.\u0001)",
+    "abbreviations before a number": _after(rf"{_EDGE}{_any(TAIL_ABBREVIATIONS + TAIL_PAIRS)}\.", r"\p{N}"),
+    "the mark of a list item": _after(
+        rf"(?:^|\u0001){_WS}{{0,20}}(?:{_NUMBER}[.)]{{1,2}}|[IVXLC]{{1,5}}[.)]{{1,2}}|\p{{L}}\)\.?)"
+    ),
+    "brackets": _inside(r"\(", r"\)"),
+    "angle quotes": _inside("«", "»"),
+    "curly quotes": _inside("“", "”"),
+    "straight quotes": "\u0001" + rf"(?<=(?:^|[\s(])\"[^\"\s][^\"]{{0,{WINDOW}}}\u0001)(?=[^\"]{{0,{WINDOW}}}[^\"\s]\"(?:[\s.,;:!?…)]|$))",
+}
 
 
 def split_sentences(c: Column | str) -> Column:
     """Sentences, trimmed and not empty.
 
-    Candidates are the places behind ``.``, ``!``, ``?``, ``…`` or ``;``, closing
-    marks and white space.  Rules look at the tokens on either side, up to
-    ``WINDOW`` characters: a sentence goes on before a lower-case word or a mark,
-    after an initial, after abbreviations (of which some end a sentence unless a
-    number follows), after the mark of a list item, and inside of brackets and
-    quotes that are open on the left and close on the right.  Each candidate is
-    judged by itself, so a text costs what its length is.
+    Candidates are the places behind ``.``, ``!``, ``?``, ``…`` or ``;`` and
+    closing marks, before white space.  ``SENTENCE_RULES`` look at either side of a
+    candidate, and each takes away those at which a sentence goes on: before a
+    lower-case word or a mark, after an initial, after abbreviations (of which
+    some end a sentence unless a number follows), after the mark of a list item,
+    and inside of brackets and quotes.  Each looks a bounded way back, so a text
+    costs what its length is.
     """
-    near = lambda s, i, steps: F.concat(*[F.coalesce(F.get(s, i + k), F.lit("")) for k in steps])
-
-    def judged(s: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            sides = F.struct(
-                strip(x).alias("own"),
-                strip(F.coalesce(F.get(s, i - 1), F.lit(""))).alias("before"),
-                F.right(strip(near(s, i, (-2, -1, 0))), F.lit(WINDOW)).alias("left"),
-                F.left(F.ltrim(near(s, i, (1, 2, 3)), F.lit(WHITE)), F.lit(WINDOW)).alias("right"),
-            )
-            on = _bound(sides, lambda w: _goes_on(w["own"], w["before"], w["left"], w["right"]))
-            return F.concat(x, F.when(on, "").otherwise("\u0001"))
-
-        return F.array_join(F.transform(s, one), "")
-
-    marked = _bound(F.regexp_extract_all(_text(c), F.lit(_SEGMENT), F.lit(0)), judged)
-    return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
+    c = F.regexp_replace(_text(c), _CANDIDATE, "$1\u0001")
+    for rule in SENTENCE_RULES.values():
+        c = F.regexp_replace(c, rule, "")
+    return F.filter(F.transform(F.split(c, "\u0001"), strip), lambda s: s != "")
 
 
 def split_long_sentences(c: Column | str) -> Column:

@@ -51,7 +51,7 @@ def sentence_scores(asked: DataFrame, config: ExtractorConfig = ExtractorConfig(
     )
     rows = base.select("key", "words", "idf", F.size("sents").alias("n"), F.posexplode("sents").alias("pos", "sentence"), "hits")
     own = F.zip_with("idf", F.get("hits", F.col("pos")), lambda v, h: F.when(h, v).otherwise(0.0))
-    tfidf = F.aggregate(own, F.lit(0.0), lambda a, v: a + v) / F.size("words")
+    tfidf = F.try_divide(F.aggregate(own, F.lit(0.0), lambda a, v: a + v), F.size("words"))  # null without words
     marks = F.regexp_count("sentence", F.lit(P.iu("|".join(P.INFORMATIVE))))
     score = F.coalesce(tfidf, F.lit(0.0)) * (1.0 - F.col("pos") / F.col("n") * config.position_weight)
     n_words = F.size(split_words(F.col("sentence")))

@@ -24,14 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that it is computed once and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(spark, name)
+    df.write.mode("append").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._askloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._askloom_path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -19,9 +19,12 @@ from .functions import patterns as P
 from .functions import text as T
 from .models import HashingEmbedder, OverlapReranker
 from .operators import agent, answering, chunking, dense, evaluate, extract, fusion, index, lexical
-from .operators.ids import settle
+from .operators.ids import new_folder, settle
+from .operators.sparse import build_sparse_index
+from .operators.sparse import sparse_topk as sparse_search
 from .plans import retrieval
 from .sources import tables
+from .sources.store import VectorStore, store_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,8 +62,15 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
 
 
-def _ru(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(S.ROWS, "id int, query string, text string")
+def _ru(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of the conversations with a phrase that the language's rules are about: before it, after it, or alone."""
+    phrases = spark.createDataFrame(S.ROWS, "p int, query string, phrase string")
+    turns = _table(spark, sf, "conversations").withColumn("p", ((F.col("conv_id") * 7 + F.col("turn")) % len(S.ROWS) + 1).cast("int"))
+    said, kind = F.coalesce("text", F.lit("")), (F.col("conv_id") + F.col("turn")) % 3
+    alone = F.concat("phrase", F.when(F.col("turn") > 3, F.concat(F.lit(" "), "role")).otherwise(""))
+    text = F.when(kind == 0, F.concat("phrase", F.lit(" "), said)).when(kind == 1, F.concat(said, F.lit(" "), "phrase")).otherwise(alone)
+    # the phrases are a fixed list
+    return turns.join(F.broadcast(phrases), "p").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "query", text.alias("text"))
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,11 +115,13 @@ _BIN = "CASE " + " ".join(
     f"WHEN answer_chars > {a} AND answer_chars <= {b} THEN '{name}'"
     for a, b, name in zip(P.LENGTH_BINS, P.LENGTH_BINS[1:], P.LENGTH_LABELS)
 ) + " END"
-_CORPUS_TOKENS = f"""tok AS (SELECT doc_id AS doc, len(t) AS dl, unnest(t) AS tok FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)),
-posting AS (SELECT doc, dl, tok, count(*) AS tf FROM tok GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(len({_tokens('text')})) AS avgdl FROM documents),
-raw AS (SELECT tok, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posting GROUP BY tok),
-idf AS (SELECT tok, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+_CORPUS_TOKENS = f"""toks AS MATERIALIZED (SELECT doc_id AS doc, {_tokens('text')} AS t FROM documents),
+tok AS (SELECT doc, len(t) AS dl, unnest(t) AS tok FROM toks),
+posting AS MATERIALIZED (SELECT doc, dl, tok, count(*) AS tf FROM tok GROUP BY ALL),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+raw AS MATERIALIZED (SELECT tok, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posting, st GROUP BY tok),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw),
+idf AS MATERIALIZED (SELECT tok, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean)"""
 _BM25 = f"""{_CORPUS_TOKENS},
 qt AS (SELECT q_id, tok, count(*) AS times FROM (SELECT item_id AS q_id, unnest({_tokens('text')}) AS tok FROM benchmark) GROUP BY ALL),
 score AS (
@@ -118,6 +130,15 @@ score AS (
 bm25 AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc) - 1 AS rank FROM score WHERE score > 0)
   WHERE rank < 20)"""
+_SPARSE = r"""stok AS MATERIALIZED (
+  SELECT doc_id AS doc, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS tok FROM documents),
+spost AS MATERIALIZED (SELECT doc, tok, count(*) AS tf FROM stok GROUP BY ALL),
+sn AS (SELECT count(*) AS n FROM documents),
+sidf AS (SELECT tok, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM spost, sn GROUP BY tok),
+sq AS (SELECT q_id, tok, count(*) AS times FROM (
+  SELECT item_id AS q_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS tok FROM benchmark) GROUP BY ALL),
+ssum AS (SELECT q_id, doc, round(sum(times * idf * tf), 6) AS score FROM sq JOIN sidf USING (tok) JOIN spost USING (tok) GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc) - 1 AS rank FROM ssum) WHERE rank < 50)"""
 _DENSE = """sim AS (
   SELECT q.item_id AS q_id, e.vec_id,
          round(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
@@ -442,14 +463,50 @@ def hybrid_retrieve(spark, sf):
     return retrieval.retrieve(_questions(spark, sf), made, embed, OverlapReranker(), lexical=lexical)
 
 
-@query(f"WITH {_RRF} SELECT q_id, id, rrf FROM rrf WHERE rank < 50")
+@query(f"""WITH {_SPARSE} SELECT q_id, doc, score, CAST(rank AS INTEGER) AS rank FROM sparse""")
+def sparse_topk(spark, sf):
+    made = build_sparse_index(_docs(spark, sf), "chunk_id", settle=lambda df: settle(df, "sparse"))
+    return sparse_search(made, _questions(spark, sf), 50)
+
+
+def _points(spark, sf):
+    """Documents as points; document i's vector is that of row i, and those beyond have none."""
+    vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return _docs(spark, sf).join(vectors, "chunk_id", "left").withColumnRenamed("chunk_id", "vec_id")
+
+
+@query(f"""WITH {_SPARSE}, {_DENSE.replace("< 40", "< 50")},
+hits AS (SELECT q_id, vec_id AS id, rank AS d, NULL AS l FROM dense UNION ALL SELECT q_id, doc, NULL, rank FROM sparse),
+sums AS (SELECT q_id, id, min(d) AS d, min(l) AS l, round(coalesce(1.0::DOUBLE / (60 + min(d)), 0) + coalesce(1.0::DOUBLE / (60 + min(l)), 0), 9) AS score FROM hits GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, d NULLS LAST, l NULLS LAST, id) - 1 AS rank FROM sums)
+SELECT q_id, id AS vec_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank < 50""")
 def store_query(spark, sf):
-    return _fused(spark, sf).where("rank < 50").select("q_id", "id", "rrf")
+    vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("q_id"), "embedding")
+    return store_search(_questions(spark, sf).join(vectors, "q_id"), settle(_points(spark, sf), "points"), 50)
+
+
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'second ' || source ELSE source END AS text FROM documents)
+SELECT doc_id::VARCHAR AS chunk_id, text, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS written FROM p WHERE doc_id % 5 <> 0 OR doc_id % 3 = 0""")
+def store_versions(spark, sf):
+    """All points are put in; every fifth is deleted; every third comes again twice in one write, of which the last stays."""
+    store = VectorStore(spark, new_folder(spark, "store"))
+    store.create(2)
+    key = F.col("doc_id").cast("string").alias("chunk_id")
+    row = lambda n, text: F.struct(
+        key, F.lit(n).alias("at"), text.alias("text"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"),
+        F.create_map(F.lit("written"), F.lit(str(n))).alias("metadata"),
+    )
+    docs = _table(spark, sf, "documents")
+    store.upsert(docs.select(row(1, F.col("source")).alias("r")).select("r.*"))
+    store.delete(docs.where("doc_id % 5 = 0").select(key))
+    again = F.array(row(2, F.concat(F.lit("second "), "source")), row(1, F.concat(F.lit("first "), "source")))
+    store.upsert(docs.where("doc_id % 3 = 0").select(F.explode(again).alias("r")).select("r.*"), order="at")
+    return store.read().select("chunk_id", "text", F.col("metadata")["written"].cast("int").alias("written"))
 
 
 @query("""SELECT count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS dimension FROM embeddings""")
 def index_size(spark, sf):
-    return _table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dimension"))
+    return tables.index_size(_table(spark, sf, "embeddings"))
 
 
 @query("""SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS INTEGER) AS label FROM embeddings WHERE vec_id % 5 <> 0
@@ -563,7 +620,7 @@ def run_counters(spark, sf):
     return answering.run_counters(made.withColumn("cached", F.lit(False)))
 
 
-# --- the language's rules, on rows of its own ---
+# --- the language's rules, on every turn of the conversations with phrases of the language ---
 
 _RU_CONTEXT = "Номер счёта виден в договоре банка. Его можно узнать в отделении."
 _RU_REFERENCE = "Согласно фрагменту 1, номер счёта есть в договоре банка."
@@ -571,38 +628,38 @@ _RU_MADE = f"""{S.RU}, made AS (SELECT id AS q_id, query, CASE WHEN id % 2 = 0 T
 text AS answer, CASE WHEN id % 3 = 0 THEN '{_RU_REFERENCE}' END AS reference FROM ru)"""
 
 
-def _ru_made(spark):
+def _ru_made(spark, sf):
     at = F.col("id")
     context, reference = F.when(at % 2 == 0, _RU_CONTEXT).otherwise(""), F.when(at % 3 == 0, _RU_REFERENCE)
-    return _ru(spark).select(at.alias("q_id"), "query", context.alias("context"), F.col("text").alias("answer"), reference.alias("reference"))
+    return _ru(spark, sf).select(at.alias("q_id"), "query", context.alias("context"), F.col("text").alias("answer"), reference.alias("reference"))
 
 
 @query(f"WITH {S.RU} SELECT id, {S.clean_text('text')} AS text FROM ru")
 def service_phrases(spark, sf):
-    return _ru(spark).select("id", T.clean_text("text").alias("text"))
+    return _ru(spark, sf).select("id", T.clean_text("text").alias("text"))
 
 
 @query(f"WITH {S.RU}, src AS (SELECT id, text AS answer FROM ru), {S.cleaned('src', 'id')}, {S.posted('src', 'id', 'post')} SELECT id, cleaned.answer AS cleaned, post.answer AS posted FROM cleaned JOIN post USING (id)")
 def answer_cleaning(spark, sf):
-    return _ru(spark).select("id", A.clean_answer(F.col("text")).alias("cleaned"), A.postprocess_answer(F.col("text")).alias("posted"))
+    return _ru(spark, sf).select("id", A.clean_answer(F.col("text")).alias("cleaned"), A.postprocess_answer(F.col("text")).alias("posted"))
 
 
 @query(f"""WITH {S.RU} SELECT id, {S.preamble("coalesce(text, '')")} AS bare, {S.markers("coalesce(text, '')")} AS unmarked FROM ru""")
 def preamble_and_markers(spark, sf):
     text = F.coalesce("text", F.lit(""))
-    return _ru(spark).select("id", A.strip_preamble(text).alias("bare"), A.strip_context_markers(text).alias("unmarked"))
+    return _ru(spark, sf).select("id", A.strip_preamble(text).alias("bare"), A.strip_context_markers(text).alias("unmarked"))
 
 
 @query(f"WITH {S.RU} SELECT id, {S.clean_reference('text')} AS reference FROM ru")
 def reference_cleaning(spark, sf):
-    return _ru(spark).select("id", A.clean_reference(F.col("text")).alias("reference"))
+    return _ru(spark, sf).select("id", A.clean_reference(F.col("text")).alias("reference"))
 
 
 @query(f"""WITH {S.RU}, t AS (SELECT id, coalesce(text, '') AS t FROM ru)
 SELECT id, {S.garbage('t')} AS garbage, {S.mixed_script('t')} AS mixed, {S.question_only('t')} AS question_only FROM t""")
 def garbage_rules(spark, sf):
     text = F.coalesce("text", F.lit(""))
-    return _ru(spark).select(
+    return _ru(spark, sf).select(
         "id", A.is_garbage(text).alias("garbage"), A.has_mixed_script(text).alias("mixed"), A.is_question_only(text).alias("question_only")
     )
 
@@ -610,29 +667,28 @@ def garbage_rules(spark, sf):
 @query(f"""WITH {S.RU}, t AS (SELECT id, {_words("coalesce(text, '')")} AS w FROM ru)
 SELECT id, CAST(coalesce(list_max(map_values(list_histogram(w))), 0) AS INTEGER) AS most FROM t""")
 def repeated_words(spark, sf):
-    return _ru(spark).select("id", A.most_repeated(T.split_words(F.col("text"))).alias("most"))
+    return _ru(spark, sf).select("id", A.most_repeated(T.split_words(F.col("text"))).alias("most"))
 
 
 @query(f"""WITH {S.RU}, asked AS (SELECT id AS q_id, query, text AS answer FROM ru), {S.scored('asked')}
 SELECT q_id, pos, sentence, round(score, 6) AS score FROM sc""")
 def sentence_rules(spark, sf):
-    scores = extract.sentence_scores(_ru(spark).select(F.col("id").alias("key"), "query", F.col("text").alias("context")))
+    scores = extract.sentence_scores(_ru(spark, sf).select(F.col("id").alias("key"), "query", F.col("text").alias("context")))
     return scores.select(F.col("key").alias("q_id"), "pos", "sentence", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {S.RU}, asked AS (SELECT id AS q_id, query, text AS answer FROM ru), {S.extracted('asked')} SELECT q_id, answer FROM ext")
 def extract_rules(spark, sf):
-    asked = _ru(spark).select(F.col("id").alias("key"), "query", F.col("text").alias("context"))
+    asked = _ru(spark, sf).select(F.col("id").alias("key"), "query", F.col("text").alias("context"))
     return extract.extract_answers(asked).withColumnRenamed("key", "q_id")
 
 
-@query(f"""WITH {S.RU}, w AS (SELECT a.id, b.id AS other, unnest(list_distinct({_words("lower(a.query)")})) AS word, lower(b.text) AS text FROM ru a JOIN ru b ON b.text <> '' AND abs(a.id - b.id) < 5)
-SELECT id, other, word, {S.matches('word', 'text')} AS found FROM w""")
+@query(f"""WITH {S.RU}, w AS (SELECT id, unnest(list_distinct({_words("lower(query || ' карту вкладу фрагментом')")})) AS word, lower(text) AS text FROM ru WHERE text <> '')
+SELECT id, word, {S.matches('word', 'text')} AS found FROM w""")
 def word_endings(spark, sf):
-    a, b = _ru(spark), _ru(spark).where("text <> ''").select(F.col("id").alias("other"), F.lower("text").alias("text"))
-    asked = a.select("id", F.explode(F.array_distinct(T.split_words(F.lower("query")))).alias("word"))
-    near = asked.select("*", F.explode(F.sequence(F.col("id") - 4, F.col("id") + 4)).alias("other")).join(b, "other")
-    return near.select("id", "other", "word", T.word_matches(F.col("word"), F.col("text")).alias("found"))
+    asked = F.lower(F.concat("query", F.lit(" карту вкладу фрагментом")))
+    rows = _ru(spark, sf).where("text <> ''").select("id", F.lower("text").alias("text"), F.explode(F.array_distinct(T.split_words(asked))).alias("word"))
+    return rows.select("id", "word", T.word_matches(F.col("word"), F.col("text")).alias("found"))
 
 
 @query(f"""WITH {S.RU}, t AS (SELECT id, coalesce(text, '') AS t FROM ru)
@@ -640,7 +696,7 @@ SELECT id, regexp_matches({_strip('t')}, {S.LABEL}) AS label, {_strip('t')} = ''
 {S.context_sentence('t')} AS sentence, regexp_matches(lower(t), '{"|".join(P.ACTIONABLE)}') AS actionable FROM t""")
 def sentence_flags(spark, sf):
     text = F.coalesce("text", F.lit(""))
-    return _ru(spark).select(
+    return _ru(spark, sf).select(
         "id", T.is_prompt_metadata(text).alias("label"), T.is_junk_sentence(text).alias("junk"),
         T.clean_context_sentence(text).alias("sentence"), evaluate.has_actionable(text).alias("actionable"),
     )
@@ -648,17 +704,17 @@ def sentence_flags(spark, sf):
 
 @query(f"WITH {_RU_MADE}, {_FINAL} SELECT q_id, answer, source, failed FROM final")
 def rescue_rules(spark, sf):
-    return answering.finalize_answers(_ru_made(spark)).select("q_id", "answer", "source", "failed")
+    return answering.finalize_answers(_ru_made(spark, sf)).select("q_id", "answer", "source", "failed")
 
 
 @query(f"WITH {_RU_MADE}, {_checked_sql(2)} SELECT q_id, answer, invalid FROM checked")
 def validate_fallback(spark, sf):
-    return answering.validate_answers(answering.finalize_answers(_ru_made(spark)), 2).select("q_id", "answer", "invalid")
+    return answering.validate_answers(answering.finalize_answers(_ru_made(spark, sf)), 2).select("q_id", "answer", "invalid")
 
 
 @query(f"WITH {_RU_MADE}, {_checked_sql(2)} {_COUNTED}")
 def counter_rules(spark, sf):
-    made = answering.validate_answers(answering.finalize_answers(_ru_made(spark)), 2)
+    made = answering.validate_answers(answering.finalize_answers(_ru_made(spark, sf)), 2)
     return answering.run_counters(made.withColumn("cached", F.lit(False)))
 
 
@@ -666,7 +722,7 @@ def counter_rules(spark, sf):
 CASE WHEN context <> '' THEN 'Контекст:' || chr(10) || context || chr(10) || chr(10) || 'Вопрос: ' || query ELSE query END AS label_prompt, query || chr(10) || chr(10) || context AS plain_prompt FROM made""")
 def prompts(spark, sf):
     query, context = F.col("query"), F.col("context")
-    return _ru_made(spark).select(
+    return _ru_made(spark, sf).select(
         "q_id", A.augment_context(context, F.col("reference")).alias("context"),
         A.label_prompt(query, context).alias("label_prompt"), A.plain_prompt(query, context).alias("plain_prompt"),
     )
@@ -682,7 +738,7 @@ def validate_answers(spark, sf):
 
 
 _KEY = f"sha256('{P.PIPELINE_VERSION}|' || {_strip('query')} || '|m')[1:16]"
-_CACHED = f"""WITH {_QA}, cache AS (SELECT {_KEY} AS k, max(answer) AS answer FROM qa WHERE q_id LIKE '%-0' GROUP BY 1)"""
+_CACHED = f"""WITH {_QA}, cache AS (SELECT {_KEY} AS k, arg_max(answer, q_id) AS answer FROM qa WHERE q_id LIKE '%-0' GROUP BY 1)"""
 
 
 def _cache(spark, sf):
@@ -730,21 +786,25 @@ def _with_parents(spark, sf):
     at = F.col("doc_id")
     parent = F.when(at % 3 > 0, F.concat(F.lit("p"), F.floor(at / 4).cast("string")))
     return _table(spark, sf, "documents").select(
-        at.alias("chunk_id"), "text", parent.alias("parent_id"), F.when(parent.isNotNull(), F.when(at % 5 == 0, "").otherwise(F.concat(parent, F.lit(" text")))).alias("parent_text")
+        at.alias("chunk_id"), at.alias("vec_id"), "text", parent.alias("parent_id"), F.when(parent.isNotNull(), F.when((at % 5 == 0) | (at % 16 < 4), "").otherwise(F.concat(parent, F.lit(" text "), at.cast("string")))).alias("parent_text")
     )
 
 
 _WITH_PARENTS = """p0 AS (SELECT doc_id AS chunk_id, text, CASE WHEN doc_id % 3 > 0 THEN 'p' || doc_id // 4 END AS parent_id, doc_id FROM documents),
-p AS (SELECT *, CASE WHEN parent_id IS NOT NULL THEN CASE WHEN doc_id % 5 = 0 THEN '' ELSE parent_id || ' text' END END AS parent_text FROM p0)"""
+p AS (SELECT *, CASE WHEN parent_id IS NOT NULL THEN CASE WHEN doc_id % 5 = 0 OR doc_id % 16 < 4 THEN '' ELSE parent_id || ' text ' || doc_id END END AS parent_text FROM p0),
+-- the row that a chunk's parent is read from: the parent's first with a text, or the chunk's own
+looked AS (
+  SELECT c.chunk_id, c.parent_id, c.text, (SELECT x.parent_text FROM p x WHERE x.parent_id = c.parent_id AND x.parent_text <> '' ORDER BY x.doc_id LIMIT 1) AS found
+  FROM p c)"""
 
 
-@query(f"""WITH {_WITH_PARENTS} SELECT chunk_id, coalesce(parent_id, chunk_id::VARCHAR) AS parent_id,
-CASE WHEN parent_text <> '' THEN parent_text ELSE text END AS parent_text FROM p""")
+@query(f"""WITH {_WITH_PARENTS} SELECT chunk_id, coalesce(parent_id, chunk_id::VARCHAR) AS parent_id, coalesce(found, text) AS parent_text FROM looked""")
 def parent_lookup(spark, sf):
     return index.parent_rows(_with_parents(spark, sf))
 
 
-@query(f"WITH {_WITH_PARENTS} SELECT parent_id, max(parent_text) AS parent_text FROM p WHERE parent_id IS NOT NULL GROUP BY parent_id")
+@query(f"""WITH {_WITH_PARENTS} SELECT coalesce(parent_id, chunk_id::VARCHAR) AS parent_id, arg_max(coalesce(found, text), chunk_id) AS parent_text
+FROM looked WHERE coalesce(found, text) <> '' GROUP BY 1""")
 def parent_texts(spark, sf):
     return index.parent_texts(_with_parents(spark, sf))
 
