@@ -3,6 +3,14 @@
 A round retrieves for the open rows, gates them by their best score, answers
 what passed, and validates.  Rows that fail are rewritten and go round again, up
 to ``MAX_REWRITES`` times; what counts is the current round's outcome.
+
+Models have three places in it.  A generation error stays with its question, and
+the answer counts as empty.  A judge's score below ``VALID_SCORE`` fails an answer
+with its feedback; where it fails itself, it judges nothing.  A rewriting model's
+text is asked next; where it gives none, the prefix is.
+
+With ``rounds_path`` each round's states are written there under a fingerprint of
+the questions, and a loop that broke off goes on after the last whole round.
 """
 
 from __future__ import annotations
@@ -14,10 +22,15 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import split_words, strip
+from ..sources.tables import path_exists
+from ..tracing import stage
 from .ids import settle
 
 MAX_REWRITES = 3
 RERANKED_LIMIT, DENSE_LIMIT = 0.65, 0.05
+VALID_SCORE = 0.5
+#: What a rewriting model is asked.
+REWRITE_PROMPT = "Сформулируй вопрос другими словами, чтобы ответ на него было легче найти. Вопрос: "
 KEEP = 5
 SORRY = "Извините, не удалось найти ответ."
 
@@ -74,40 +87,65 @@ def finalize_state(answer: Column, chunks: Column) -> Column:
     return strip(F.when(said, answer).when(F.size(chunks) > 0, first).otherwise(SORRY))
 
 
+def rewritten_by(model: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """(q_id, query) with ``asked`` by a generator; by the prefix where it gives nothing."""
+
+    def rewrite(rows: DataFrame) -> DataFrame:
+        prompts = rows.select("q_id", F.concat(F.lit(REWRITE_PROMPT), "query").alias("query"), F.lit("").alias("context"))
+        made = model(prompts).select("q_id", strip(F.col("answer")).alias("__made"))
+        own = F.when(F.coalesce("__made", F.lit("")) != "", F.col("__made"))
+        return rows.join(made, "q_id", "left").withColumn("asked", F.coalesce(own, rewritten(F.col("query")))).drop("__made")
+
+    return rewrite
+
+
+def _by_prefix(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("asked", rewritten(F.col("query")))
+
+
+def _round(df: DataFrame, path: str | None, turn: int) -> DataFrame:
+    """The states after a round: written to ``path``, or taken from there if they were before."""
+    if path is None:
+        return settle(df, "agent-answered")
+    folder = f"{path}/round={turn}"
+    if not path_exists(df.sparkSession, f"{folder}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def run_agent(
     questions: DataFrame,
     retrieve: Callable[[DataFrame], DataFrame],
     generate: Callable[[DataFrame], DataFrame],
-    rewrite: Callable[[Column], Column] = rewritten,
+    rewrite: Callable[[DataFrame], DataFrame] = _by_prefix,
+    validate: Callable[[DataFrame], DataFrame] | None = None,
+    rounds_path: str | None = None,
+    tracer=None,
 ) -> DataFrame:
     """q_id, query, final_answer, rewrite_count, errors for every (q_id, query).
 
-    ``retrieve`` maps (q_id, query) to (q_id, chunks); ``generate`` adds
-    ``answer`` to (q_id, query, context).  States are settled each round.
+    ``retrieve`` maps (q_id, query) to (q_id, chunks); ``generate`` adds ``answer``
+    to (q_id, query, context), and ``error`` if it likes; ``validate`` adds
+    ``verdict`` (score, feedback) to (q_id, query, context, answer); ``rewrite``
+    adds ``asked`` to (q_id, query).
     """
     none = F.array().cast("array<string>")
     open_rows = questions.select(
         F.col("q_id").cast("string"), "query", F.col("query").alias("asked"), F.lit(0).alias("rewrite_count"), none.alias("errors")
     )
+    path = None
+    if rounds_path:
+        # one row
+        mark = open_rows.agg(*[F.coalesce(F.bit_xor(F.xxhash64(F.lit(k), "q_id", "query")), F.lit(0)).alias(f"h{k}") for k in (1, 2)]).first()
+        path = f"{rounds_path}/{mark['h1'] % 2**64:016x}{mark['h2'] % 2**64:016x}"
     closed: list[DataFrame] = []
     for turn in range(MAX_REWRITES + 1):
-        found = retrieve(open_rows.select("q_id", F.col("asked").alias("query"))).select("q_id", "chunks")
-        empty = F.array().cast(f"array<{CHUNK}>")
-        state = open_rows.join(found, "q_id", "left").withColumn(
-            "reranked_chunks", rerank_chunks(F.coalesce(F.col("chunks").cast(f"array<{CHUNK}>"), empty))
-        )
-        state = settle(quality_gate(state.drop("chunks")), "agent-gated")
-        answered = generate(state.where("passed").select("q_id", F.col("asked").alias("query"), "context"))
-        state = state.join(answered.select("q_id", "answer"), "q_id", "left")
-        failed = F.when(F.col("passed"), answer_error(F.col("answer")))
-        state = state.withColumn("error", failed).withColumns(
-            {
-                "errors": F.when(F.col("error").isNotNull(), F.concat("errors", F.array("error"))).otherwise(F.col("errors")),
-                "rewrite_count": F.col("rewrite_count") + F.col("error").isNotNull().cast("int"),
-            }
-        )
-        again = (~F.col("passed") | F.col("error").isNotNull()) & F.lit(turn < MAX_REWRITES)
-        state = settle(state.withColumn("again", again), "agent-answered")
+        done = path is not None and path_exists(questions.sparkSession, f"{path}/round={turn}/_SUCCESS")
+        if done:
+            state = questions.sparkSession.read.parquet(f"{path}/round={turn}")
+        else:
+            with stage(tracer, f"round {turn}") as run:
+                state = run(_turn(open_rows, retrieve, generate, validate, turn), lambda df: _round(df, path, turn))  # noqa: B023
         closed.append(
             state.where("not again").select(
                 "q_id",
@@ -117,12 +155,45 @@ def run_agent(
                 "errors",
             )
         )
-        open_rows = state.where("again").select(
-            "q_id", "query", rewrite(F.col("query")).alias("asked"), "rewrite_count", "errors"
-        )
-        if open_rows.isEmpty():
+        left = state.where("again")
+        if left.isEmpty():
             break
+        asked = rewrite(left.select("q_id", "query")).select("q_id", "asked")
+        open_rows = settle(left.select("q_id", "query", "rewrite_count", "errors").join(asked, "q_id"), "agent-asked")
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)
     return out
+
+
+def _turn(open_rows: DataFrame, retrieve, generate, validate, turn: int) -> DataFrame:
+    """One round: (q_id, query, asked, rewrite_count, errors) with chunks, answer, and whether it goes round again."""
+    found = retrieve(open_rows.select("q_id", F.col("asked").alias("query"))).select("q_id", "chunks")
+    empty = F.array().cast(f"array<{CHUNK}>")
+    state = open_rows.join(found, "q_id", "left").withColumn(
+        "reranked_chunks", rerank_chunks(F.coalesce(F.col("chunks").cast(f"array<{CHUNK}>"), empty))
+    )
+    state = settle(quality_gate(state.drop("chunks")), "agent-gated")
+    answered = generate(state.where("passed").select("q_id", F.col("asked").alias("query"), "context"))
+    broken = F.col("error") if "error" in answered.columns else F.lit(None).cast("string")
+    answered = settle(answered.select("q_id", "answer", broken.alias("broken")), "agent-generated")
+    state = state.join(answered, "q_id", "left").withColumn("answer", F.when(F.col("broken").isNull(), F.col("answer")))
+    judged = F.lit(None).cast("string")
+    if validate is not None:
+        plain = state.where(F.col("passed") & answer_error(F.coalesce("answer", F.lit(""))).isNull())
+        verdicts = settle(validate(plain.select("q_id", "query", "context", "answer")).select("q_id", "verdict"), "agent-judged")
+        state = state.join(verdicts, "q_id", "left")
+        judged = F.when(
+            F.col("verdict.score") < VALID_SCORE, F.concat(F.lit("validation failed: "), F.coalesce("verdict.feedback", F.lit("")))
+        )
+    failed = F.when(F.col("passed"), F.coalesce(answer_error(F.coalesce("answer", F.lit(""))), judged))
+    broke = F.when(F.col("broken").isNotNull(), F.concat(F.lit("generation failed: "), "broken"))
+    state = state.withColumn("error", failed).withColumns(
+        {
+            "errors": F.concat("errors", F.array_compact(F.array(broke, F.col("error")))),
+            "rewrite_count": F.col("rewrite_count") + F.col("error").isNotNull().cast("int"),
+        }
+    )
+    again = (~F.col("passed") | F.col("error").isNotNull()) & F.lit(turn < MAX_REWRITES)
+    columns = ["q_id", "query", "asked", "rewrite_count", "errors", "reranked_chunks", "answer"]
+    return state.select(*columns, again.alias("again"))

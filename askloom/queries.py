@@ -18,12 +18,12 @@ from .functions import answers as A
 from .functions import patterns as P
 from .functions import text as T
 from .models import HashingEmbedder, OverlapReranker
-from .operators import agent, answering, chunking, dense, evaluate, extract, fusion, index, lexical
+from .operators import agent, answering, chunking, dense, evaluate, extract, fusion, index, lexical, pruned
 from .operators.ids import new_folder, settle
 from .operators.sparse import build_sparse_index
 from .operators.sparse import sparse_topk as sparse_search
 from .plans import retrieval
-from .sources import tables
+from .sources import documents, tables
 from .sources.store import VectorStore, store_search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,6 +393,12 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf).select("q_id", "doc", "score", "rank")
 
 
+@query(f"WITH {_BM25} SELECT q_id, doc, score, CAST(rank AS INTEGER) AS rank FROM bm25")
+def bm25_pruned(spark, sf):
+    made = pruned.build_impacts(_lexical(spark, sf), settle)
+    return pruned.bm25_pruned_topk(made, _questions(spark, sf), 20, settle)
+
+
 @query(f"WITH {_DENSE} SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM dense")
 def dense_topk(spark, sf):
     return _dense(spark, sf)
@@ -853,6 +859,13 @@ def agent_rounds(spark, sf):
     )
 
 
+@query()
+def page_elements(spark, sf):
+    """Typed elements of every page; held against a parse written apart in the tests."""
+    found = _table(spark, sf, "pages").select("page_id", F.posexplode(documents.page_elements("html")).alias("pos", "e"))
+    return found.select("page_id", "pos", "e.kind", "e.text")
+
+
 @query("SELECT page_id, sha256(url)[1:16] AS doc_id FROM pages")
 def doc_id_hash(spark, sf):
     return _table(spark, sf, "pages").select("page_id", tables.doc_id(F.col("url")).alias("doc_id"))
