@@ -20,7 +20,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM_BASES = (0xD1342543DE82EF95 | 1, 0xA0761D6478BD642F | 1)
 
-#: Bytes of text that are hashed together; temporaries take some 60 times as much.
+#: Bytes of text that are taken together; hashing a longer text takes some 10 times its size, as its bytes are hashed in parts.
 CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -89,14 +89,21 @@ class Words:
         self.first = np.searchsorted(self.starts, self.text_at)
         self._buf = _LOWER[buf] if lower else buf
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self._buf)
-        power, inverse = _power_tables(_BASE, n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUES[self._buf] * power[:n], out=total[1:])
-        own = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        return mix64(own + (self.ends - self.starts).astype(np.uint64))
+    def hashes(self, limit: int = 1 << 20) -> np.ndarray:
+        """A 64-bit hash of each word; the bytes of about ``limit`` are worked on at a time, or of one longer word."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + limit, side="right")))
+            first, last = int(self.starts[a]), int(self.ends[b - 1])
+            starts, ends, n = self.starts[a:b] - first, self.ends[a:b] - first, last - first
+            power, inverse = _power_tables(_BASE, n + 1)
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_VALUES[self._buf[first:last]] * power[:n], out=total[1:])
+            own = (total[ends] - total[starts]) * inverse[starts]
+            out[a:b] = mix64(own + (ends - starts).astype(np.uint64))
+            a = b
+        return out
 
 
 def gram_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
