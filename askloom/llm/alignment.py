@@ -102,12 +102,12 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(marks)
     here = marks[at]
     on_a, on_b = here & 1, here >> 1
-    return np.cumsum(on_a, dtype=np.int64) - on_a, np.cumsum(on_b, dtype=np.int64) - on_b
+    return np.cumsum(on_a, dtype=np.int32) - on_a, np.cumsum(on_b, dtype=np.int32) - on_b
 
 
 def components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The root, its component's least node, of each of ``n`` nodes under the edges (x, y): union-find."""
-    root = np.arange(n)
+    root = np.arange(n, dtype=x.dtype)
     while len(x):
         rx, ry = root[x], root[y]
         apart = rx != ry
@@ -125,6 +125,9 @@ def parts(a: np.ndarray, b: np.ndarray, size: int = PART_TOKENS) -> Iterator[tup
     """Runs of both sides' tokens, from their lengths, that end at the same byte; about ``size`` tokens of A each."""
     i = j = 0
     while i < len(a):
+        if len(a) - i <= size:  # both sides end together
+            yield slice(i, len(a)), slice(j, len(b))
+            return
         take = size
         while True:
             ends = np.cumsum(a[i : i + take])
@@ -179,7 +182,7 @@ def grouped(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple
     root = components(len(a) + len(b), x, y + len(a))
     last_a = np.append(np.diff(root[: len(a)]) != 0, True)
     of_a = np.cumsum(last_a) - last_a
-    number = np.empty(len(a), dtype=np.int64)  # roots are A's tokens
+    number = np.empty(len(a), dtype=np.int32)  # roots are A's tokens
     number[root[: len(a)]] = of_a
     of_b = number[root[len(a) :]]
     last_b = np.append(np.diff(of_b) != 0, True)
@@ -187,8 +190,8 @@ def grouped(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple
     n = int(of_a[-1]) + 1
     until_a, until_b = np.flatnonzero(last_a) + 1, np.concatenate(([0], np.flatnonzero(last_b) + 1))
     codes = np.empty(len(a) + len(b), dtype=np.int64)
-    codes[np.arange(len(a)) + until_b[of_a]] = 3 * a.astype(np.int64) + np.where(last_a, _OTHER, _SAME)
-    codes[np.arange(len(b)) + until_a[of_b]] = 3 * b.astype(np.int64) + np.where(last_b, _NEXT, _SAME)
+    codes[np.arange(len(a)) + until_b[of_a]] = 3 * a.astype(np.int64) + _OTHER * last_a
+    codes[np.arange(len(b)) + until_a[of_b]] = 3 * b.astype(np.int64) + _NEXT * last_b
     names = _token_names(int(codes.max()) // 3 + 1)
     return n, "".join(map(names.__getitem__, codes.tolist()))
 
