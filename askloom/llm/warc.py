@@ -25,8 +25,8 @@ their own, without a response.
 Tables of links and of records are written, so that skewed sides of joins can be
 split at run time.
 
-*Edge cases.*  Null html is an empty payload, a null url none, a null page_id
-stays.  Line ends in a url are percent-encoded.  Of rows that repeat a page_id and
+*Edge cases.*  Null html is an empty payload, a null url none; a null page_id
+stays and counts as the smallest.  Line ends in a url are percent-encoded.  Of rows that repeat a page_id and
 a payload the first read is the response; rows have to come in the same order
 each time the table is read, as those of files do.  A record that its archive
 ends within comes with ``truncated`` set.  Header names are in any case, and a
