@@ -294,3 +294,42 @@ def test_sentences_of_a_table_agree_with_python(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", T.split_sentences("text").alias("s")).collect()
     for r in rows:
         assert re.sub(r"\s+", "", "".join(r.s)) == re.sub(r"\s+", "", r.text)
+
+
+def _many_texts(spark):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(60)])
+    rows = [(i, None if i % 41 == 0 else " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(400)]
+    rows += [(1000 + i, rows[7][1]) for i in range(90)]  # copies tie, and ids decide
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 6))) for i in range(9)] + [(50, "nowhere"), (51, None)], "q_id long, query string")
+    return spark.createDataFrame(rows, "id long, text string").repartition(7), asked
+
+
+@pytest.mark.parametrize("cells", [50, 1 << 20])
+def test_scanned_scores_are_those_of_the_postings(spark, monkeypatch, cells):
+    """A lexical search moves k rows for each query and task, not the postings."""
+    from askloom.operators import scan, sparse
+
+    monkeypatch.setattr(scan, "CELLS", cells)
+    monkeypatch.setattr(scan, "TOKENS", 10 * cells)
+    docs, asked = _many_texts(spark)
+    for k in (3, 20):
+        got = lexical.bm25_topk(lexical.scanned_index(docs, "id"), asked, k)
+        assert sorted(got.select("q_id", "doc", "score", "rank").collect()) == sorted(
+            lexical.bm25_topk(lexical.build_lexical_index(docs, "id"), asked, k).select("q_id", "doc", "score", "rank").collect()
+        )
+        got = sparse.sparse_topk(sparse.scanned_sparse_index(docs, "id"), asked, k)
+        assert sorted(got.select("q_id", "doc", "score", "rank").collect()) == sorted(
+            sparse.sparse_topk(sparse.build_sparse_index(docs, "id"), asked, k).select("q_id", "doc", "score", "rank").collect()
+        )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "tf" not in plan
+
+
+def test_many_queries_go_to_the_postings(spark, monkeypatch):
+    from askloom.operators import scan
+
+    docs, asked = _many_texts(spark)
+    few = lexical.bm25_topk(lexical.scanned_index(docs, "id"), asked, 5).collect()
+    monkeypatch.setattr(scan, "BLOCK", 2)
+    assert sorted(few) == sorted(lexical.bm25_topk(lexical.scanned_index(docs, "id"), asked, 5).select("q_id", "doc", "score", "rank").collect())
