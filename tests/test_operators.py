@@ -333,3 +333,15 @@ def test_many_queries_go_to_the_postings(spark, monkeypatch):
     few = lexical.bm25_topk(lexical.scanned_index(docs, "id"), asked, 5).collect()
     monkeypatch.setattr(scan, "BLOCK", 2)
     assert sorted(few) == sorted(lexical.bm25_topk(lexical.scanned_index(docs, "id"), asked, 5).select("q_id", "doc", "score", "rank").collect())
+
+
+def test_chunks_are_folded_from_lengths(spark):
+    """Texts stay out of Python: it sees the lengths of a document's sentences, and gives runs of them."""
+    lengths = [[29] * 90, None, [], [3], [700, 5, 5]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lengths)], "i long, n array<int>").coalesce(1)
+    for runs in (chunking.fold_runs, chunking.window_runs):
+        got = df.select("i", chunking._runs_of(runs, 500, 120)("n").alias("r")).orderBy("i").collect()
+        assert [[(x["a"], x["a"] + x["n"]) for x in r["r"]] for r in got] == [runs(x or [], 500, 120) for x in lengths]
+    texts = spark.createDataFrame([(0, "Aa bb. Cc dd ee. " * 90), (1, None), (2, "")], "web_id long, text string")
+    rows = chunking.window_documents(texts).collect()
+    assert [r["pos"] for r in rows] == list(range(len(rows))) and all(len(r["text"]) <= 500 for r in rows)

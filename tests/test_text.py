@@ -249,3 +249,30 @@ def test_a_long_text_without_an_end(spark):
     texts = ["слово " * 300_000, "(" * 20_000 + ". A" * 20_000, "A. " * 50_000, "Да! " * 100_000]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.size(T.split_sentences("text")).alias("n"))
     assert [r.n for r in df.collect()] == [1, 2, 1, 100_000]
+
+
+def test_rows_that_nothing_changes_stay_in_arrow():
+    import pyarrow as pa
+
+    texts = pa.array(["a", None, "&lt;b", "", "c &amp; d"] * 300)
+    some = pa.array([False, None, True, False, True] * 300)
+    assert T._changed(texts, pa.array([False] * len(texts)), None) is texts
+    seen = []
+    made = T._changed(texts, some, lambda t: seen.append(t) or t.upper())
+    assert made.to_pylist() == ["a", None, "&LT;B", "", "C &AMP; D"] * 300 and len(seen) == 600
+
+
+def test_rules_around_a_place_are_tried_where_they_can_apply(spark):
+    """Rules that look far around a candidate are chosen by the text, so most texts aren't looked through for them."""
+    cases = {
+        "One (two. Three) four. Five.": ["One (two. Three) four.", "Five."],
+        "One (two. Three four. Five.": ["One (two.", "Three four.", "Five."],
+        "One «two. Three» four. Five.": ["One «two. Three» four.", "Five."],
+        "One “two. Three” four. Five.": ["One “two. Three” four.", "Five."],
+        'One "two. Three" four. Five.': ['One "two. Three" four.', "Five."],
+        "One two. Three four.": ["One two.", "Three four."],
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want array<string>").withColumn("got", T.split_sentences("t"))
+    assert [tuple(r) for r in df.where("got <> want").collect()] == []
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?!)") >= 4
