@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from askloom import answer_sql as S
 from askloom import queries
 from askloom.functions import answers as A
+from askloom.functions import patterns as P
 from askloom.functions import text as T
 
 
@@ -276,3 +277,13 @@ def test_rules_around_a_place_are_tried_where_they_can_apply(spark):
     assert [tuple(r) for r in df.where("got <> want").collect()] == []
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?!)") >= 4
+
+
+def test_a_text_is_made_once_for_all_that_looks_at_it(spark):
+    df = spark.createDataFrame([("Номер виден в договоре.", "Где номер?")], "answer string, query string")
+    times = lambda c, what: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count(what)
+    assert times(A.postprocess_answer(F.col("answer")), P.REFERENCE_END) == 1
+    # links are taken out once, and the text itself is cleaned once before it is judged
+    assert times(A.is_garbage(A.clean_answer(F.col("answer"))), r"https?://\S+") == 1
+    assert times(A.is_garbage(A.clean_answer(F.col("answer"))), P.REFERENCE_END) == 1
+    assert times(T.truncate_chars(T.truncate_sentences(A.clean_answer(F.col("answer")), 5), 550), P.REFERENCE_END) == 1
