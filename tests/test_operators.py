@@ -206,6 +206,18 @@ def test_finalize_and_validate(spark):
     assert answering.run_counters(checked).first().asDict() == {"total": 4, "cached": 0, "generated": 4, "failed": 1, "invalid": 0}
 
 
+def test_answers_are_counted_where_their_rows_lie(spark):
+    context = "Номер вклада можно узнать в договоре банка."
+    rows = [("a", "Как узнать номер?", context, "нет", None), ("a", "Где кнопка?", "Нажмите кнопку справа внизу.", "нет", None)]
+    df = spark.createDataFrame(rows, "q_id string, query string, context string, answer string, reference string")
+    checked = answering.validate_answers(answering.finalize_answers(df), 2).withColumn("cached", F.lit(False))
+    # two questions that share an id: each has its own extract, and is counted once
+    assert sorted(r.answer for r in checked.collect()) == sorted([context, "Нажмите кнопку справа внизу."])
+    assert answering.run_counters(checked).first().asDict() == {"total": 2, "cached": 0, "generated": 2, "failed": 0, "invalid": 1}
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_what_replaces_an_invalid_answer(spark):
     query, context = "Как узнать номер вклада?", "Номер вклада можно узнать в договоре банка. Погода хорошая."
     said = "Обратитесь в отделение банка завтра."
