@@ -393,3 +393,60 @@ def test_numbering_keeps_one_table(spark, monkeypatch):
     assert [r["x"] for r in got] == list(range(-49, 1))
     there = [spark._jvm.java.io.File(t._askloom_path.removeprefix("file://")).exists() for t in made]
     assert there == [False, True]
+
+
+def _banks_texts(n, seed=5):
+    import random
+
+    rng = random.Random(seed)
+    words = [f"{rng.getrandbits(32):08x}" for _ in range(4000)]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(4, 14))).capitalize() + "."
+    texts = [" ".join(sentence() for _ in range(rng.randint(1, 60))) for _ in range(n)]
+    # copies, within a document too, and texts that cleaning changes
+    return texts + texts[: n // 10] + [texts[0] + " " + texts[0], "<p>Одна&nbsp;фраза &amp;lt;b&amp;gt; тут.</p> " * 20, "", None, "Мало слов."]
+
+
+def test_index_rows_are_those_of_chunks(spark):
+    """Ids, texts and places of the compact index are those of numbering, deduplicating and numbering whole chunks."""
+    texts = _banks_texts(40)
+    docs = spark.createDataFrame([((i * 7) % 101 if i else None, t) for i, t in enumerate(texts)], "web_id long, text string")
+    columns = ["chunk_id", "web_id", "text", "parent_id", "parent_text", "parent_start", "parent_end", "vec_id"]
+    for parent_child in (True, False):
+        want = index._unique(chunking.build_chunks(docs, parent_child))
+        got = index.index_rows(docs, parent_child)
+        assert sorted(got.columns) == sorted(columns)
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+        assert got.count() < chunking.build_chunks(docs, parent_child).count()
+
+
+def test_index_takes_less_disk_than_its_texts(spark):
+    """A parent's text is written once for its children, vectors aren't written for one search."""
+    from pathlib import Path
+
+    from askloom import models
+    from askloom.operators.ids import shared_dir
+    from askloom.plans import retrieval
+
+    texts = _banks_texts(300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "web_id long, text string")
+    taken = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+    before = taken()
+    made, words = retrieval.opened_index(spark, docs, models.HashingEmbedder(), None, False, True)
+    assert taken() - before < sum(len((t or "").encode()) for t in texts)
+    asked = spark.createDataFrame([(1, texts[3][:80])], "q_id long, query string")
+    hits = retrieval.retrieve(asked, made, models.HashingEmbedder(), models.OverlapReranker(), lexical=words).collect()
+    whole = index.with_vectors(made, models.HashingEmbedder())
+    again = retrieval.retrieve(asked, whole, models.HashingEmbedder(), models.OverlapReranker(), lexical=words).collect()
+    assert sorted(hits) == sorted(again) and {h.rank for h in hits} >= {0} and any(h.parent_id == "p:3:0" for h in hits)
+
+
+def test_sums_before(spark):
+    from askloom.operators.ids import sums_before
+
+    rows = [(None if i == 3 else (i * 5) % 17, i % 4, i) for i in range(60)]
+    got = sums_before(spark.createDataFrame(rows, "k long, n int, i int"), ["k", "i"], {"a": "n", "b": "i"}).collect()
+    want, a, b = {}, 0, 0
+    for k, n, i in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[2])):
+        want[i] = (a, b)
+        a, b = a + n, b + i
+    assert {r.i: (r.a, r.b) for r in got} == want
